@@ -91,3 +91,34 @@ select doc_id, source, case when text is null then null else array_to_string(res
        coalesce(len(x) - len(rest), 0)::bigint as n_dropped
 from k
 """
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The length histogram of all documents in byte-level BPE tokens."""
+    import public_tokenizers
+
+    from offerlane.llm.token_counts import length_histogram, token_count
+
+    docs = table(spark, sf_dir, "documents")
+    n = token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return length_histogram(docs.select(n.alias("n_tokens")))
+
+
+@query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded text of every document."""
+    import public_tokenizers
+
+    from offerlane.llm.bpe import digests, encoded
+
+    return digests(encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    from offerlane.llm.simhash import hex_of, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
