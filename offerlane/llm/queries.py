@@ -122,3 +122,20 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and worst sentence of every document, learned from the labels."""
+    from offerlane.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    from offerlane.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
