@@ -33,6 +33,8 @@ BLANK = " \t\n\x0b\f\r"
 AFTER_SPACE = "(?<=[ \\t-\\r])(?=[^ \\t-\\r])"
 #: Least buckets of a running sum, and most slots made from one row.
 BUCKETS, CHUNK = 64, 1024
+#: Slots that one task makes.
+TASK = 1 << 17
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -114,14 +116,16 @@ def _slots(targets: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFr
     parts = targets.filter(F.col("n_slots") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_slots").cast("long") - 1, F.lit(chunk))))
     total = targets.agg(F.sum("n_slots")).first()[0] or 0
     n_shards = max(1, -(-int(total) // shard))
-    parts = parts.select(key.alias("c")).repartition("c")
+    # few bytes make many slots here: the number of tasks follows the slots, and slots are never a side to broadcast
+    tasks = max(1, -(-int(total) // TASK))
+    parts = parts.select(key.alias("c")).repartition(tasks, "c")
     last = F.least(F.col("c.n_slots"), F.col("c.chunk") + chunk) - 1
     drawn = parts.select("c.sid", "c.n_blocks", F.explode(F.sequence(F.col("c.chunk"), last)).alias("draw"))
     drawn = drawn.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "sid", "draw"), F.lit(n_shards)))
     counts = drawn.groupBy("sid", "n_blocks", "shard").agg(F.count("*").alias("n"))
     running = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    slots = counts.select("sid", "n_blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    slots = counts.repartition(tasks, "sid", "shard").select("sid", "n_blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     return slots.select("sid", "shard", "k", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(SEED), "sid")).alias("index"), F.floor(F.col("k") / F.col("n_blocks")).alias("pass_no"))
 
 
@@ -133,7 +137,7 @@ def taken_blocks(packed: DataFrame, slots: DataFrame, block: int = BLOCK) -> Dat
     parts = filled.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
     last = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("start"))
-    return parts.join(times, ["sid", "index"]).select("doc_id", "tie", "sid", "size", "start", "index", "times", first.alias("first"), last.alias("last"))
+    return parts.join(times.hint("merge"), ["sid", "index"]).select("doc_id", "tie", "sid", "size", "start", "index", "times", first.alias("first"), last.alias("last"))
 
 
 def mix_digest(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
