@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _parts(batches):
 
     task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
-        sizes = np.cumsum(pa.compute.coalesce(pa.compute.binary_length(batch.column("text")), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
+        sizes = np.cumsum(pc.coalesce(pc.binary_length(batch.column("text")), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
