@@ -90,32 +90,36 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 def with_quality(df: DataFrame, text: str = "text", out: str = "quality", rules=RULES, stop_words=STOP_WORDS) -> DataFrame:
     """df with a struct column out: counts, ratios, base_failed, kept and the
     names of the failed rules. A column named out is replaced."""
-    words, lines = fresh(df, "words", "lines")
-    raw = F.coalesce(F.col(text), F.lit(""))
-    w, ln = F.col(words), F.col(lines)
-    staged = df.withColumns({words: words_of(F.col(text)), lines: F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")})
-
-    n_words = F.size(w).cast("long")
-    n_lines = F.size(ln)
-    counts = {
-        "n_words": n_words,
-        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
-        "n_symbols": F.regexp_count(raw, F.lit(SYMBOLS)).cast("long"),
-        "n_dup_lines": (n_lines - F.size(F.array_distinct(ln))).cast("long"),
-        "n_repeat_words": repeated_words(w),
-        "n_lines": n_lines.cast("long"),
-        "n_bangs": F.regexp_count(raw, F.lit("[!?]{2}")).cast("long"),
-        "n_stop_words": F.size(F.filter(w, lambda x: x.isin([f(s) for s in stop_words for f in (str.lower, str.title, str.upper)]))).cast("long"),
-        "n_ellipsis_lines": F.size(F.filter(ln, lambda x: F.btrim(x, F.lit(BLANK)).endswith("..."))).cast("long"),
-        "n_bullet_lines": F.size(F.filter(ln, lambda x: F.substring(F.btrim(x, F.lit(BLANK)), 1, 1).isin("-", "*", "•"))).cast("long"),
-    }
-    # bound once per row: ratios and verdict read the counts and don't compute them again
-    return staged.withColumn(lines, let(F.struct(*(c.alias(k) for k, c in counts.items())), lambda c: _judged(c, list(counts), rules))).drop(words).select(
-        *(F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()), F.col(lines).alias(out)
+    raw = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    lines = F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
+    # words, lines and counts are each bound once per row, wherever the optimizer moves the expression
+    quality = let(words_of(raw), lambda w: let(lines, lambda ln: let(_counts(raw, w, ln, stop_words), lambda c: _judged(c, rules))))
+    return df.withColumn(out, quality)
+
+
+def _counts(raw: Column, w: Column, ln: Column, stop_words) -> Column:
+    """Counts of a text, its words and its lines with a word."""
+    cased = [f(s) for s in stop_words for f in (str.lower, str.title, str.upper)]
+    n_lines = F.size(ln).cast("long")
+    return F.struct(
+        F.size(w).cast("long").alias("n_words"),
+        F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
+        F.regexp_count(raw, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        (n_lines - F.size(F.array_distinct(ln))).cast("long").alias("n_dup_lines"),
+        repeated_words(w).alias("n_repeat_words"),
+        n_lines.alias("n_lines"),
+        F.regexp_count(raw, F.lit("[!?]{2}")).cast("long").alias("n_bangs"),
+        F.size(F.filter(w, lambda x: x.isin(cased))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ln, lambda x: F.btrim(x, F.lit(BLANK)).endswith("..."))).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter(ln, lambda x: F.substring(F.btrim(x, F.lit(BLANK)), 1, 1).isin("-", "*", "•"))).cast("long").alias("n_bullet_lines"),
     )
 
 
-def _judged(c: Column, counts: list[str], rules) -> Column:
+#: The fields of _counts().
+COUNTS = "n_words word_chars n_symbols n_dup_lines n_repeat_words n_lines n_bangs n_stop_words n_ellipsis_lines n_bullet_lines".split()
+
+
+def _judged(c: Column, rules) -> Column:
     """The counts with their ratios and the verdict."""
 
     def ratio(a: str, b: str) -> Column:
@@ -139,7 +143,7 @@ def _judged(c: Column, counts: list[str], rules) -> Column:
     for ok in passes.values():
         kept = kept & ok
     failed = F.array_compact(F.array(*(F.when(~ok, F.lit(name)) for name, ok in passes.items()))) if passes else F.array().cast("array<string>")
-    fields = [c[k].alias(k) for k in counts] + [v.alias(k) for k, v in metrics.items()]
+    fields = [c[k].alias(k) for k in COUNTS] + [v.alias(k) for k, v in metrics.items()]
     return F.struct(*fields, base_failed.alias("base_failed"), failed.alias("failed_rules"), kept.alias("kept"))
 
 
