@@ -7,8 +7,8 @@ document labels only, by gradient descent on the likelihood of that noisy-or, an
 so say which sentences offend.
 
 Training takes a bounded sample of labelled documents (MAX_TOXIC and MAX_CLEAN, by
-hash of the id), a fifth of which sets the threshold. The rest is one pass over all
-documents in Arrow batches.
+hash of the id), a fifth of which sets the threshold, and runs as one task; only
+weights come back. The rest is one pass over all documents in Arrow batches.
 
 Defined cases: null and empty texts have no sentence and get the bias alone; very
 long texts are scored whole; repeated rows score alike; null ids are not held out
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents of each class that training takes.
-MAX_TOXIC, MAX_CLEAN = 3000, 6000
+MAX_TOXIC, MAX_CLEAN = 2000, 4000
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.7
 #: Lengths of word beginnings that are features; least training documents of a feature; steps and rate of the descent.
@@ -200,12 +200,19 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     some = [known.filter(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     picked = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two limits
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sample = texts.join(picked, "doc_id").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
-    sample = sample.sample(frac=1, random_state=0) if len(sample) else sample
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
-    share = counts.get(0, 0) / max(1, sum(counts.values()))
-    return train(sample["text"].tolist(), sample["toxic"].to_numpy() == 1, min(max(share, 0.01), 0.99))
+    share = min(max(counts.get(0, 0) / max(1, sum(counts.values())), 0.01), 0.99)
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "toxic", "text"], kind="stable").sample(frac=1, random_state=0)
+        model = train(pdf["text"].tolist(), pdf["toxic"].to_numpy() == 1, share)
+        return pd.DataFrame([("", model.bias, model.cut), *((k, w, 0.0) for k, w in model.weights.items())], columns=["name", "weight", "cut"])
+
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    sample = texts.join(picked, "doc_id").withColumn("all", F.lit(0))
+    rows = sample.groupBy("all").applyInPandas(learn, "name string, weight double, cut double").collect()  # one per feature with a weight
+    head = [r for r in rows if r["name"] == ""]
+    return Model({r["name"]: r["weight"] for r in rows if r["name"]}, head[0]["weight"], head[0]["cut"]) if head else Model({}, 0.0, 1.0)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
