@@ -1,12 +1,58 @@
-"""A corpus pipeline of five operators over the table documents."""
+"""A corpus pipeline of five operators over the table documents.
+
+Each stage works on all that its predecessor kept. The last gives, per document,
+the digests of its tokens; the others give the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from offerlane.llm.bpe import digests, encoded
 from offerlane.llm.common import table, written
+from offerlane.llm.lines import drop_boilerplate
+from offerlane.llm.mixing import mix_documents
+from offerlane.llm.quality import keep_quality
+from offerlane.llm.simhash import keep_one
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rule and all thresholds."""
+    return keep_quality(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the boilerplate lines of their source."""
+    return drop_boilerplate(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, as its text."""
+    return mix_documents(docs, n_chars="n_chars")
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token count and digests of each document."""
+    import public_tokenizers
+
+    return digests(encoded(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_dedup),
+    ("mixing sources to target weights", mixing),
+    ("BPE encoding and decoding", bpe),
+]
 
-STAGES: list = []
+#: Fingerprints, draws and a vocabulary are not to be had in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -139,3 +139,20 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlane.llm.vectors import near_vectors
 
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every document that the forest holds for secrets."""
+    from offerlane.llm.secrets import secrets
+
+    found = secrets(table(spark, sf_dir, "documents"), path="source")
+    return found.filter("is_secret").select("doc_id", "start", "end", F.sha2("secret", 256).alias("secret_sha256"), "score")
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from offerlane.llm.pii import digest, personal_data
+
+    return digest(personal_data(table(spark, sf_dir, "documents")))
