@@ -32,7 +32,7 @@ BEGINNINGS, LEAST, STEPS, RATE = (4, 5, 6), 3, 200, 0.3
 #: A feature gets a weight only if its pull is that of more than so many documents.
 PULL = 3.0
 #: Weights below this share of the largest go; the rest is then learned again without that bar.
-SHARE = 0.1
+SHARE = 0.15
 #: Words remembered by a task.
 REMEMBERED = 1 << 20
 _END, _EDGE = 1000.0, "".join(map(chr, (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)))) + "¡¿«»“”„’…"
@@ -92,7 +92,14 @@ class Model:
         end = value > _END / 2
         value[end] -= _END
         first = np.flatnonzero(np.concatenate(([True], end[:-1])))
-        z = np.add.reduceat(value, first) + self.bias
+        z = np.full(len(first), self.bias)
+        at = np.flatnonzero(value)
+        if len(at):  # a word counts once per sentence
+            of = np.searchsorted(first, at, side="right") - 1
+            once = dict.fromkeys(zip(of.tolist(), map(words.__getitem__, at.tolist())))
+            for k, w in once:
+                x = self.seen[w]
+                z[k] += x - _END if x > _END / 2 else x
         return 1 / (1 + np.exp(-np.clip(z, -60, 60))), first
 
     def score(self, p: np.ndarray) -> float:
@@ -135,10 +142,9 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
     y = toxic[fit]
     n_docs, n_sent, n_words, n_feat = len(y), len(doc_of), len(number), len(feature)
 
-    # (sentence, word) counts, and (word, feature) pairs, only of features in enough documents
-    key, count = np.unique(sentence * n_words + words, return_counts=True)
+    # distinct (sentence, word) pairs, and (word, feature) pairs, only of features in enough documents
+    key = np.unique(sentence * n_words + words)
     s_of, w_of = key // n_words, key % n_words
-    count = count.astype(np.float64)
     pair_w = np.repeat(np.arange(n_words), [len(f) for f in word_features])
     pair_f = np.array([f for own in word_features for f in own], np.int64)
     word_docs = np.unique(doc_of[s_of] * n_words + w_of) % n_words
@@ -153,12 +159,12 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
         nonlocal w, bias, square, square_bias
         for _ in range(STEPS):
             theta = np.bincount(pair_w, w[pair_f], minlength=n_words)
-            z = np.bincount(s_of, theta[w_of] * count, minlength=n_sent) + bias
+            z = np.bincount(s_of, theta[w_of], minlength=n_sent) + bias
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             rest = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_docs))
             pull = np.where(y, -rest / np.maximum(1 - rest, 1e-12), 1.0) * weight
             gz = pull[doc_of] * p
-            g = np.bincount(pair_f, np.bincount(w_of, gz[s_of] * count, minlength=n_words)[pair_w], minlength=n_feat) / n_docs
+            g = np.bincount(pair_f, np.bincount(w_of, gz[s_of], minlength=n_words)[pair_w], minlength=n_feat) / n_docs
             gb = gz.sum() / n_docs
             square += g * g
             square_bias += gb * gb
@@ -174,7 +180,7 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
     w = np.where(large, w, 0.0)
     # words without a feature left, most of all, need no further look
     known = np.isin(w_of, pair_w)
-    s_of, w_of, count = s_of[known], w_of[known], count[known]
+    s_of, w_of = s_of[known], w_of[known]
     descend(0.2 * PULL)
     names = list(feature)
     model = Model({names[k]: float(w[k]) for k in np.flatnonzero(w)}, float(bias), 0.5)
@@ -189,7 +195,8 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
     bad, good = np.sort(raw[~truth]), np.sort(raw[truth])
     wrong = clean * (len(bad) - np.searchsorted(bad, cuts)) + np.searchsorted(good, cuts)
     best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-    model.cut = float(np.clip(cuts[best[len(best) // 2]], 1e-6, 1 - 1e-6))
+    ends = np.clip(cuts[best[[0, -1]]], 1e-6, 1 - 1e-6)
+    model.cut = float(1 / (1 + np.exp(-np.log(ends / (1 - ends)).mean())))  # amid the best, on the scale of sentence sums
     return model
 
 
