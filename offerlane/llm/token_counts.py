@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlane.llm.common import written
+
 #: Lengths whose running sums are taken together.
 BLOCK = 1024
 
@@ -54,6 +56,7 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens", block: int =
     total_tokens, truncated_tokens (tokens left if every document is cut to the
     limit), share_within (share of documents that fit)."""
     counts = lengths.groupBy(F.col(length).cast("long").alias("context_limit")).agg(F.count("*").alias("n_docs"))
+    counts = written(counts, "lengths")  # read twice below, encoded once
     counts = counts.withColumn("tokens", F.col("context_limit") * F.col("n_docs")).withColumn("block", F.floor(F.col("context_limit") / block))
     after = Window.orderBy(F.col("block").desc())
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
