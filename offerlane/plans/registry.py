@@ -2,5 +2,404 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerlane.functions import classify, measures, text
+from offerlane.operators import catalog, dedup, matcher, rank, search_index
+from offerlane.plans import search
+from offerlane.sources import pages, tables
+from offerlane.sources.tables import LINE_ORDER, OFFERS_SQL, norm_sql
+from offerlane.vocabulary import IGNORED_WORDS, NON_PERFUME
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+#: What the registered searches look for.
+SEARCH, PREFIXES = "red plate 100ml", "re pl"
+_ORDER_SQL = ", ".join(LINE_ORDER)
+_PRICE_ORDER_SQL = "price_cents nulls last, case availability when 'in stock' then 0 when 'out of stock' then 1 else 2 end, store_rank, name_n, url"
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _list(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_BARRED = "(" + " or ".join(f"contains(name_n, '{text.norm_text(p)}')" for p in NON_PERFUME) + ")"
+_UNIQUE_SQL = f"unique_offers as (select * from offers qualify row_number() over (partition by store_n, product_id, name_n order by {_ORDER_SQL}) = 1)"
+_MATCHED = f"(name_n <> '' and not {_BARRED} and contains(' ' || name_n || ' ', ' red plate '))"
+
+
+@_query(f"with {OFFERS_SQL}, {_UNIQUE_SQL} select store, product_id, name, price_cents, availability, url, l_orderkey from unique_offers where {_MATCHED}")
+def search_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers that answer a query, each once, by price."""
+    found = search.validated(tables.offers(spark, sf_dir), SEARCH, LINE_ORDER)
+    return found.select("store", "product_id", "name", "price_cents", "availability", "url", "l_orderkey")
+
+
+@_query(
+    f"""with {OFFERS_SQL}, c as (select * from offers where list_contains(string_split(name_n, ' '), 'red') and list_contains(string_split(name_n, ' '), 'plate'))
+select store, product_id, name, price_cents, availability, l_orderkey from c
+qualify row_number() over (partition by store_n, product_id, name_n order by {_ORDER_SQL}) = 1"""
+)
+def search_unvalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers that stores return for a query, each once, by price."""
+    return search.unvalidated(tables.offers(spark, sf_dir), SEARCH, LINE_ORDER).select("store", "product_id", "name", "price_cents", "availability", "l_orderkey")
+
+
+@_query(
+    f"""with {OFFERS_SQL}, {_UNIQUE_SQL},
+n as (select store, count(*) as raw from offers group by store),
+u as (select store, count(*) as unique_offers, count_if({_MATCHED}) as matched from unique_offers group by store)
+select store, sum(raw)::bigint as raw, sum(unique_offers)::bigint as unique_offers, (sum(raw) - sum(unique_offers))::bigint as duplicates,
+       sum(matched)::bigint as matched, (sum(unique_offers) - sum(matched))::bigint as rejected
+from n join u using (store) group by rollup (store)"""
+)
+def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where offers are lost on the way to the result, per store and in total."""
+    return search.funnel(tables.offers(spark, sf_dir), SEARCH, LINE_ORDER)
+
+
+@_query(
+    f"""with n as (select doc_id, {norm_sql("text")} as t, {norm_sql("source")} as s from documents)
+select doc_id, length(t)::bigint as n_chars, sha1(t) as text_sha1, 'SH-' || substr(sha1(s || '::' || doc_id), 1, 16) as stable_id from n"""
+)
+def norm_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised texts and stable ids of all documents."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", "source", text.norm("text").alias("t"))
+    return d.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.sha1("t").alias("text_sha1"), text.stable_id("SH", F.col("source"), F.col("doc_id").cast("string")).alias("stable_id"))
+
+
+@_query(
+    f"""with q as (select p_partkey, trim(p_name || ' Eau de Parfum ' || p_size || 'ml') as raw, {norm_sql("p_name || ' Eau de Parfum ' || p_size || 'ml'")} as n from part),
+a as (select p_partkey, raw, array_to_string(list_filter(string_split(n, ' '), lambda t: t not in {_list(IGNORED_WORDS)}), ' ') as rest, n from q)
+select p_partkey, 0 as attempt_no, raw as attempt from a union all select p_partkey, 1, rest from a where rest <> '' and rest <> n"""
+)
+def search_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The searches that a product name leads to, most exact first."""
+    p = tables.read(spark, sf_dir, "part")
+    name = F.concat("p_name", F.lit(" Eau de Parfum "), F.col("p_size").cast("string"), F.lit("ml"))
+    return p.select("p_partkey", F.posexplode(text.search_attempts(name)).alias("attempt_no", "attempt"))
+
+
+_STRIP_SQL = r"regexp_replace(regexp_replace({x}, '<script\b.*?</script>|<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+
+
+@_query(
+    rf"""with s as (select page_id, html, lower(trim(regexp_replace({_STRIP_SQL.format(x="html")}, '[ \t\n\x0B\f\r]+', ' ', 'g'))) as t,
+  regexp_extract(html, '<title(?:\s[^>]*)?>(.*?)</title>', 1, 'is') as title, regexp_extract(html, '<h1(?:\s[^>]*)?>(.*?)</h1>', 1, 'is') as h1 from pages)
+select page_id, nullif(trim(regexp_replace(regexp_replace(title, '<[^>]*>', ' ', 'gs'), '[ \t\n\x0B\f\r]+', ' ', 'g')), '') as title,
+  nullif(trim(regexp_replace(regexp_replace(h1, '<[^>]*>', ' ', 'gs'), '[ \t\n\x0B\f\r]+', ' ', 'g')), '') as h1,
+  length(t)::bigint as n_chars, sha256(t) as text_sha256,
+  array_to_string(list_filter(['the', 'and', 'copy', 'robots'], lambda w: contains(t, w)), ',') as needles from s"""
+)
+def strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text, title and heading of each page, and which of some words it has."""
+    p = tables.read(spark, sf_dir, "pages").withColumn("t", pages.page_text(F.col("html")))
+    needles = F.array(*(F.lit(w) for w in ("the", "and", "copy", "robots")))
+    return p.select(
+        "page_id", pages.tag_text(F.col("html"), "title").alias("title"), pages.tag_text(F.col("html"), "h1").alias("h1"), F.length("t").cast("long").alias("n_chars"),
+        F.sha2("t", 256).alias("text_sha256"), F.array_join(F.filter(needles, lambda w: F.contains(F.col("t"), w)), ",").alias("needles"),
+    )
+
+
+@_query(
+    r"""with r as (select page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) as host, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) as h from pages),
+e as (select page_id, host, unnest(h) as href, unnest(range(len(h))) as position from r),
+b as (select *, string_split(string_split(href, '#')[1], '?')[1] as bare from e)
+select page_id, case when regexp_matches(bare, '^[A-Za-z]+://') then bare when bare like '/%' then host || bare else host || '/' || bare end as link, min(position)::int as position
+from b group by 1, 2"""
+)
+def page_links_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page, each at its first place."""
+    return pages.links(tables.read(spark, sf_dir, "pages"))
+
+
+@_query(
+    r"""with t as (select p_partkey, p_size, p_name || ' ' || p_size || case p_partkey % 3 when 0 then 'ml' when 1 then ' cl' else ' l' end as label, (p_retailprice * 100)::bigint as c from part),
+s as (select *, regexp_extract(label, '\b([0-9]{1,4})\s*(ml|cl)\b', ['n', 'u'], 'i') as a, regexp_extract(label, '([0-9]+)\s*(ml|cl|l)\b', ['n', 'u'], 'i') as b from t)
+select p_partkey, try_cast(nullif(a.n, '') as double) * case a.u when 'ml' then 1.0 when 'cl' then 10.0 end as search_ml,
+  try_cast(nullif(b.n, '') as double) * case b.u when 'ml' then 1.0 when 'cl' then 10.0 when 'l' then 1000.0 end as index_ml,
+  (c // 100) || ',' || lpad((c % 100)::varchar, 2, '0') || ' €' as price, c as price_cents, floor(c / 100.0 * p_size + 0.5)::bigint as actual_cents
+from s"""
+)
+def size_price_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and prices read from text, and the price behind a price per 100 ml."""
+    p = tables.read(spark, sf_dir, "part")
+    unit = F.when(F.col("p_partkey") % 3 == 0, "ml").when(F.col("p_partkey") % 3 == 1, " cl").otherwise(" l")
+    p = p.select("p_partkey", "p_size", F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), unit).alias("label"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("c"))
+    price = measures.euro_text(F.col("c"))
+    actual = measures.actual_price(F.concat(price, F.lit("/100 ml")), F.col("p_size").cast("double"))
+    return p.select(
+        "p_partkey", measures.size_ml(F.col("label")).alias("search_ml"), measures.index_size_ml(F.col("label")).alias("index_ml"), price.alias("price"),
+        measures.cents(measures.parse_price(price)).alias("price_cents"), measures.cents(actual).alias("actual_cents"),
+    )
+
+
+_LABEL_SQL = "p_name || case p_type when 'ECONOMY' then ' EDP for men' when 'STANDARD' then ' Eau de Toilette pour femme' when 'PROMO' then ' Extrait unisex' when 'SMALL' then ' EDC uomo' when 'LARGE' then ' Parfum' else '' end"
+
+
+@_query(
+    rf"""with t as (select p_partkey, {norm_sql(_LABEL_SQL)} as t from part),
+c as (select p_partkey, case when regexp_matches(t, '\bextrait(?: de)? parfum\b|\bextrait\b') then 'Extrait de Parfum' when regexp_matches(t, '\beau de parfum\b|\bedp\b') then 'Eau de Parfum'
+  when regexp_matches(t, '\beau de toilette\b|\bedt\b') then 'Eau de Toilette' when regexp_matches(t, '\beau de cologne\b|\bedc\b') then 'Eau de Cologne' when regexp_matches(t, '\bparfum\b') then 'Parfum' end as concentration,
+  case when regexp_matches(t, '\b(?:men|man|homme|uomo|herren|male)\b') then 'men' when regexp_matches(t, '\b(?:women|woman|femme|donna|damen|female)\b') then 'women' when regexp_matches(t, '\b(?:unisex|unisexe)\b') then 'unisex' else 'unknown' end as gender from t),
+a as (select l_partkey, case l_returnflag when 'N' then 'in stock' when 'R' then 'out of stock' else 'unknown' end as availability, count(*) as n from lineitem group by all)
+select p_partkey, concentration, gender, availability, case availability when 'in stock' then 0 when 'out of stock' then 1 when 'unknown' then 2 else 3 end as availability_rank, n from c join a on l_partkey = p_partkey"""
+)
+def classify_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentration and audience of products, and their offers by availability."""
+    kinds = {"ECONOMY": " EDP for men", "STANDARD": " Eau de Toilette pour femme", "PROMO": " Extrait unisex", "SMALL": " EDC uomo", "LARGE": " Parfum"}
+    label = F.concat("p_name", F.coalesce(*(F.when(F.col("p_type") == k, F.lit(v)) for k, v in kinds.items()), F.lit("")))
+    p = tables.read(spark, sf_dir, "part").select("p_partkey", classify.concentration(label).alias("concentration"), classify.gender(label).alias("gender"))
+    flag = F.when(F.col("l_returnflag") == "N", True).when(F.col("l_returnflag") == "R", False)
+    a = tables.read(spark, sf_dir, "lineitem").groupBy("l_partkey", classify.availability(F.lit(""), flag).alias("availability")).agg(F.count("*").alias("n"))
+    return p.join(a, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "concentration", "gender", "availability", classify.availability_rank(F.col("availability")).alias("availability_rank"), "n")
+
+
+@_query(
+    f"""with {OFFERS_SQL} select product_id, arg_min(store, (price_cents, store, name, url, l_orderkey, l_linenumber)) as store, min(price_cents) as price_cents, count(*) as n_offers,
+arg_min(url, (price_cents, store, name, url, l_orderkey, l_linenumber)) as url from offers group by product_id"""
+)
+def best_offer_per_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest offer of each product."""
+    order = F.struct("price_cents", "store", "name", "url", "l_orderkey", "l_linenumber")
+    best = tables.offers(spark, sf_dir).groupBy("product_id").agg(F.min_by(F.struct("store", "url"), order).alias("best"), F.min("price_cents").alias("price_cents"), F.count("*").alias("n_offers"))
+    return best.select("product_id", "best.store", "price_cents", "n_offers", "best.url")
+
+
+@_query(f"with {OFFERS_SQL} select store, product_id, price_cents, availability, l_orderkey, l_linenumber from offers qualify row_number() over (partition by store order by {_PRICE_ORDER_SQL}, {_ORDER_SQL}) <= 8")
+def topk_offers_per_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight offers of each store in price order."""
+    top = dedup.keep_first(tables.offers(spark, sf_dir), ["store"], [*rank.price_order(), *LINE_ORDER], per=8)
+    return top.select("store", "product_id", "price_cents", "availability", "l_orderkey", "l_linenumber")
+
+
+@_query(
+    f"""with {OFFERS_SQL}, g as (select *, trim(regexp_replace(lower(case when product_id % 2 = 0 then brand || ' ' || name || ' Uomo EDP' else name end), '[^a-z0-9]+', ' ', 'g')) as plain,
+  trim(regexp_replace(lower(brand), '[^a-z0-9]+', ' ', 'g')) as maker from offers),
+k as (select *, trim(regexp_replace(regexp_replace(regexp_replace(plain, '\\b' || maker || '\\b', ' ', 'g'), '\\b(?:uomo|edp)\\b', ' ', 'g'), ' +', ' ', 'g')) as line from g)
+select store, line, size_ml, product_id, price_cents, availability from k
+qualify row_number() over (partition by store, line, size_ml order by availability <> 'in stock', price_cents nulls last, {_ORDER_SQL}) = 1"""
+)
+def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each store, product line and size the offer in stock that is cheapest."""
+    o = tables.offers(spark, sf_dir)
+    label = F.when(F.col("product_id") % 2 == 0, F.concat("brand", F.lit(" "), "name", F.lit(" Uomo EDP"))).otherwise(F.col("name"))
+    o = o.withColumn("line", text.product_line(label, F.col("brand")))
+    best = dedup.keep_first(o, ["store", "line", "size_ml"], [F.col("availability") != "in stock", F.col("price_cents").asc_nulls_last(), *LINE_ORDER])
+    return best.select("store", "line", "size_ml", "product_id", "price_cents", "availability")
+
+
+@_query(
+    f"""with {OFFERS_SQL}, g as (select *, brand_n || ' ' || name_n as t from products where contains(brand_n || ' ' || name_n, 'red') and contains(brand_n || ' ' || name_n, 'pl') and not {_BARRED}
+  qualify row_number() over (partition by brand_n, name_n order by product_id) = 1),
+r as (select *, case when name_n like 'red pl%' then 0 when brand_n like 'red pl%' then 1 when contains(name_n, 'red pl') then 2 when contains(brand_n, 'red pl') then 3 else 4 end as priority,
+  case when strpos(t, 'red pl') = 0 then 999 else strpos(t, 'red pl') - 1 end as position from g)
+select product_id, name, brand, priority, position::int as position from r order by priority, position, length(name_n), name_n, product_id limit 8"""
+)
+def suggest_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight products to propose for the beginning of a query."""
+    return rank.suggest(tables.products(spark, sf_dir), "red pl")
+
+
+_OFFER_ID = "'OFFER-' || substr(sha1(store_n || '::' || product_id || '::' || '' || '::' || case when size_ml = floor(size_ml) then floor(size_ml)::bigint::varchar else size_ml::varchar end || '::' || {url}), 1, 16)".format(url=norm_sql("url"))
+
+
+@_query(f"with {OFFERS_SQL} select {_OFFER_ID} as offer_id, store, product_id, price_cents, availability, l_orderkey, l_linenumber from offers qualify row_number() over (partition by {_OFFER_ID} order by {', '.join(c + ' desc' for c in LINE_ORDER)}) = 1")
+def upsert_offers_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offer table after all lines were put in in order: the last of each key."""
+    o = tables.offers(spark, sf_dir)
+    o = o.withColumn("offer_id", catalog.offer_id(F.col("store"), F.col("product_id").cast("string"), F.lit(""), F.col("size_ml"), F.col("url")))
+    half = F.col("l_linenumber") <= 3
+    done = catalog.upsert(dedup.keep_last(o.filter(half), ["offer_id"], LINE_ORDER), o, "offer_id", LINE_ORDER)
+    return done.select("offer_id", "store", "product_id", "price_cents", "availability", "l_orderkey", "l_linenumber")
+
+
+@_query(
+    f"""with {OFFERS_SQL}, o as (select *, 'SH-AUTO-' || substr(sha1(brand_n || '::' || name_n), 1, 16) as made_id from offers),
+known as (select distinct 'SH-AUTO-' || substr(sha1(brand_n || '::' || name_n), 1, 16) as made_id from products where product_id % 4 <> 0)
+select made_id, brand, name, l_orderkey, l_linenumber from o anti join known using (made_id) qualify row_number() over (partition by made_id order by {_ORDER_SQL}) = 1"""
+)
+def ensure_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products made for offers that the product table (here three quarters of it) lacks."""
+    made = catalog.product_key(F.lit(""), F.col("brand"), F.col("name"))
+    known = tables.products(spark, sf_dir).filter(F.col("product_id") % 4 != 0).select(made.alias("made_id"))
+    o = tables.read(spark, sf_dir, "lineitem").join(tables.products(spark, sf_dir).withColumn("made_id", made), F.col("l_partkey") == F.col("product_id"))
+    return catalog.missing_products(o, known, "made_id", LINE_ORDER).select("made_id", "brand", "name", "l_orderkey", "l_linenumber")
+
+
+@_query(f"with {OFFERS_SQL} select (select count(*) from products) as products, count(*) as offers, count(distinct store) as stores from offers")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of products, offers and stores."""
+    return catalog.counts(tables.products(spark, sf_dir), tables.offers(spark, sf_dir))
+
+
+@_query(
+    f"""with {OFFERS_SQL} select p.product_id, p.name, o.store, o.price_cents, o.l_orderkey, o.l_linenumber, (row_number() over (partition by p.product_id order by o.price_cents, o.store, o.url, o.l_orderkey, o.l_linenumber, o.l_quantity) - 1)::int as position
+from products p left join offers o on p.product_id = o.product_id"""
+)
+def product_with_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product with its offers in price order, one row per offer."""
+    listed = catalog.with_offers(tables.products(spark, sf_dir), tables.offers(spark, sf_dir).drop("name"), "product_id", ["price_cents", "store", "url", "l_orderkey", "l_linenumber", "l_quantity"])
+    rows = listed.select("product_id", "name", F.posexplode_outer("offers").alias("position", "o"))
+    return rows.select("product_id", "name", "o.store", "o.price_cents", "o.l_orderkey", "o.l_linenumber", F.coalesce("position", F.lit(0)).alias("position"))
+
+
+_BM25_SQL = f"""with {OFFERS_SQL},
+w as (select product_id as doc, unnest(string_split(trim(name_n || ' ' || {norm_sql("kind")}), ' ')) as term from products),
+l as (select doc, count(*) as doc_len from w group by doc),
+s as (select (select count(*) from products) as n_all, sum(doc_len) as len_all from l),
+h as (select doc, q, count(*) as tf from w, (values ('re'), ('pl')) as v(q) where starts_with(term, q) group by doc, q),
+n as (select q, count(*) as n from h group by q),
+p as (select doc, q, greatest(ln((n_all - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len * n_all / len_all)) as part from h join n using (q) join l using (doc), s)
+select doc, (floor(-sum(part) * 1000000 + 0.5))::bigint as score_millionths from p group by doc having count(*) = 2"""
+
+
+@_query(_BM25_SQL)
+def fts_prefix_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products with words beginning as given, with their BM25 scores."""
+    p = tables.products(spark, sf_dir)
+    found = search_index.search(search_index.index_terms(p, "product_id", "name", "kind"), p, "product_id", PREFIXES)
+    return found.select("doc", F.floor(F.col("score") * 1000000 + 0.5).cast("bigint").alias("score_millionths"))
+
+
+@_query(
+    f"""with {OFFERS_SQL}, o as (select distinct product_id as offer_key, case when product_id % 3 = 0 then gtin end as gtin, case when product_id % 3 = 1 then brand || name end as mpn, product_id::varchar as catalog_id from offers),
+m as (select brand || name as mpn, min(product_id) as product_id from products group by 1 having count(*) = 1),
+u as (select offer_key, p.product_id, 'gtin' as method, 1.0 as score, 0 as tier from o join products p on o.gtin = p.gtin
+  union all select offer_key, m.product_id, 'mpn', 0.99, 1 from o join m using (mpn)
+  union all select offer_key, p.product_id, 'catalog_id', 0.98, 2 from o join products p on o.catalog_id = p.product_id::varchar where o.offer_key % 5 <> 0)
+select offer_key, product_id, method, score::double as score from u qualify row_number() over (partition by offer_key order by tier, product_id) = 1"""
+)
+def match_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers to products by article number, then maker's number, then catalog id."""
+    p = tables.products(spark, sf_dir).withColumns({"mpn": F.concat("brand", "name"), "cid": F.col("product_id").cast("string")})
+    k = F.col("product_id")
+    sold = tables.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("product_id")).distinct()
+    o = p.join(sold, "product_id", "left_semi").select(
+        k.alias("offer_key"), F.when(k % 3 == 0, F.col("gtin")).alias("o_gtin"), F.when(k % 3 == 1, F.col("mpn")).alias("o_mpn"), F.when(k % 5 != 0, F.col("cid")).alias("o_id")
+    )
+    return matcher.by_tiers(o, p, "offer_key", {"gtin": ("o_gtin", "gtin"), "mpn": ("o_mpn", "mpn"), "catalog_id": ("o_id", "cid")})
+
+
+@_query(
+    f"""with {OFFERS_SQL}, c as (select min(product_id) as product_id, name_n as c_name, brand_n as c_brand from products group by name_n, brand_n),
+o as (select product_id as offer_key, brand_n as o_brand, trim(name_n || case product_id % 4 when 0 then '' when 1 then ' new' when 2 then ' big blue' else ' ' || lower(kind) || ' line' end) as o_name from products where product_id % 10 = 0),
+x as (select *, list_distinct(string_split(o_name, ' ')) as a, list_distinct(string_split(c_name, ' ')) as b from o, c),
+f as (select *, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) as f from x),
+g as (select *, case when o_name = c_name then 1.0 when contains(' ' || o_name || ' ', ' ' || c_name || ' ') then greatest(f, 0.92) else f end as best from f),
+s as (select *, case when o_brand = c_brand then 0.45 + 0.55 * best else 0.95 * best end as score from g)
+select offer_key, product_id, case when score >= 0.94 then 'exact_name' else 'token_score' end as method, floor(score * 10000 + 0.5)::bigint as score_bp from s where score >= 0.86
+qualify row_number() over (partition by offer_key order by score desc, product_id) = 1"""
+)
+def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers under changed names to the most alike product (offers: every tenth product, renamed)."""
+    p = tables.products(spark, sf_dir)
+    c = p.groupBy(F.col("name_n").alias("name"), F.col("brand_n").alias("brand")).agg(F.min("product_id").alias("product_id"))
+    k = F.col("product_id") % 4
+    tail = F.when(k == 0, "").when(k == 1, " new").when(k == 2, " big blue").otherwise(F.concat(F.lit(" "), F.lower("kind"), F.lit(" line")))
+    o = p.filter(F.col("product_id") % 10 == 0).select(F.col("product_id").alias("offer_key"), F.concat("name_n", tail).alias("name"), F.col("brand_n").alias("brand"))
+    found = matcher.by_name(o, c, "offer_key")
+    return found.select("offer_key", "product_id", "method", F.floor(F.col("score") * 10000 + 0.5).cast("bigint").alias("score_bp"))
+
+
+@_query(
+    f"""with {OFFERS_SQL}, t as (select p.product_id, n.name_n as offer_text, p.brand_n || ' ' || p.name_n as wanted from products p join products n on n.product_id = p.product_id - p.product_id % 7)
+select product_id, list_bool_and(list_transform(list_filter(string_split(wanted, ' '), lambda w: length(w) >= 2), lambda w: contains(offer_text, w))) as matches from t"""
+)
+def canonical_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether all words of a product are within the text of an offer (here that of another product)."""
+    p = tables.products(spark, sf_dir)
+    other = p.select(F.col("product_id").alias("at"), F.col("name_n").alias("offer_text"))
+    j = p.join(other, F.col("at") == F.col("product_id") - F.col("product_id") % 7)
+    words = F.filter(F.split(F.concat_ws(" ", "brand_n", "name_n"), " "), lambda w: F.length(w) >= 2)
+    return j.select("product_id", F.forall(words, lambda w: F.contains(F.col("offer_text"), w)).alias("matches"))
+
+
+@_query(
+    "with s as (select distinct trim(lower(s_name)) as store from supplier), p as (select p_partkey from part order by p_partkey limit 50 offset 10) select p_partkey, store, trim(p_brand || ' ' || p_name) as query from p join part using (p_partkey), s"
+)
+def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of the catalog times all stores: the searches of a refresh."""
+    p = tables.read(spark, sf_dir, "part").orderBy("p_partkey").offset(10).limit(50)
+    s = tables.read(spark, sf_dir, "supplier").select(F.trim(F.lower("s_name")).alias("store")).distinct()
+    return s.crossJoin(F.broadcast(p)).select("p_partkey", "store", F.trim(F.concat_ws(" ", "p_brand", "p_name")).alias("query"))  # 50 rows by definition
+
+
+@_query(
+    """with o as (select l_partkey, l_shipdate, floor(l_extendedprice * 100 / l_quantity + 0.5)::bigint as c, l_suppkey from lineitem),
+d as (select l_partkey, l_shipdate, min(c) as price_cents, arg_min(l_suppkey, (c, l_suppkey)) as store_rank from o group by l_partkey, l_shipdate),
+g as (select *, lag(price_cents) over w as pc, lag(store_rank) over w as ps, row_number() over w as n from d window w as (partition by l_partkey order by l_shipdate))
+select l_partkey, l_shipdate, price_cents, store_rank from g where n = 1 or pc is distinct from price_cents or ps is distinct from store_rank
+qualify row_number() over (partition by l_partkey order by l_shipdate desc) <= 100"""
+)
+def price_history_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days on which the best price of a product or its store changed, the last hundred per product."""
+    lines = tables.read(spark, sf_dir, "lineitem").withColumn("c", tables.price_cents())
+    days = lines.groupBy("l_partkey", "l_shipdate").agg(F.min("c").alias("price_cents"), F.min(F.struct("c", "l_suppkey")).getField("l_suppkey").alias("store_rank"))
+    return dedup.changes(days, ["l_partkey"], ["l_shipdate"], ["price_cents", "store_rank"], most=100)
+
+
+@_query(
+    f"""with {OFFERS_SQL}, m as (select product_id, (select count(*) from (values ('red'), ('plate')) v(w) where list_contains(string_split(name_n, ' '), w)) as matched_name,
+  (select count(*) from (values ('red'), ('plate')) v(w) where contains(name_n, w)) as matched_text, (select count(*) from (values ('red'), ('plate')) v(w) where list_contains(string_split(brand_n, ' '), w)) as matched_brand from products)
+select product_id, matched_name::int as matched_name, matched_text::int as matched_text, matched_brand::int as matched_brand from m"""
+)
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a query shares with each product's name, text and brand."""
+    p = tables.products(spark, sf_dir)
+    found = rank.overlap(SEARCH, F.col("name_n"), F.col("name_n"), F.col("brand_n"))
+    return p.select("product_id", *(c.alias(n) for n, c in found.items()))
+
+
+@_query(
+    f"""with {OFFERS_SQL}, t as (select product_id, list_transform(['rad', 'plates'], lambda w: list_min(list_transform(string_split(name_n, ' '), lambda x: levenshtein(w, x)))) as d from products)
+select product_id, d[1]::int as first_distance, d[2]::int as second_distance, d[1] <= 1 and d[2] <= 1 as close from t"""
+)
+def fuzzy_tokens_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least edit distance of misspelled query words to the words of each name."""
+    p = tables.products(spark, sf_dir)
+
+    def nearest(word: str):
+        return F.array_min(F.transform(F.split("name_n", " "), lambda x: F.levenshtein(F.lit(word), x)))
+
+    return p.select("product_id", nearest("rad").alias("first_distance"), nearest("plates").alias("second_distance"), ((nearest("rad") <= 1) & (nearest("plates") <= 1)).alias("close"))
+
+
+@_query()
+def fuzzy_tokens_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each word of a query is like one of the name: equal, or with a matching ratio of 0.8."""
+    from difflib import SequenceMatcher
+
+    words = text.query_tokens("redd plates")
+
+    @F.pandas_udf("int")
+    def hits(names: pd.Series) -> pd.Series:
+        known: dict = {}
+
+        def count(name: str) -> int:
+            own = name.split()
+            return sum(w in own or any(SequenceMatcher(None, w, x).ratio() >= 0.8 for x in own) for w in words)
+
+        return names.map(lambda n: known[n] if n in known else known.setdefault(n, count(n)))
+
+    p = tables.products(spark, sf_dir)
+    return p.select("product_id", hits("name_n").alias("hits")).withColumn("all_hit", F.col("hits") == len(words))
+
+
+@_query()
+def page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each page says of one product."""
+    return pages.page_offers(tables.read(spark, sf_dir, "pages"))
