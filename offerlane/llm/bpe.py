@@ -33,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a part, and of one packed batch.
-PART_BYTES, BATCH_BYTES = 24 << 20, 4 << 20
-#: Words encoded at once.
-WORDS = 16_384
+PART_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+#: Words encoded at once, and words held before they are packed.
+WORDS, HELD = 8192, 400_000
+#: Compression of packed batches.
+LEVEL = 6
 
 
 @lru_cache(maxsize=2)
@@ -59,17 +61,18 @@ def _pieces(path: str) -> list[bytes]:
 
 
 def _encode(words: list[bytes], path: str) -> list[bytes]:
-    """The ids of each word as 32-bit numbers."""
+    """The ids of each word, as 16-bit numbers: the vocabulary has fewer pieces."""
+    assert len(_pieces(path)) <= 1 << 16
     got = []
     for k in range(0, len(words), WORDS):
         some = [w.decode() for w in words[k : k + WORDS]]
-        got += [np.array(e.ids, dtype="<i4").tobytes() for e in _tokenizer(path).encode_batch(some, add_special_tokens=False)]
+        got += [np.array(e.ids, dtype="<u2").tobytes() for e in _tokenizer(path).encode_batch(some, add_special_tokens=False)]
     return got
 
 
 def _packed(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -78,6 +81,19 @@ def _unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def _packed_words(words: list[bytes], ids: list[bytes]) -> bytes:
+    """Words, the numbers of their ids and the ids, each as one value."""
+    sizes = np.array([len(x) // 2 for x in ids], "<u4").tobytes()
+    values = [b" ".join(words), sizes, b"".join(ids)]
+    return _packed(pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["words", "sizes", "ids"]))
+
+
+def _unpacked_words(blob: bytes) -> tuple[list[bytes], list[bytes]]:
+    words, sizes, ids = (c[0].as_py() for c in _unpacked(blob).columns)
+    ends = (np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64) * 2).tolist()
+    return words.split(b" "), [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _parts(batches):
     """(part, slices of batches) in order; both passes over the documents cut alike."""
     from pyspark import TaskContext
@@ -120,7 +136,8 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
 
     def pack_texts(batches):
         for part, held in _parts(batches):
-            for batch in held:
+            while held:
+                batch = held.pop(0)
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed(batch)], pa.binary())], ["part", "texts"])
 
     def encode_words(batches):
@@ -131,8 +148,7 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
 
         def packed():
             for part, (words, ids) in waiting.items():
-                batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.binary())], ["word", "ids"])
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed(batch)], pa.binary())], ["part", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed_words(words, ids)], pa.binary())], ["part", "words"])
 
         for batch in batches:
             words = batch.column("word").to_pylist()
@@ -146,22 +162,16 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
             held += len(words)
             if words:
                 last, last_ids = words[-1], ids[words[-1]]
-            if held > 500_000:
+            if held > HELD:
                 yield from packed()
                 waiting, held = {}, 0
         yield from packed()
 
     def join_back(texts: pa.Table, words: pa.Table) -> pa.Table:
-        pieces, ids_of, text_of = _pieces(path), {}, {}
-
-        def add(some: list[bytes], ids: list[bytes]):
-            for w, x in zip(some, ids):
-                ids_of[w] = x
-                text_of[w] = b" ".join([pieces[i] for i in np.frombuffer(x, "<i4").tolist()])
-
+        ids_of: dict[bytes, bytes] = {}
         for blob in words.column("words").to_pylist():
-            table = _unpacked(blob)
-            add(table.column("word").to_pylist(), table.column("ids").to_pylist())
+            ids_of.update(zip(*_unpacked_words(blob)))
+        piece = _pieces(path).__getitem__
         out = []
         for blob in texts.column("texts").to_pylist():
             table = _unpacked(blob)
@@ -169,16 +179,18 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
             for x in _texts(table):
                 own = x.split() if x else []
                 try:
-                    ids.append(b"".join(map(ids_of.__getitem__, own)))
+                    of_text = b"".join(map(ids_of.__getitem__, own))
                 except KeyError:
                     missing = list(dict.fromkeys(w for w in own if w not in ids_of))
-                    add(missing, _encode(missing, path))
-                    ids.append(b"".join(map(ids_of.__getitem__, own)))
-                decoded.append(b" ".join(filter(None, map(text_of.__getitem__, own))))
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
-            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), values), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}))
-        return pa.concat_tables(out).combine_chunks()
+                    ids_of.update(zip(missing, _encode(missing, path)))
+                    of_text = b"".join(map(ids_of.__getitem__, own))
+                of_text = np.frombuffer(of_text, "<u2")
+                ids.append(of_text)
+                decoded.append(b" ".join(map(piece, of_text.tolist())))
+            offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+            values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}))
+        return pa.concat_tables(out)
 
     words = docs.mapInArrow(distinct_words, "word binary, part long").repartition("word").sortWithinPartitions("word")
     words = words.mapInArrow(encode_words, "part long, words binary")
