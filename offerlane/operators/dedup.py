@@ -25,13 +25,17 @@ def keep_last(df: DataFrame, keys: list[Column | str], order: list[Column]) -> D
 def identity_key(store: Column, name: Column, variant_id: Column, product_id: Column, gtin: Column, sku: Column, size: Column, concentration: Column) -> Column:
     """What tells offers of a store apart: the best identifier there is, tagged with its kind."""
     variant, product, code, stock = (filled(c) for c in (variant_id, product_id, gtin, sku))
-    s, n = norm(store), norm(name)
+    s, n, none = norm(store), norm(name), F.lit("")
+
+    def key(kind: str, *rest: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), s.alias("store"), *(c.alias(x) for x, c in zip("abc", [*rest, none, none])))
+
     return (
-        F.when(variant.isNotNull(), F.struct(F.lit("variant").alias("kind"), s.alias("store"), norm(variant).alias("a"), F.lit("").alias("b"), F.lit("").alias("c")))
-        .when(product.isNotNull(), F.struct(F.lit("product"), s, norm(product), n, F.lit("")))
-        .when(code.isNotNull(), F.struct(F.lit("gtin"), s, norm(code), F.lit(""), F.lit("")))
-        .when(stock.isNotNull(), F.struct(F.lit("sku"), s, norm(stock), F.lit(""), F.lit("")))
-        .otherwise(F.struct(F.lit("fallback"), s, n, F.coalesce(size.cast("string"), F.lit("")), F.coalesce(concentration, F.lit(""))))
+        F.when(variant.isNotNull(), key("variant", norm(variant)))
+        .when(product.isNotNull(), key("product", norm(product), n))
+        .when(code.isNotNull(), key("gtin", norm(code)))
+        .when(stock.isNotNull(), key("sku", norm(stock)))
+        .otherwise(key("fallback", n, F.coalesce(size.cast("string"), none), F.coalesce(concentration, none)))
     )
 
 

@@ -16,8 +16,8 @@ TIERS = (("gtin", 1.0), ("mpn", 0.99), ("catalog_id", 0.98))
 def by_identifier(offers: DataFrame, catalog: DataFrame, key: str, offer_col: str, catalog_col: str, catalog_key: str = "product_id") -> DataFrame:
     """offers with the product whose identifier is equal, if just one product has it:
     one row per matching offer, columns key and product_id."""
-    unique = catalog.filter(F.col(catalog_col).isNotNull()).groupBy(F.col(catalog_col).alias("id")).agg(F.min(catalog_key).alias("product_id"), F.countDistinct(catalog_key).alias("n")).filter("n = 1")
-    return offers.join(unique, F.col(offer_col) == F.col("id")).select(key, "product_id")
+    unique = catalog.filter(F.col(catalog_col).isNotNull()).groupBy(F.col(catalog_col).alias("_identifier")).agg(F.min(catalog_key).alias("product_id"), F.countDistinct(catalog_key).alias("n")).filter("n = 1")
+    return offers.join(unique, F.col(offer_col) == F.col("_identifier")).select(key, "product_id")
 
 
 def by_tiers(offers: DataFrame, catalog: DataFrame, key: str, tiers: dict[str, tuple[str, str]]) -> DataFrame:
