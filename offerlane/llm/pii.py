@@ -44,7 +44,7 @@ PROPOSED = {
     r"\(?[0-9](?:[ ./()-]{0,2}[0-9]){6,30}+": ("phone", "card"),
 }
 #: Labelled findings that are made for training; share of them that sets thresholds; precision wanted there; trees and depth.
-FINDINGS, FOLD, PRECISION, TREES, DEPTH = 6000, 4, 0.98, 12, 4
+FINDINGS, FOLD, PRECISION, TREES, DEPTH = 8000, 4, 0.98, 16, 5
 CUES = {
     "phone": r"(?i)(?:tel|phone|fax|call|mobile|cell|téléphone|telefon|teléfono|whatsapp)[^A-Za-z0-9]*$",
     "card": r"(?i)(?:card|visa|mastercard|amex|carte|karte|tarjeta|cc)[^A-Za-z0-9]*$",
@@ -145,21 +145,30 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     a3, b3, c4, d2, e2 = digits(1, 3), digits(2, 3), digits(3, 4), digits(4, 2), digits(5, 2)
     j = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     phone, card, mail = KINDS.index("phone"), KINDS.index("card"), KINDS.index("email")
-    # (kind, label, left context, match)
+    # (kind, label, match); the words before are dealt at random, so that format and context are learned apart
     forms = [
-        (phone, 1, "call me at ", j("(", a3, ") ", b3, "-", c4)), (phone, 1, "phone: ", j(a3, "-", b3, "-", c4)), (phone, 1, "tel. ", j(a3, ".", b3, ".", c4)),
-        (phone, 1, "of the ", j("(", a3, ") ", b3, "-", c4)), (phone, 1, "mobile ", j("0", d2, " ", b3, " ", e2, " ", d2)), (phone, 1, "telefon: ", j("0", d2, "/", digits(6, 7))),
-        (phone, 0, "order no ", digits(1, 10)), (phone, 0, "in ", j("19", d2, "-", "20", e2)), (phone, 0, "date: ", j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))),
-        (phone, 0, "isbn ", j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, "version ", j(digits(1, 1), ".", digits(2, 2), ".", digits(3, 5))),
-        (phone, 0, "the ", digits(1, 8)), (phone, 0, "and ", digits(1, 11)), (phone, 0, "of ", digits(1, 16)), (phone, 0, "at ", j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, "is ", valid_card(16)),
-        (phone, 0, "total ", j(digits(1, 3), ".", digits(2, 3), ".", digits(3, 3))), (phone, 0, "of ", j(digits(1, 2), "/", digits(2, 2), "/20", d2)), (phone, 0, "pages ", j(digits(1, 4), "-", digits(2, 4))),
-        (card, 1, "card: ", grouped(valid_card(16), ".")), (card, 1, "visa ", grouped(valid_card(16), "/")), (card, 1, "the ", grouped(valid_card(16), ".")), (card, 1, "of ", grouped(valid_card(16), "  ")),
-        (card, 0, "of ", digits(1, 16)), (card, 0, "the ", digits(1, 15)), (card, 0, "id ", grouped(digits(1, 16), "-")), (card, 0, "at ", j(a3, ".", b3, ".", d2, ".", e2)),
-        (card, 0, "and ", j("(", a3, ") ", b3, "-", c4)), (card, 0, "ref ", digits(1, 12)), (card, 0, "date ", j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))), (card, 0, "no ", digits(1, 9)), (card, 0, "the ", grouped(digits(1, 16), " ")),
-        (mail, 1, "mail ", j(word(1), "(at)", word(2), ".com")), (mail, 1, "to ", j(word(1), " [at] ", word(2), " [dot] org")), (mail, 1, "contact ", j(word(1), ".", word(2), "@", word(3), ".net")), (mail, 1, "the ", j(word(1), " (at) ", word(2), " (dot) de")),
-        (mail, 0, "the ", j(word(1), " @ ", word(2), ". ", word(3))), (mail, 0, "of ", j(word(1), "@ ", word(2), ".", word(3))),
+        (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j(a3, "-", b3, "-", c4)), (phone, 1, j(a3, ".", b3, ".", c4)),
+        (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j("0", d2, " ", b3, " ", e2, " ", d2)), (phone, 1, j("0", d2, "/", digits(6, 7))),
+        (phone, 0, digits(1, 10)), (phone, 0, j("19", d2, "-", "20", e2)), (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))),
+        (phone, 0, j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, j(digits(1, 1), ".", digits(2, 2), ".", digits(3, 5))),
+        (phone, 0, digits(1, 8)), (phone, 0, digits(1, 11)), (phone, 0, digits(1, 16)), (phone, 0, j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, valid_card(16)),
+        (phone, 0, j(digits(1, 3), ".", digits(2, 3), ".", digits(3, 3))), (phone, 0, j(digits(1, 2), "/", digits(2, 2), "/20", d2)), (phone, 0, j(digits(1, 4), "-", digits(2, 4))),
+        (card, 1, grouped(valid_card(16), ".")), (card, 1, grouped(valid_card(16), "/")), (card, 1, grouped(valid_card(16), ".")), (card, 1, grouped(valid_card(16), "  ")),
+        (card, 0, digits(1, 16)), (card, 0, digits(1, 15)), (card, 0, grouped(digits(1, 16), "-")), (card, 0, j(a3, ".", b3, ".", d2, ".", e2)),
+        (card, 0, j("(", a3, ") ", b3, "-", c4)), (card, 0, digits(1, 12)), (card, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))), (card, 0, digits(1, 9)), (card, 0, grouped(digits(1, 16), " ")),
+        (mail, 1, j(word(1), "(at)", word(2), ".com")), (mail, 1, j(word(1), " [at] ", word(2), " [dot] org")), (mail, 1, j(word(1), ".", word(2), "@", word(3), ".net")), (mail, 1, j(word(1), " (at) ", word(2), " (dot) de")),
+        (mail, 0, j(word(1), " @ ", word(2), ". ", word(3))), (mail, 0, j(word(1), "@ ", word(2), ".", word(3))),
     ]
-    form = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(left).alias("left"), match.alias("match")) for k, label, left, match in forms))
+    plain = ["the ", "of ", "and ", "is ", "at ", "in ", "to "]
+    cues = {phone: ["call ", "call me at ", "phone: ", "tel. ", "mobile ", "telefon: "], card: ["card: ", "visa ", "cc ", "carte: "], mail: ["mail ", "contact ", "write "]}
+    numbers = ["order no ", "isbn ", "version ", "id ", "ref ", "date: ", "total ", "pages "]
+    lefts = {(k, label): plain + (cues[k] if label else numbers + [c for other in cues if other != k for c in cues[other]]) for k in cues for label in (0, 1)}
+
+    def before(k: int, label: int, place: int) -> Column:
+        some = lefts[k, label]
+        return F.get(F.array(*(F.lit(x) for x in some)), F.pmod(F.xxhash64("id", F.lit(f"before{place}")), F.lit(len(some))).cast("int"))
+
+    form = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), before(k, label, i).alias("left"), match.alias("match")) for i, (k, label, match) in enumerate(forms)))
     made = spark.range(n).withColumn("f", F.get(form, F.pmod(F.col("id"), F.lit(len(forms))).cast("int")))
     return made.select("f.match", "f.left", F.lit(" ").alias("right"), "f.k", F.col("f.label").cast("double").alias("label"), F.pmod(F.floor(F.col("id") / len(forms)), F.lit(FOLD)).alias("fold"))
 

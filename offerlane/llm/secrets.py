@@ -26,7 +26,7 @@ from offerlane.llm.spans import entropy, matches, per_char
 TOKEN = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<!{TOKEN})(?={TOKEN}{{0,512}}[0-9]){TOKEN}{{16,}}+|(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?<!{TOKEN})[A-Za-z0-9+/_!@#$%^&*=-]{{8,}}+"
 #: What a text must contain to have a candidate.
-NEED = rf"{TOKEN}{{16}}|[=:][ \"'`]{{0,2}}[A-Za-z0-9]"
+NEED = rf"-----BEGIN|{TOKEN}{{16}}|[=:][ \"'`]{{0,2}}[A-Za-z0-9]"
 #: Common words and word parts, for dictionary coverage.
 DICTIONARY = (
     "the and for that with this from have not are was you your all can has but test example sample user name data file "
