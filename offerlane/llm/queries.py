@@ -156,3 +156,21 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlane.llm.pii import digest, personal_data
 
     return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
+ORACLE_SQL["op8_embedding_dedup"] = """
+with recursive e as materialized (
+  select vec_id, label, embedding::double[] as v from embeddings),
+good as materialized (
+  select * from e where vec_id is not null and label is not null and len(v) > 0
+    and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs as materialized (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach(id, c) as (
+  select vec_id, vec_id from e union select p.b, r.c from reach r join pairs p on p.a = r.id),
+component as (select id, min(c) as component_id from reach group by id),
+links as (select a, count(*) as n from pairs group by a)
+select e.vec_id, coalesce(l.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
+from e join component c on c.id = e.vec_id left join links l on l.a = e.vec_id
+"""
