@@ -33,9 +33,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes of a part, and of one packed batch.
-PART_BYTES, BATCH_BYTES = 32 << 20, 4 << 20
+PART_BYTES, BATCH_BYTES = 14 << 20, 2 << 20
 #: Words encoded at once, and words held before they are packed.
-WORDS, HELD = 8192, 400_000
+WORDS, HELD = 4096, 200_000
 #: Compression of packed batches.
 LEVEL = 6
 
@@ -190,6 +190,9 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
             offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
             out.append(pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}))
+            del table, ids, decoded, values
+        ids_of.clear()
+        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
         return pa.concat_tables(out)
 
     words = docs.mapInArrow(distinct_words, "word binary, part long").repartition("word").sortWithinPartitions("word")
