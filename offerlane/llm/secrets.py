@@ -1,7 +1,7 @@
 """Secret scans: high-recall candidates, and a random forest that removes false ones.
 
-Candidates are long tokens with a digit, shorter ones behind an assignment, and
-private-key headers. Each becomes a row of numbers: its length, its transitions between
+Candidates are long tokens with a digit, values behind an assignment (quoted or
+not, also in URLs), and private-key headers. Each becomes a row of numbers: its length, its transitions between
 character classes, its coverage by common words, its path and its neighbouring
 words. A random forest fitted on labelled findings gives the score.
 
@@ -23,10 +23,18 @@ from pyspark.sql import functions as F
 
 from offerlane.llm.spans import entropy, matches, per_char
 
-TOKEN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----|(?<!{TOKEN})(?={TOKEN}{{0,512}}[0-9]){TOKEN}{{16,}}+|(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?<!{TOKEN})[A-Za-z0-9+/_!@#$%^&*=-]{{8,}}+"
-#: What a text must contain to have a candidate.
-NEED = rf"-----BEGIN|{TOKEN}{{16}}|[=:][ \"'`]{{0,2}}[A-Za-z0-9]"
+TOKEN, VALUE = "[A-Za-z0-9+/_-]", "[A-Za-z0-9+/_!@#$%^&*=-]"
+#: In order: key headers, passwords in URLs, values of query parameters, all other assigned values (not from the second
+#: sign of "==" or ":="), long tokens with their padding. Values come before tokens, which would cut them at a sign.
+CANDIDATE = "|".join([
+    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+    r"(?<=:)(?<=//[A-Za-z0-9._%-]{0,32}:)[A-Za-z0-9+_!#$%^&*=-]{8,}+(?=@)",
+    r"(?<==)(?<=[?&][A-Za-z0-9_.-]{1,64}=)[A-Za-z0-9+/_!@#$%^*=-]{8,}+",
+    rf"(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?!(?<=[=:])=)(?<![?&][A-Za-z0-9_.-]{{1,64}}=){VALUE}{{8,}}+",
+    rf"(?<!{TOKEN})(?={TOKEN}{{0,512}}[0-9]){TOKEN}{{16,}}+(?:={{1,2}}+(?!{VALUE}))?+",
+])
+#: What a text must contain to have a candidate: less than each branch of CANDIDATE asks for.
+NEED = rf"-----BEGIN|{TOKEN}{{16}}|[=:] ?[\"'`]?{VALUE}{{8}}"
 #: Common words and word parts, for dictionary coverage.
 DICTIONARY = (
     "the and for that with this from have not are was you your all can has but test example sample user name data file "
@@ -129,7 +137,7 @@ def secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
     t = F.col("text")
     where = F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")
     found = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), where.alias("path"))
-    found = found.select("doc_id", "path", F.explode(F.when(t.rlike(NEED), matches(t, CANDIDATE, LEFT, RIGHT))).alias("x"))
+    found = found.select("doc_id", "path", F.explode(F.when(t.rlike(NEED), matches(t, CANDIDATE, LEFT, RIGHT, through=True))).alias("x"))
     rows = found.select("doc_id", "path", "x.*")
     feats = features(F.col("match"), F.col("left"), F.col("right"), F.col("path"))
     rows = rows.select("doc_id", "start", "end", "match", *(c.alias(f"f_{n}") for n, c in feats.items()))

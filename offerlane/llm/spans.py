@@ -11,17 +11,19 @@ from offerlane.llm.common import let
 MATCH = "struct<start:int,end:int,match:string,left:string,right:string>"
 
 
-def matches(text: Column, pattern: str, left: int = 0, right: int = 0) -> Column:
+def matches(text: Column, pattern: str, left: int = 0, right: int = 0, through: bool = False) -> Column:
     """The leftmost non-overlapping matches of a pattern in order.
 
-    The texts between matches, from split(), and the matches give the places."""
+    The texts between matches, from split(), and the matches give the places.
+    through: text on the left reaches through the match before."""
 
     def placed(p: Column, m: Column) -> Column:
         def step(acc: Column, k: Column) -> Column:
             before, own = F.get(p, k), F.get(m, k)
             start = acc["at"] + F.char_length(before)
             end = start + F.char_length(own)
-            row = F.struct(start.alias("start"), end.alias("end"), own.alias("match"), F.right(before, F.lit(left)).alias("left"), F.left(F.get(p, k + 1), F.lit(right)).alias("right"))
+            near = F.concat(F.coalesce(F.get(m, k - 1), F.lit("")), before) if through else before
+            row = F.struct(start.alias("start"), end.alias("end"), own.alias("match"), F.right(near, F.lit(left)).alias("left"), F.left(F.get(p, k + 1), F.lit(right)).alias("right"))
             return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
 
         none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))

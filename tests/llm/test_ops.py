@@ -325,6 +325,25 @@ def test_secrets(docs, empty, spark):
     assert secrets(docs).filter("doc_id = 12").count() >= 0 and secrets(empty).count() == 0
 
 
+def test_assigned_secrets(empty, spark):
+    """Values behind = or : are candidates, whole and without their keys."""
+    from offerlane.llm.secrets import CANDIDATE, NEED, secrets
+
+    rows = [
+        ("pwd=s3cr3tpw", ["s3cr3tpw"]), ("password=hunter2!xY ", ["hunter2!xY"]), ("DB_PASSWORD=hunter2hunter", ["hunter2hunter"]), ('password: "$uper!S1"', ["$uper!S1"]),
+        ("api_key=04dbebab91ab85687d33eeaaf9ac699e", ["04dbebab91ab85687d33eeaaf9ac699e"]), ("password=hunter2hunter2hunter!xY", ["hunter2hunter2hunter!xY"]),
+        ("https://a.example/x?page=1&token=s3cr3tpw99&b=2", ["s3cr3tpw99"]), ("postgres://bob:hunter2hunter2hunter@db:5432/x", ["hunter2hunter2hunter"]), ("a == b, x := y, =========", []),
+        ("if k==s3cr3tpw99", ["s3cr3tpw99"]), ("is QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw== or", ["QWxhZGRpbjpvcGVuIHNlc2FtZTEyMw=="]), ("AWS_SECRET_ACCESS_KEY_2=hunter2hunter", ["AWS_SECRET_ACCESS_KEY_2", "hunter2hunter"]),
+    ]
+    df = spark.createDataFrame([(i, t, "src1", "q", 1) for i, (t, _) in enumerate(rows)], SCHEMA)
+    got = {i: [] for i in range(len(rows))}
+    for r in secrets(df).orderBy("doc_id", "start").collect():
+        got[r.doc_id].append(r.secret)
+        assert rows[r.doc_id][0][r.start : r.end] == r.secret
+    assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
+    assert df.filter(F.col("text").rlike(CANDIDATE) & ~F.col("text").rlike(NEED)).count() == 0
+
+
 def test_toxicity(spark):
     from offerlane.llm.toxicity import fit, held_out, scored
 
