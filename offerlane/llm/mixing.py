@@ -1,8 +1,10 @@
 """Mixing sources to target weights by packed blocks.
 
 Words of each source are packed, documents in a pseudorandom order, into blocks
-of a fixed length. A mix is a number of output shards. Each source gives as many
-blocks as its target holds; the counts of its blocks per shard are drawn from a
+of a fixed length. A mix is a number of output shards. Each source gives all its
+blocks as often as its target holds the source, and of the rest as many blocks
+as come nearest, by their real lengths (its last block can be short), but one at
+least if it has a target at all; the counts of its blocks per shard are drawn from a
 multinomial distribution with that total, so the whole mix meets the targets.
 The k-th block that a source gives is its block perm(k mod n) in pass k div n,
 where perm is a pseudorandom permutation of its n block indexes. Slots and
@@ -61,18 +63,33 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
     return base.select("source", "source_size", "sid", "weight", target.alias("target"))
 
 
-def permuted(k: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+def permuted(k: Column, n: Column, key: Column, rounds: int = ROUNDS, inverse: bool = False) -> Column:
     """A pseudorandom permutation of 0 .. n-1 that depends on key, at k.
 
     Swap or not: in each round k has one partner, and a hash of the pair decides
-    whether the two change places."""
+    whether the two change places. inverse: where k is in the permutation, by the
+    same rounds backwards."""
 
     def step(x: Column, r: Column) -> Column:
         partner = F.pmod(F.pmod(F.xxhash64(key, r), n) - x + n, n)
         swap = F.pmod(F.xxhash64(key, r, F.greatest(x, partner)), F.lit(2)) == 1
         return F.when(swap, partner).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k.cast("long"), step)
+    return F.aggregate(F.sequence(F.lit(rounds), F.lit(1)) if inverse else F.sequence(F.lit(1), F.lit(rounds)), k.cast("long"), step)
+
+
+def with_slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """targets with n_blocks and n_slots: the blocks of a source, and how many the mix takes."""
+    t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    n, size = F.greatest(F.col("n_blocks"), F.lit(1)), F.greatest(F.col("source_size").cast("long"), F.lit(1))
+    words = F.round("target").cast("long")
+    t = t.withColumns({"passes": F.floor(words / size), "rest": words % size, "short": n * block - size, "last_at": permuted(n - 1, n, F.xxhash64(F.lit(SEED), "sid"), inverse=True)})
+    # the first k blocks of a pass, and how far their words are from the rest
+    at = F.floor(F.col("rest") / block)
+    off = lambda k: F.struct(F.abs(k * block - F.when(k > F.col("last_at"), F.col("short")).otherwise(0) - F.col("rest")).alias("off"), k.alias("k"))
+    nearest = F.array_min(F.array(*(off(F.least(at + i, n)) for i in range(3))))["k"]
+    slots = F.when(words > 0, F.greatest(F.col("passes") * n + nearest, F.lit(1))).otherwise(0)
+    return t.withColumn("n_slots", F.least(slots, MAX_PASSES * F.col("n_blocks")).cast("long")).drop("passes", "rest", "short", "last_at")
 
 
 def _sized(df: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
@@ -93,8 +110,7 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
     n_buckets = max(BUCKETS, sized.count() // 4096)
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(n_buckets)))
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    targets = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
-    targets = written(targets.withColumn("n_slots", F.least(F.round(F.col("target") / block).cast("long"), MAX_PASSES * F.col("n_blocks"))), "mix-targets")
+    targets = written(with_slots(targets, block), "mix-targets")
 
     ids = targets.select(F.col("source").alias("named"), "sid")
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))

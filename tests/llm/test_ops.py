@@ -124,6 +124,33 @@ def test_mixing(docs, empty):
     assert mix_digest(empty).count() == 0 and mix_documents(empty).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources of less than one and two blocks meet their targets too."""
+    from offerlane.llm.mixing import BLOCK, mix_digest, mix_documents
+
+    sizes = [("a", 10), ("b", 20), ("c", 65), ("d", 100), ("e", 5000), ("f", 30), ("g", 127), ("h", 64), (None, 40)]
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n)), s, "q", 1) for i, (s, n) in enumerate(sizes)], SCHEMA)
+    rows = by_id(mix_digest(df).collect())
+    for i, (_, n) in enumerate(sizes):
+        assert rows[i].taken > 0 and abs(rows[i].taken - rows[i].target) <= BLOCK / 2, rows[i]
+        assert n >= 5000 or rows[i].target == 3 * n == rows[i].taken
+    assert {r.doc_id: len(WORD.findall(r.text)) for r in mix_documents(df).collect()} == {i: rows[i].taken for i in rows}
+
+
+def test_mixing_slots(spark):
+    """The slots of a source come nearest to any target, as counted block by block."""
+    from offerlane.llm.mixing import SEED, permuted, with_slots
+
+    cases = [(sid, size, float(target)) for sid, size in enumerate((1, 10, 64, 65, 100, 127, 129, 200, 321)) for target in range(0, 3 * size + 1, 7)]
+    rows = with_slots(spark.createDataFrame(cases, "sid long, source_size long, target double")).collect()
+    order = {r.sid: r.p for r in spark.createDataFrame(sorted({c[:2] for c in cases}), "sid long, source_size long").select(
+        "sid", F.transform(F.sequence(F.lit(0), F.ceil(F.col("source_size") / 64) - 1), lambda k: permuted(k, F.ceil(F.col("source_size") / 64), F.xxhash64(F.lit(SEED), "sid"))).alias("p")).collect()}
+    for r in rows:
+        lengths = [min(64, r.source_size - 64 * i) for i in order[r.sid]] * 3
+        best = min(abs(sum(lengths[:k]) - r.target) for k in range(r.target > 0, len(lengths) + 1))
+        assert abs(sum(lengths[: r.n_slots]) - r.target) == best and (r.n_slots > 0) == (r.target > 0), r
+
+
 def test_permutation(spark):
     from offerlane.llm.mixing import permuted
 
