@@ -306,11 +306,21 @@ qualify row_number() over (partition by offer_key order by score desc, product_i
 )
 def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers under changed names to the most alike product (offers: every tenth product, renamed)."""
+    return _matched_names(spark, sf_dir, F.col("product_id") % 10 == 0)
+
+
+@_query()
+def match_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """match_text of all products as offers; its SQL would be a cross join of the whole catalog."""
+    return _matched_names(spark, sf_dir, F.lit(True))
+
+
+def _matched_names(spark: SparkSession, sf_dir: str, which) -> DataFrame:
     p = tables.products(spark, sf_dir)
     c = p.groupBy(F.col("name_n").alias("name"), F.col("brand_n").alias("brand")).agg(F.min("product_id").alias("product_id"))
     k = F.col("product_id") % 4
     tail = F.when(k == 0, "").when(k == 1, " new").when(k == 2, " big blue").otherwise(F.concat(F.lit(" "), F.lower("kind"), F.lit(" line")))
-    o = p.filter(F.col("product_id") % 10 == 0).select(F.col("product_id").alias("offer_key"), F.concat("name_n", tail).alias("name"), F.col("brand_n").alias("brand"))
+    o = p.filter(which).select(F.col("product_id").alias("offer_key"), F.concat("name_n", tail).alias("name"), F.col("brand_n").alias("brand"))
     found = matcher.by_name(o, c, "offer_key")
     return found.select("offer_key", "product_id", "method", F.floor(F.col("score") * 10000 + 0.5).cast("bigint").alias("score_bp"))
 
