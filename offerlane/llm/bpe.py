@@ -3,23 +3,32 @@
 The vocabulary never joins across white space, so the ids of a text are those of
 its words (runs without ASCII blanks) in order. The work is:
 
-1. Spark's scan partitions are cut into parts of about PART_BYTES of text. Each
-   part gives its distinct words.
-2. Words are dealt by word and sorted. Each distinct word is encoded once; its ids
-   are joined with the pieces of the vocabulary (a table by id of fixed size) and
-   go back to every part that has the word.
-3. Each part meets the words it asked for, and each place of a text takes the ids
-   and pieces of its word.
-
-Rows between steps are packed as compressed Arrow batches: a part's texts, and a
-part's words with their ids. No task holds more than one part or one range of
-words. Parts come from the order of rows in a scan partition; should a rerun
-order rows otherwise, words that a part did not ask for are encoded in place.
-
-Defined cases: null and empty texts have no ids and decode to the empty text;
-very long texts are a part of their own at most; repeated rows are encoded each;
-an empty table gives an empty table; the id column passes as it is, nulls too;
-other columns don't matter.
+1. Spark splits texts into words. Each scan partition is cut into parts of about
+   PART_BYTES of words. A part numbers its distinct words in order of occurrence,
+   its documents become places in that numbering, and the words are dealt by hash
+   into buckets: one request (bucket, part, words) each, compressed.
+2. Buckets are the shards of the distinct-word table. A bucket meets the requests
+   of all parts, encodes each distinct word once, and answers with the ids in the
+   order of the request.
+3. Parts meet their answers, joined by position: the n-th ids of an answer are
+   those of the n-th word that the part has in that bucket, and a document's ids
+   are those of its places.
+
+Decoding joins ids with the id-to-piece table. It has a row per id, at most
+MOST_PIECES, in order, so every task has it whole and each id takes the row at
+its position.
+
+A frequent word travels once per part, not once per occurrence, and no task holds
+more than one part or one bucket; buckets grow in number with the input. Requests
+get shorter with that, down to rows of a word each. The documents are read twice and both
+readings must be cut alike: inputs whose order can change between readings, as
+after a shuffle, are written first, and parts are named by a hash of their words,
+so that a difference stops the job instead of giving wrong ids.
+
+Defined cases: null and empty texts have no ids and decode to the empty text; a
+very long text is at most a part of its own; repeated rows are encoded each; an
+empty table gives an empty table; ids of documents have any type and pass as they
+are, nulls too; other columns don't matter. Vocabularies have at most 65,536 pieces.
 """
 
 from __future__ import annotations
@@ -32,12 +41,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes of a part, and of one packed batch.
-PART_BYTES, BATCH_BYTES = 14 << 20, 2 << 20
-#: Words encoded at once, and words held before they are packed.
-WORDS, HELD = 4096, 200_000
-#: Compression of packed batches.
+from offerlane.llm.common import words_of, written
+
+#: Bytes of words in a part; bytes of input for each bucket, and the least buckets.
+PART_BYTES, BUCKET_BYTES, BUCKETS = 24 << 20, 4 << 20, 32
+#: Words of documents that are joined at once, and words encoded at once.
+STEP, WORDS = 1 << 20, 4096
+#: Pieces that a vocabulary can have, as ids travel in 16 bits.
+MOST_PIECES = 1 << 16
+#: Compression of what is shuffled.
 LEVEL = 6
+OTHER_ORDER = "the rows of the input came in another order when they were read again"
 
 
 @lru_cache(maxsize=2)
@@ -50,19 +64,20 @@ def _tokenizer(path: str):
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
+    if found.get_vocab_size(with_added_tokens=True) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
     return found
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> list[bytes]:
-    """The vocabulary's pieces by id."""
+def _pieces(path: str) -> pa.Array:
+    """The id-to-piece table: the vocabulary's pieces by id."""
     found = _tokenizer(path)
-    return [(found.id_to_token(i) or "").encode() for i in range(found.get_vocab_size(with_added_tokens=True))]
+    return pa.array([found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))])
 
 
 def _encode(words: list[bytes], path: str) -> list[bytes]:
-    """The ids of each word, as 16-bit numbers: the vocabulary has fewer pieces."""
-    assert len(_pieces(path)) <= 1 << 16
+    """The ids of each word as 16-bit numbers in a row."""
     got = []
     for k in range(0, len(words), WORDS):
         some = [w.decode() for w in words[k : k + WORDS]]
@@ -70,160 +85,176 @@ def _encode(words: list[bytes], path: str) -> list[bytes]:
     return got
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def _packed(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=LEVEL).compress(blob)
+
+
+def _unpacked(blob: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
-def _unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte of their size: high bytes are mostly zero and compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _packed_words(words: list[bytes], ids: list[bytes]) -> bytes:
-    """Words, the numbers of their ids and the ids, each as one value."""
-    sizes = np.array([len(x) // 2 for x in ids], "<u4").tobytes()
-    values = [b" ".join(words), sizes, b"".join(ids)]
-    return _packed(pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in values], ["words", "sizes", "ids"]))
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _unpacked_words(blob: bytes) -> tuple[list[bytes], list[bytes]]:
-    words, sizes, ids = (c[0].as_py() for c in _unpacked(blob).columns)
-    ends = (np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64) * 2).tolist()
-    return words.split(b" "), [ids[a:b] for a, b in zip([0, *ends], ends)]
+def _ends(words: pa.ListArray) -> np.ndarray:
+    """Running bytes of words at the end of each document."""
+    running = np.concatenate(([0], np.cumsum(pc.binary_length(words.values).to_numpy(zero_copy_only=False), dtype=np.int64)))
+    at = words.offsets.to_numpy()
+    return running[at[1:]] - running[at[0]]
 
 
 def _parts(batches):
-    """(part, slices of batches) in order; both passes over the documents cut alike."""
+    """(name, batches, places, words) of each part: its documents, of all their words
+    in order the number of the word, and the distinct words by number."""
+    import xxhash
     from pyspark import TaskContext
 
     task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def part():
+        words = pa.concat_arrays([b.column("words").flatten() for b in held]).dictionary_encode()
+        name = xxhash.xxh64_intdigest(b"%d %d\n" % (task, n) + "\n".join(words.dictionary.to_pylist()).encode())
+        return np.uint64(name).astype(np.int64), held, words.indices.to_numpy(), words.dictionary
+
     for batch in batches:
-        sizes = np.cumsum(pc.coalesce(pc.binary_length(batch.column("text")), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
+        ends, at = _ends(batch.column("words")), 0
         while at < batch.num_rows:
-            base = sizes[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(sizes, base + BATCH_BYTES, side="right")))
+            base = ends[at - 1] if at else 0
+            end = min(batch.num_rows, int(np.searchsorted(ends, base + PART_BYTES - size)) + 1)
             held.append(batch.slice(at, end - at))
-            size += int(sizes[min(end, batch.num_rows) - 1] - base)
-            at = end
+            size, at = size + int(ends[end - 1] - base), end
             if size >= PART_BYTES:
-                yield (task << 32) + n, held
+                yield part()
                 n, held, size = n + 1, [], 0
     if held:
-        yield (task << 32) + n, held
+        yield part()
+
+
+def _bucketed(words: pa.Array, buckets: int) -> tuple[list[bytes], np.ndarray]:
+    """The words, and the bucket of each."""
+    import xxhash
+
+    own = words.cast(pa.binary()).to_pylist()
+    return own, np.array([xxhash.xxh64_intdigest(w) for w in own], np.uint64) % np.uint64(buckets)
 
 
-def _texts(batch) -> list:
-    return batch.column("text").cast(pa.binary()).to_pylist()
+def _requests(batches, buckets: int):
+    """(bucket, part, words) rows."""
+    for name, _, _, words in _parts(batches):
+        own, at = _bucketed(words, buckets)
+        order = np.argsort(at, kind="stable")
+        found, starts = np.unique(at[order], return_index=True)
+        blobs = [_packed(b" ".join(own[k] for k in some.tolist())) for some in np.split(order, starts[1:])] if len(own) else []
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(np.full(len(found), name)), pa.array(blobs, pa.binary())], ["bucket", "part", "words"])
+
+
+def _answers(batches, path: str):
+    """(part, bucket, ids) rows for requests that come bucket by bucket."""
+    bucket, ids_of = None, {}
+    for batch in batches:
+        blobs = []
+        for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+            if own != bucket:
+                bucket, ids_of = own, {}
+            words = _unpacked(blob).split(b" ")
+            new = [w for w in words if w not in ids_of]
+            ids_of.update(zip(new, _encode(new, path)))
+            ids = [ids_of[w] for w in words]
+            blobs.append(_packed(_planes(np.array([len(x) // 2 for x in ids])) + b"".join(ids)))
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("bucket"), pa.array(blobs, pa.binary())], ["part", "bucket", "ids"])
+
+
+def _documents(batches, buckets: int):
+    """(part, docs, buckets, places) rows, one per part."""
+    for name, held, places, words in _parts(batches):
+        docs = pa.Table.from_batches([pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(b.column("words"))], ["doc_id", "n"]) for b in held])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, docs.schema) as out:
+            out.write_table(docs.combine_chunks())
+        blobs = [sink.getvalue().to_pybytes(), _planes(_bucketed(words, buckets)[1]), _planes(places)]
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([_packed(x)], pa.binary()) for x in blobs)], ["part", "docs", "buckets", "places"])
+
+
+def _joined(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The values of all places in order; place p has sizes[p] values from starts[p]."""
+    own = sizes[places]
+    return values[np.repeat(starts[places] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+
+
+def _with_ids(parts: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of one part with the ids of their places."""
+    if parts.num_rows != 1:
+        raise RuntimeError(OTHER_ORDER)
+    docs, buckets, places = (_unpacked(parts.column(c)[0].as_py()) for c in ("docs", "buckets", "places"))
+    docs, buckets, places = pa.ipc.open_stream(docs).read_all(), _numbers(buckets), _numbers(places)
+    asked = dict(zip(*(x.tolist() for x in np.unique(buckets, return_counts=True))))
+    got = dict(zip(answers.column("bucket").to_pylist(), answers.column("ids").to_pylist()))
+    if asked.keys() != got.keys():
+        raise RuntimeError(OTHER_ORDER)
+    order = np.argsort(buckets, kind="stable")  # the words in the order in which they were asked for
+    sizes, values = np.zeros(len(buckets), np.int64), []
+    at = 0
+    for bucket, n in sorted(asked.items()):
+        blob = _unpacked(got.pop(bucket))
+        sizes[order[at : at + n]] = _numbers(blob[: 4 * n])
+        values.append(np.frombuffer(blob, "<u2", offset=4 * n))
+        at += n
+    starts = np.zeros(len(buckets), np.int64)
+    starts[order] = np.cumsum(sizes[order]) - sizes[order]
+    values = np.concatenate(values) if values else np.zeros(0, "<u2")
+
+    ends = np.concatenate(([0], np.cumsum(docs.column("n").to_numpy(), dtype=np.int64)))
+    out, at = [], 0
+    while at < docs.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + STEP, side="right")) - 1)
+        own = places[ends[at] : ends[end]]
+        upto = np.concatenate(([0], np.cumsum(sizes[own])))[ends[at : end + 1] - ends[at]]
+        found = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(_joined(values, starts, sizes, own).astype(np.int32)))
+        out.append(pa.table({"doc_id": docs.column("doc_id").slice(at, end - at), "ids": found}))
+        at = end
+    pa.default_memory_pool().release_unused()  # workers are used again and would keep it
+    return pa.concat_tables(out)
 
 
 def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, ids (array of int) and decoded (their pieces joined by blanks) of each document."""
+    """doc_id and ids (array of int) of each document."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    id_type = docs.schema["doc_id"].dataType
-
-    def distinct_words(batches):
-        for part, held in _parts(batches):
-            words = set()
-            for batch in held:
-                for x in _texts(batch):
-                    if x:
-                        words.update(x.split())
-            for some in _slices(sorted(words), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array(np.full(len(some), part))], ["word", "part"])
-
-    def pack_texts(batches):
-        for part, held in _parts(batches):
-            while held:
-                batch = held.pop(0)
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed(batch)], pa.binary())], ["part", "texts"])
-
-    def encode_words(batches):
-        """Sorted (word, part) rows; a word is encoded where it first occurs."""
-        last, last_ids = None, None
-        waiting: dict[int, tuple[list, list]] = {}
-        held = 0
-
-        def packed():
-            for part, (words, ids) in waiting.items():
-                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_packed_words(words, ids)], pa.binary())], ["part", "words"])
-
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            new = [w for w, before in zip(words, [last, *words]) if w != before]
-            ids = dict(zip(new, _encode(new, path)))
-            if last is not None:
-                ids.setdefault(last, last_ids)
-            for word, part in zip(words, batch.column("part").to_pylist()):
-                own = waiting.get(part) or waiting.setdefault(part, ([], []))
-                own[0].append(word), own[1].append(ids[word])
-            held += len(words)
-            if words:
-                last, last_ids = words[-1], ids[words[-1]]
-            if held > HELD:
-                yield from packed()
-                waiting, held = {}, 0
-        yield from packed()
-
-    def join_back(texts: pa.Table, words: pa.Table) -> pa.Table:
-        ids_of: dict[bytes, bytes] = {}
-        for blob in words.column("words").to_pylist():
-            ids_of.update(zip(*_unpacked_words(blob)))
-        piece = _pieces(path).__getitem__
-        out = []
-        for blob in texts.column("texts").to_pylist():
-            table = _unpacked(blob)
-            ids, decoded = [], []
-            for x in _texts(table):
-                own = x.split() if x else []
-                try:
-                    of_text = b"".join(map(ids_of.__getitem__, own))
-                except KeyError:
-                    missing = list(dict.fromkeys(w for w in own if w not in ids_of))
-                    ids_of.update(zip(missing, _encode(missing, path)))
-                    of_text = b"".join(map(ids_of.__getitem__, own))
-                of_text = np.frombuffer(of_text, "<u2")
-                ids.append(of_text)
-                decoded.append(b" ".join(map(piece, of_text.tolist())))
-            offsets = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
-            values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-            out.append(pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(offsets, values), "decoded": pa.array(decoded, pa.binary()).cast(pa.string())}))
-            del table, ids, decoded, values
-        ids_of.clear()
-        pa.default_memory_pool().release_unused()  # workers are used again and would keep it
-        return pa.concat_tables(out)
-
-    words = docs.mapInArrow(distinct_words, "word binary, part long").repartition("word").sortWithinPartitions("word")
-    words = words.mapInArrow(encode_words, "part long, words binary")
-    texts = docs.mapInArrow(pack_texts, "part long, texts binary")
-    return texts.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_with_texts(join_back), f"doc_id {id_type.simpleString()}, ids array<int>, decoded string")
-
-
-def _with_texts(f):
-    """f for parts that have texts; others give nothing."""
-
-    def g(texts: pa.Table, words: pa.Table) -> pa.Table:
-        if texts.num_rows:
-            return f(texts, words)
-        return pa.table({"doc_id": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int32())), "decoded": pa.array([], pa.string())})
-
-    return g
-
-
-def _slices(some: list, n: int):
-    for k in range(0, len(some), n):
-        yield some[k : k + n]
-
-
-def decoded_text(ids: Column, path: str) -> Column:
-    """The text of an array of ids: their pieces, looked up by id, joined by blanks."""
-    pieces = F.array(*(F.lit(p.decode()) for p in _pieces(path)))
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), " ")
-
-
-def digests(found: DataFrame) -> DataFrame:
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # its rows can come in another order when read again
+        docs = written(docs, "texts")
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(BUCKETS, size // BUCKET_BYTES)
+    docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    requests = docs.mapInArrow(lambda batches: _requests(batches, buckets), "bucket long, part long, words binary")
+    requests = requests.repartition("bucket").sortWithinPartitions("bucket")
+    answers = requests.mapInArrow(lambda batches: _answers(batches, path), "part long, bucket long, ids binary")
+    parts = docs.mapInArrow(lambda batches: _documents(batches, buckets), "part long, docs binary, buckets binary, places binary")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_with_ids, schema)
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The text of an array of ids: each id joined with its piece, in order, by blanks."""
+
+    @F.arrow_udf("string")
+    def decode(ids: pa.Array) -> pa.Array:
+        found = _pieces(path).take(ids.flatten())
+        ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0))])
+        return pc.if_else(ids.is_valid(), pc.binary_join(pa.ListArray.from_arrays(ends, found), " "), None)
+
+    return decode(ids)
+
+
+def digests(found: DataFrame, path: str) -> DataFrame:
     """n_tokens and SHA-256 of the ids as text and of the decoded text."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"))

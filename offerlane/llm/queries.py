@@ -112,7 +112,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from offerlane.llm.bpe import digests, encoded
 
-    return digests(encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return digests(encoded(table(spark, sf_dir, "documents"), path), path)
 
 
 @query

@@ -160,27 +160,53 @@ def test_permutation(spark):
     assert got != list(range(n))
 
 
-def test_bpe(docs, empty):
+def test_bpe(docs, empty, spark):
     from tokenizers import Tokenizer
 
-    from offerlane.llm.bpe import decoded_text, digests, encoded
+    from offerlane.llm import bpe
+    from offerlane.llm.bpe import decoded, digests, encoded
 
     path = tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    rows = encoded(docs, path).collect()
-    assert len(rows) == len(TEXTS)
     texts = dict((i, x) for i, x, _ in TEXTS)
-    for r in rows:
-        ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
-        assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
-    for r in digests(encoded(docs, path)).collect():
+    more = docs.unionByName(docs.limit(0))
+    for df in (docs, docs.repartition(5, "source"), docs.coalesce(1), more):
+        rows = encoded(df, path).select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded")).collect()
+        assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(i) for i, _, _ in TEXTS)
+        for r in rows:
+            ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+            assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
+    for r in digests(encoded(docs, path), path).collect():
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        decoded_text = t.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-    some = encoded(docs, path).filter("doc_id = 7")
-    assert some.select(decoded_text(F.col("ids"), path)).first()[0] == some.first().decoded
+        assert r.decoded_sha256 == hashlib.sha256(decoded_text.encode()).hexdigest()
+    none = spark.createDataFrame([(None, [5, 9]), (1, []), (2, None)], "doc_id long, ids array<int>").select(decoded(F.col("ids"), path)).collect()
+    assert [r[0] for r in none] == [t.decode([5, 9]), "", None]
     assert encoded(empty, path).count() == 0
 
 
+def test_bpe_ids_and_parts(docs, spark, monkeypatch):
+    """String ids and null ids pass, and documents in many small parts and buckets give the same."""
+    from tokenizers import Tokenizer
+
+    from offerlane.llm import bpe
+
+    path = tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "PART_BYTES", 2000)
+    monkeypatch.setattr(bpe, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(bpe, "STEP", 50)
+    texts = {None if i is None else f"d{i}": x for i, x, _ in TEXTS}
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    rows = bpe.encoded(named, path).collect()
+    assert len(rows) == len(TEXTS)
+    for r in rows:
+        assert r.ids == t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+    blank = spark.createDataFrame([("a", None), ("b", " "), (None, "")], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.ids) for r in bpe.encoded(blank, path).collect()) == [("", []), ("a", []), ("b", [])]
+
+
 def test_token_counts(docs, empty):
     import base64
 
