@@ -41,7 +41,8 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of each document."""
     import public_tokenizers
 
-    return digests(encoded(docs, public_tokenizers.path("word_bpe_49k.json")))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return digests(encoded(docs, path), path)
 
 
 STAGES = [
