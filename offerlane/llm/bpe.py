@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import words_of, written
+from offerlane.llm.common import reread, words_of
 
 #: Bytes of words in a part; bytes of input for each bucket, and the least buckets.
 PART_BYTES, BUCKET_BYTES, BUCKETS = 24 << 20, 4 << 20, 32
@@ -229,8 +229,7 @@ def _with_ids(parts: pa.Table, answers: pa.Table) -> pa.Table:
 def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and ids (array of int) of each document."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # its rows can come in another order when read again
-        docs = written(docs, "texts")
+    docs = reread(docs, "texts")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     buckets = max(BUCKETS, size // BUCKET_BYTES)
     docs = docs.select("doc_id", words_of(F.col("text")).alias("words"))

@@ -40,9 +40,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local one where that is unset (single machine, tests)."""
+    local one where that is unset and all runs on this machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='offerlane-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -59,3 +61,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def reread(df: DataFrame, name: str) -> DataFrame:
+    """df for work that reads it more than once and relies on the order of its rows:
+    as it is if it is a plain scan, else (rows come out of a shuffle in any order)
+    written first."""
+    return written(df, name) if "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """df, as reread() gives it, with a number per row."""
+    return df.withColumn(row, F.monotonically_increasing_id())
+
+
+def rows_by_number(picked: DataFrame, df: DataFrame, text: str):
+    """picked (with row and tie: a row's number and the xxhash64 of its text) and its
+    rows of df, as columns m.* and d.*, and a function that guards a column of text:
+    a row that came with another's number stops the job."""
+    (row,) = fresh(df, "row")
+    joined = picked.alias("m").join(numbered(df, row).alias("d"), F.col("m.row") == F.col(f"d.`{row}`"), "left")
+    same = F.xxhash64(F.col(f"d.`{text}`")) == F.col("m.tie")
+    return joined, lambda body: F.when(same, body).otherwise(F.raise_error(F.lit("the rows of the input came in another order when they were read again")))
