@@ -43,6 +43,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents"), dropped="n_dropped").select("doc_id", "source", "text", "n_dropped")
 
 
+@query
+def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every web page without the boilerplate lines of its host: op10 where there are URLs."""
+    from offerlane.llm.lines import drop_boilerplate, host_of
+
+    pages = table(spark, sf_dir, "pages").withColumn("host", host_of(F.col("url")))
+    found = drop_boilerplate(pages, text="html", site="host", dropped="n_dropped")
+    return found.select("page_id", "host", F.sha2("html", 256).alias("html_sha256"), "n_dropped")
+
+
 _STOP = "'" + "','".join(sorted({f(s) for s in __import__("offerlane.llm.quality", fromlist=["STOP_WORDS"]).STOP_WORDS for f in (str.lower, str.title, str.upper)})) + "'"
 
 ORACLE_SQL["op2_quality_rules"] = rf"""
@@ -76,21 +86,24 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
 from b
 """
 
-ORACLE_SQL["op10_line_dedup"] = r"""
-with l as (
-  select distinct doc_id, source, regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as line
-  from (select doc_id, source, unnest(string_split(text, chr(10))) as x from documents) where regexp_matches(x, '[^\x20\x09-\x0D]')),
-t as (select source, count(*) as n_pages from documents group by source),
-c as (select source, line, count(*) as n from l group by source, line),
-b as (select c.source, list(line) as lines from c join t on c.source is not distinct from t.source
-      where n >= 5 and n > 0.05 * n_pages group by c.source),
-j as (select d.doc_id, d.source, d.text, string_split(d.text, chr(10)) as x, coalesce(b.lines, []) as lines
-      from documents d left join b on d.source is not distinct from b.source),
-k as (select *, list_filter(x, lambda y: not list_contains(lines, regexp_replace(regexp_replace(y, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) or not regexp_matches(y, '[^\x20\x09-\x0D]')) as rest from j)
-select doc_id, source, case when text is null then null else array_to_string(rest, chr(10)) end as text,
-       coalesce(len(x) - len(rest), 0)::bigint as n_dropped
-from k
+_LINES_SQL = r"""
+with d as (select {id} as id, {site} as site, {text} as text from {table}),
+l as (
+  select distinct id, site, regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '') as line
+  from (select id, site, unnest(string_split(text, chr(10))) as x from d) where regexp_matches(x, '[^\x20\x09-\x0D]')),
+t as (select site, count(*) as n_pages from d group by site),
+c as (select site, line, count(*) as n from l group by site, line),
+b as (select c.site, list(line) as lines from c join t on c.site is not distinct from t.site
+      where n >= 2 and n > 0.05 * n_pages group by c.site),
+j as (select d.*, string_split(d.text, chr(10)) as x, coalesce(b.lines, []) as lines
+      from d left join b on d.site is not distinct from b.site),
+k as (select *, list_filter(x, lambda y: not list_contains(lines, regexp_replace(regexp_replace(y, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')) or not regexp_matches(y, '[^\x20\x09-\x0D]')) as rest from j),
+r as (select id, site, case when text is null then null else array_to_string(rest, chr(10)) end as text, coalesce(len(x) - len(rest), 0)::bigint as n_dropped from k)
+select {out}, n_dropped from r
 """
+ORACLE_SQL["op10_line_dedup"] = _LINES_SQL.format(id="doc_id", site="source", text="text", table="documents", out="id as doc_id, site as source, text")
+_HOST_SQL = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1))"
+ORACLE_SQL["page_line_dedup"] = _LINES_SQL.format(id="page_id", site=_HOST_SQL, text="html", table="pages", out="id as page_id, site as host, sha256(text) as html_sha256")
 
 
 @query
