@@ -10,13 +10,20 @@ from offerlane.llm.common import let
 #: A match: code points start .. end (exclusive), its text, and some text on either side up to the next match.
 MATCH = "struct<start:int,end:int,match:string,left:string,right:string>"
 
+#: Matches whose places are summed in one run.
+BLOCK = 256
+
 
 def matches(text: Column, pattern: str, left: int = 0, right: int = 0, through: bool = False) -> Column:
     """The leftmost non-overlapping matches of a pattern in order.
 
-    The texts between matches, from split(), and the matches give the places.
+    The texts between matches, from split(), and the matches give the places: those
+    within a block of BLOCK matches by a running sum, as arrays grow by copying, and
+    the blocks' starts by another.
     through: text on the left reaches through the match before."""
 
+    none = F.array().cast(f"array<{MATCH}>")
+
     def placed(p: Column, m: Column) -> Column:
         def step(acc: Column, k: Column) -> Column:
             before, own = F.get(p, k), F.get(m, k)
@@ -26,11 +33,20 @@ def matches(text: Column, pattern: str, left: int = 0, right: int = 0, through:
             row = F.struct(start.alias("start"), end.alias("end"), own.alias("match"), F.right(near, F.lit(left)).alias("left"), F.left(F.get(p, k + 1), F.lit(right)).alias("right"))
             return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), none, step, lambda acc: acc["out"])
+        def block(first: Column) -> Column:
+            places = F.sequence(first, F.least(first + BLOCK, F.size(m)) - 1)
+            return F.aggregate(places, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+        def onward(acc: Column, own: Column) -> Column:
+            moved = F.transform(own["out"], lambda x: x.withField("start", x["start"] + acc["at"]).withField("end", x["end"] + acc["at"]))
+            return F.struct((acc["at"] + own["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.size(m) - 1, F.lit(BLOCK)), block)
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{MATCH}>>").alias("out"))
+        return F.aggregate(blocks, start, onward, lambda acc: F.flatten(acc["out"]))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, let(F.split(text, pattern, -1), lambda p: placed(p, m))))
-    return F.coalesce(found, F.array().cast(f"array<{MATCH}>"))
+    return F.coalesce(found, none)
 
 
 def digits_of(x: Column) -> Column:
