@@ -31,7 +31,7 @@ CANDIDATE = "|".join([
     r"(?<=:)(?<=//[A-Za-z0-9._%-]{0,32}:)[A-Za-z0-9+_!#$%^&*=-]{8,}+(?=@)",
     r"(?<==)(?<=[?&][A-Za-z0-9_.-]{1,64}=)[A-Za-z0-9+/_!@#$%^*=-]{8,}+",
     rf"(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?!(?<=[=:])=)(?<![?&][A-Za-z0-9_.-]{{1,64}}=){VALUE}{{8,}}+",
-    rf"(?<!{TOKEN})(?={TOKEN}{{0,512}}[0-9]){TOKEN}{{16,}}+(?:={{1,2}}+(?!{VALUE}))?+",
+    rf"(?<!{TOKEN})(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+(?:={{1,2}}+(?!{VALUE}))?+",
 ])
 #: What a text must contain to have a candidate: less than each branch of CANDIDATE asks for.
 NEED = rf"-----BEGIN|{TOKEN}{{16}}|[=:] ?[\"'`]?{VALUE}{{8}}"
