@@ -16,8 +16,9 @@ third of all documents is never sorted in one task.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; a null
 source is a source of its own, last in order; equal rows are documents of their
-own; an empty table gives an empty table; columns of the input are not touched
-by helper columns, as they are renamed at the start.
+own, each with its words and its share; very long texts are in many blocks; an
+empty table gives an empty table; columns of the input are not touched by helper
+columns, as they are renamed at the start.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import fresh, let, words_of, written
+from offerlane.llm.common import fresh, let, numbered, reread, rows_by_number, words_of, written
 
 #: Weights by order of source, repeating; most times that a source is repeated.
 WEIGHTS, MAX_PASSES = (1, 2, 3), 3
@@ -33,10 +34,10 @@ WEIGHTS, MAX_PASSES = (1, 2, 3), 3
 BLOCK, SHARD, ROUNDS, SEED = 64, 4096, 24, 20240
 BLANK = " \t\n\x0b\f\r"
 AFTER_SPACE = "(?<=[ \\t-\\r])(?=[^ \\t-\\r])"
-#: Least buckets of a running sum, and most slots made from one row.
+#: Least buckets of a running sum, and slots made from one row.
 BUCKETS, CHUNK = 64, 1024
-#: Slots that one task makes.
-TASK = 1 << 17
+#: Slots that one task makes; rows that slots are made from, at most (and one per source); shards in a run of a running sum.
+TASK, MOST_CHUNKS, RUN = 1 << 17, 1 << 20, 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -93,16 +94,19 @@ def with_slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _sized(df: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
-    """doc_id, source, size and a bucket of the order in which documents are packed."""
+    """row, doc_id, source, size, and the order in which documents are packed."""
     size = F.size(words_of(F.col(f"`{text}`"))).cast("long")
-    picked = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
+    (row,) = fresh(df, "row")
+    picked = numbered(df, row).select(F.col(row).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("tie"))
     return picked.withColumn("place", F.xxhash64(F.lit(SEED), "doc_id", "tie"))
 
 
 def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(packed, slots, targets).
 
-    packed: doc_id, tie, sid, size, start (of the document in its source's words).
+    df is read in the same order each time, as by reread().
+
+    packed: row, doc_id, tie, sid, size, start (of the document in its source's words).
     slots: sid, shard, k, index, pass_no: the blocks that the mix takes.
     targets: as source_targets(), with n_blocks and n_slots."""
     sized = written(_sized(df, text, source, doc_id), "mix-sizes")
@@ -117,73 +121,74 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)).alias("bucket_start"))
     sums = sums.join(ids, F.col("source").eqNullSafe(F.col("named"))).select("sid", "bucket", "bucket_start", F.col("named"))
-    within = Window.partitionBy("named", "bucket").orderBy("place", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("named", "bucket").orderBy("place", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     s, b = sized.alias("s"), sums.alias("b")
     packed = s.join(b, (F.col("s.bucket") == F.col("b.bucket")) & F.col("source").eqNullSafe(F.col("named")))
-    packed = packed.select("doc_id", "tie", "place", "sid", "size", "named", F.col("s.bucket").alias("bucket"), "bucket_start")
+    packed = packed.select("row", "doc_id", "tie", "place", "sid", "size", "named", F.col("s.bucket").alias("bucket"), "bucket_start")
     packed = packed.withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    return packed.select("doc_id", "tie", "sid", "size", "start"), _slots(targets), targets
+    return packed.select("row", "doc_id", "tie", "sid", "size", "start"), _slots(targets), targets
 
 
 def _slots(targets: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """The slots of the mix: draws of a shard per slot counted by (source, shard),
     numbered on within the source, and mapped to block indexes."""
+    total = int(targets.agg(F.sum("n_slots")).first()[0] or 0)
+    n_shards = max(1, -(-total // shard))
+    # few bytes make many slots here: the number of tasks follows the slots, and slots are never a side to broadcast
+    tasks, chunk = max(1, -(-total // TASK)), max(chunk, -(-total // MOST_CHUNKS))
     key = F.struct("sid", "n_blocks", "n_slots", "chunk")
     parts = targets.filter(F.col("n_slots") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_slots").cast("long") - 1, F.lit(chunk))))
-    total = targets.agg(F.sum("n_slots")).first()[0] or 0
-    n_shards = max(1, -(-int(total) // shard))
-    # few bytes make many slots here: the number of tasks follows the slots, and slots are never a side to broadcast
-    tasks = max(1, -(-int(total) // TASK))
     parts = parts.select(key.alias("c")).repartition(tasks, "c")
     last = F.least(F.col("c.n_slots"), F.col("c.chunk") + chunk) - 1
     drawn = parts.select("c.sid", "c.n_blocks", F.explode(F.sequence(F.col("c.chunk"), last)).alias("draw"))
     drawn = drawn.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "sid", "draw"), F.lit(n_shards)))
-    counts = drawn.groupBy("sid", "n_blocks", "shard").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    counts = drawn.groupBy("sid", "n_blocks", "shard").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
+    # running sums in two steps, over runs of shards and within a run, so that no source is sorted in one task
+    up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("sid", "run").agg(F.sum("n").alias("run_n"))
+    runs = runs.select("sid", "run", F.coalesce(F.sum("run_n").over(up_to("sid").orderBy("run")), F.lit(0)).alias("run_first"))
+    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(up_to("sid", "run").orderBy("shard")), F.lit(0)))
+    counts = counts.join(runs, ["sid", "run"]).withColumn("first", F.col("first") + F.col("run_first"))
     slots = counts.repartition(tasks, "sid", "shard").select("sid", "n_blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     return slots.select("sid", "shard", "k", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(SEED), "sid")).alias("index"), F.floor(F.col("k") / F.col("n_blocks")).alias("pass_no"))
 
 
 def taken_blocks(packed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, tie, size, sid, and per block of the document that the mix takes: index,
+    """row, tie, size, sid, and per block of the document that the mix takes: index,
     times, and the words first .. last (from 0, end exclusive) that it covers."""
     times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"))
     filled = packed.filter(F.col("size") > 0)
     parts = filled.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
     last = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("start"))
-    return parts.join(times.hint("merge"), ["sid", "index"]).select("doc_id", "tie", "sid", "size", "start", "index", "times", first.alias("first"), last.alias("last"))
+    return parts.join(times.hint("merge"), ["sid", "index"]).select("row", "tie", "sid", "size", "index", "times", first.alias("first"), last.alias("last"))
 
 
 def mix_digest(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    packed, slots, targets = mixed(df, text, source, doc_id, block)
+    packed, slots, targets = mixed(reread(df, "mix-docs"), text, source, doc_id, block)
     packed = written(packed, "mix-packed")
-    taken = taken_blocks(packed, slots, block).groupBy("sid", "start", "size").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken"))
-    joined = packed.join(taken, ["sid", "start", "size"], "left").join(targets.select("sid", "source_size", "target"), "sid")
+    taken = taken_blocks(packed, slots, block).groupBy("row").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken"))
+    joined = packed.join(taken, "row", "left").join(targets.select("sid", "source_size", "target"), "sid")
     return joined.select("doc_id", "size", F.col("source_size").cast("long"), "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, n_chars: str | None = None) -> DataFrame:
     """The mix as documents: a row of df for each document that gives words, its
     text made of the taken stretches, pass by pass, with their own white space.
-    Rows equal in id, source and text all get the stretches of the first of them.
     Columns of df are kept; n_chars names one to set to the new length."""
+    df = reread(df, "mix-docs")
     packed, slots, targets = mixed(df, text, source, doc_id, block)
-    piece = F.struct("start", "first", "last", "times")
-    pieces = taken_blocks(packed, slots, block).groupBy("doc_id", "tie", "sid").agg(F.sort_array(F.collect_list(piece)).alias("p"))
-    pieces = pieces.withColumn("p", F.filter("p", lambda x: x["start"] == F.get("p", F.lit(0))["start"]))
-    pieces = pieces.join(targets.select("sid", F.col("source").alias("named")), "sid").select("doc_id", "tie", "named", "p").alias("m")
+    piece = F.struct("first", "last", "times")
+    pieces = taken_blocks(packed, slots, block).groupBy("row", "tie").agg(F.sort_array(F.collect_list(piece)).alias("p"))
 
     (new,) = fresh(df, "mixed_text")
-    keys = F.xxhash64(F.col(f"d.`{text}`")).eqNullSafe(F.col("m.tie")) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col("m.doc_id"))
-    joined = df.alias("d").join(pieces, keys & F.col(f"d.`{source}`").eqNullSafe(F.col("m.named")))
+    joined, guarded = rows_by_number(pieces, df, text)
     body = let(
         F.split(F.btrim(F.col(f"d.`{text}`"), F.lit(BLANK)), AFTER_SPACE),
         lambda words: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1)), lambda p: _stretches(words, p)), "\n"),
     )
-    joined = joined.withColumn(new, F.btrim(body, F.lit(BLANK)))
+    joined = joined.withColumn(new, guarded(F.btrim(body, F.lit(BLANK))))
     out = {text: F.col(new)} | ({n_chars: F.char_length(new).cast("long")} if n_chars else {})
     return joined.select(*(out.get(c, F.col(f"d.`{c}`")).alias(c) for c in df.columns))
 
