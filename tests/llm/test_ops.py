@@ -81,9 +81,45 @@ def test_line_dedup(docs, empty, spark):
         assert r.text == want[r.doc_id]
         assert r.gone == (0 if r.text is None else dict((i, t) for i, t, _ in TEXTS)[r.doc_id].count("\n") - r.text.count("\n"))
     assert drop_boilerplate(empty).count() == 0
+    bare = drop_boilerplate(docs.select("text", "source"), max_ratio=0.3)
+    assert bare.columns == ["text", "source"] and bare.count() == len(TEXTS)
     assert spark.range(1).select(host_of(F.lit("https://A.Example/x")), host_of(F.lit("::"))).first()[0] == "a.example"
 
 
+def test_line_dedup_small_sites_and_long_texts(spark):
+    """Lines on two of a site's pages go, a site of one page keeps all, and long texts take seconds."""
+    import time
+
+    from offerlane.llm.lines import drop_boilerplate
+
+    rows = [(k, f"page {k}\nfooter of a\n", "a") for k in range(4)] + [(9, "x\nx\ny", "b"), (10, "p", None), (11, "p\nq", None)]
+    rows += [(20, "\n".join(f"line {k}" for k in range(100_000)), "c"), (21, "\n".join(f"line {k}" for k in range(50_000, 150_000)), "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = time.time()
+    got = {r.doc_id: r.text for r in drop_boilerplate(df).collect()}
+    assert time.time() - start < 40
+    assert [got[k] for k in range(4)] == [f"page {k}\n" for k in range(4)]
+    assert got[9] == "x\nx\ny" and got[10] == "" and got[11] == "q"
+    assert got[20] == "\n".join(f"line {k}" for k in range(50_000)) and got[21] == "\n".join(f"line {k}" for k in range(100_000, 150_000))
+
+
+def test_matches_of_long_texts(spark):
+    """Places of very many matches, as Python finds them, in seconds."""
+    import time
+
+    from offerlane.llm.spans import matches
+
+    text = " ".join(f"ä{'z' * (k % 5)}{k}" for k in range(100_000))
+    df = spark.createDataFrame([(text,), ("1 2",), ("none",), ("",), (None,)], "text string")
+    start = time.time()
+    for through in (False, True):
+        rows = df.select(matches(F.col("text"), "[0-9]+", 3, 2, through=through).alias("m")).collect()
+        assert [len(r.m) for r in rows] == [100_000, 2, 0, 0, 0]
+        for m, x in zip(re.finditer("[0-9]+", text), rows[0].m):
+            assert (m.start(), m.end(), m[0]) == (x.start, x.end, x.match)
+    assert time.time() - start < 40
+
+
 def test_mixing(docs, empty):
     from offerlane.llm.mixing import mix_digest, mix_documents
 
@@ -116,10 +152,10 @@ def test_mixing(docs, empty):
         assert abs(taken[s] - t) <= 8 + 0.01 * t
     mixed = mix_documents(docs, block=8)
     assert mixed.columns == docs.columns
-    digest = {r.doc_id: r.taken for r in rows}
     texts = dict((i, t) for i, t, _ in TEXTS)
+    # every row gives the words that the digest says, repeated rows each their own
+    assert sorted(((str(r.doc_id), len(WORD.findall(r.text))) for r in mixed.collect())) == sorted((str(r.doc_id), r.taken) for r in rows if r.taken)
     for r in mixed.collect():
-        assert len(WORD.findall(r.text)) == digest[r.doc_id] > 0 or r.doc_id == 9
         assert set(WORD.findall(r.text)) <= set(WORD.findall(texts[r.doc_id]))
     assert mix_digest(empty).count() == 0 and mix_documents(empty).count() == 0
 
@@ -151,6 +187,36 @@ def test_mixing_slots(spark):
         assert abs(sum(lengths[: r.n_slots]) - r.target) == best and (r.n_slots > 0) == (r.target > 0), r
 
 
+def test_mixing_recomputed(spark):
+    """Draw, permutation and taken words of the mix, counted again block by block."""
+    from offerlane.llm.mixing import SEED, mixed, permuted, taken_blocks
+
+    sizes = [(i, (i * 37) % 190, f"s{i % 3}") for i in range(90)]
+    df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n)), s, "q", 1) for i, n, s in sizes], SCHEMA)
+    packed, slots, targets = mixed(df, block=16)
+    targets = {r.sid: r for r in targets.collect()}
+    places = sorted((r.sid, r.start, r.size, r.doc_id) for r in packed.collect() if r["size"])
+    for sid, t in targets.items():
+        end = 0
+        for _, start, size, _ in (x for x in places if x[0] == sid):  # packed without gaps
+            assert start == end
+            end = start + size
+        assert end == t.source_size
+        order = [r[0] for r in spark.range(t.n_blocks).select(permuted(F.col("id"), F.lit(t.n_blocks).cast("long"), F.xxhash64(F.lit(SEED), F.lit(sid).cast("long")))).collect()]
+        own = sorted((r for r in slots.collect() if r.sid == sid), key=lambda r: r.k)
+        assert [(r.k, r["index"], r.pass_no) for r in own] == [(k, order[k % t.n_blocks], k // t.n_blocks) for k in range(t.n_slots)]
+        assert [r.shard for r in own] == sorted(r.shard for r in own)
+    words = Counter()
+    times = Counter((r.sid, r["index"]) for r in slots.collect())
+    for sid, start, size, doc in places:
+        for w in range(start, start + size):
+            words[doc] += times[sid, w // 16]
+    got = Counter()
+    for r in taken_blocks(packed, slots, 16).join(packed.select("row", "doc_id"), "row").collect():
+        got[r.doc_id] += r.times * (r.last - r.first)
+    assert +got == +words
+
+
 def test_permutation(spark):
     from offerlane.llm.mixing import permuted
 
@@ -257,10 +323,22 @@ def test_simhash(docs, empty):
         if r.doc_id is not None:
             assert r.component_id == min(comp[r.doc_id])
     one = keep_one(docs)
+    assert sum(r.doc_id is None for r in one.collect()) == 1
     assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == sorted({min(c) for c in comp.values()})
     assert near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_equal_ids(spark):
+    """Unlike texts under one id all stay; of copies the smallest id, nulls last; null texts are a group."""
+    from offerlane.llm.simhash import keep_one
+
+    long = lambda a: " ".join(f"{a}{k}" for k in range(80))
+    rows = [(1, long("x")), (1, long("y")), (2, long("y")), (None, long("y")), (None, long("z")), (None, long("z")), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id or 0, r.text) for r in keep_one(df).collect())
+    assert got == sorted([(1, long("x")), (1, long("y")), (0, long("z")), (3, None)])
+
+
 def test_tree_links_all_near_pairs(spark):
     from offerlane.llm.components import connected_components, local_components
     from offerlane.llm.simhash import linked_fingerprints
@@ -323,6 +401,36 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def test_vector_labels_and_extremes(spark):
+    """Labels of any type as they are; components at the ends of the range; sizes apart; copies."""
+    from offerlane.llm.vectors import near_vectors
+
+    v = [[1.0, 0.1], [1.0, 0.11], [1e200, 1e199], [1e200, 1.1e199], [1e-310, 1e-311], [1.0, 0.1, 0.0], [5e-324, 0.0]]
+    for kind, a, b in (("string", "x", "y"), ("double", 1.2, 1.7), ("decimal(5,2)", 1, 2), ("boolean", True, False)):
+        from decimal import Decimal
+
+        value = (lambda x: Decimal(x)) if kind.startswith("decimal") else (lambda x: x)
+        df = spark.createDataFrame([(k, x, value(a)) for k, x in enumerate(v)] + [(100, v[0], value(b)), (101, v[0], None)], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+        assert got == {**{k: (5, 0) for k in range(5)}, 5: (0, 5), 6: (5, 0), 100: (0, 100), 101: (0, 101)}, kind
+
+
+def test_vector_windows_reach_over_borders(spark, monkeypatch):
+    """Recall is the same with many range partitions."""
+    from offerlane.llm import vectors
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((300, 16))
+    x = np.concatenate((base, base + 0.02 * rng.standard_normal((300, 16))))
+    df = spark.createDataFrame([(k, [float(c) for c in r], k % 2) for k, r in enumerate(np.repeat(x, 1, axis=0))], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    same = np.arange(600)[:, None] % 2 == np.arange(600)[None, :] % 2
+    want = ((u @ u.T >= 0.98) & same).sum() - 600
+    monkeypatch.setattr(vectors, "RANGE", 50)
+    got = vectors.near_vectors(df, passes=4).agg(F.sum("n_links")).first()[0]
+    assert got >= 0.98 * want > 0
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -375,7 +483,11 @@ def test_secrets(docs, empty, spark):
             assert t[got[i].start : got[i].end] == got[i].secret
     model = fit(labelled_findings(spark, 1200))
     assert model.getNumTrees > 1
-    assert secrets(docs).filter("doc_id = 12").count() >= 0 and secrets(empty).count() == 0
+    late = spark.createDataFrame([(1, "a " + "x" * 600 + "7 b"), (2, "y" * 100_000), (3, " ".join(f"k{k}=abcdefgh{k}" for k in range(20_000)))], "doc_id long, text string")
+    found = secrets(late).select("doc_id", "start", "end").collect()
+    assert [(r.start, r.end) for r in found if r.doc_id == 1] == [(2, 603)] and not [r for r in found if r.doc_id == 2]
+    assert sum(r.doc_id == 3 for r in found) == 20_000
+    assert [r.end for r in secrets(docs).filter("doc_id = 12").collect()] == [] and secrets(empty).count() == 0
 
 
 def test_assigned_secrets(empty, spark):

@@ -31,12 +31,13 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() == len(bpe)
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op10_line_dedup", "page_line_dedup", "op8_embedding_dedup"])
 def test_sql(spark, name):
     from offerlane.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "pages", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = QUERIES[name](spark, DATA).toPandas(), con.sql(ORACLE_SQL[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
