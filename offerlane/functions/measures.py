@@ -26,14 +26,15 @@ def parse_price(text: Column) -> Column:
 def money(text: Column) -> Column:
     """An amount whose last separator is the decimal one."""
     kept = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[^0-9,.\-]", "")
-    comma, dot = F.instr(F.reverse(kept), ","), F.instr(F.reverse(kept), ".")
-    both = (comma > 0) & (dot > 0)
-    plain = (
-        F.when(both & (comma < dot), F.replace(F.replace(kept, F.lit(".")), F.lit(","), F.lit(".")))
-        .when(both, F.replace(kept, F.lit(",")))
-        .otherwise(F.replace(kept, F.lit(","), F.lit(".")))
-    )
-    return F.nullif(plain, F.lit("")).try_cast("double")
+
+    def plain(x: Column) -> Column:
+        comma, dot = F.instr(F.reverse(x), ","), F.instr(F.reverse(x), ".")
+        both = (comma > 0) & (dot > 0)
+        dots_off = F.replace(F.replace(x, F.lit(".")), F.lit(","), F.lit("."))
+        return F.when(both & (comma < dot), dots_off).when(both, F.replace(x, F.lit(","))).otherwise(F.replace(x, F.lit(","), F.lit(".")))
+
+    # bound once, as it is used many times
+    return F.nullif(F.get(F.transform(F.array(kept), plain), F.lit(0)), F.lit("")).try_cast("double")
 
 
 def cents(amount: Column) -> Column:

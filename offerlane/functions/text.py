@@ -42,6 +42,13 @@ def norm(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(parted, "[^a-z0-9]+", " "))
 
 
+def search_words(x: Column | str) -> Column:
+    """Words as the search index has them: lower case, accents off, parted only where
+    there is neither letter nor digit."""
+    folded = F.translate(F.lower(_text(x)), *_folding())
+    return F.filter(F.split(F.regexp_replace(folded, "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
 def norm_text(x: str | None) -> str:
     """norm() of a driver-side string, such as a query."""
     folded = "".join(c for c in unicodedata.normalize("NFKD", (x or "").strip().lower()) if not unicodedata.combining(c))
@@ -83,6 +90,11 @@ def stable_id(prefix: str, *parts: Column, size: int = 16) -> Column:
     return F.concat(F.lit(f"{prefix}-"), F.substring(F.sha1(key), 1, size))
 
 
+def auto_id(brand: Column, name: Column) -> Column:
+    """The id that the matcher makes of a brand and a name: 12 digits, where the index has 16."""
+    return stable_id("SH-AUTO", brand, name, size=12)
+
+
 def number_text(x: Column) -> Column:
     """A number without a trailing .0, as it stands in keys."""
     return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import filled, norm
+from offerlane.functions.text import filled, norm, number_text, url_key
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str], per: int = 1) -> DataFrame:
@@ -39,6 +39,26 @@ def identity_key(store: Column, name: Column, variant_id: Column, product_id: Co
     )
 
 
+def offer_key(store: Column, identity: Column, size: Column, url: Column) -> Column:
+    """What tells matched offers apart: store, product, size and the URL without query."""
+    return F.struct(norm(store).alias("store"), norm(identity).alias("identity"), F.coalesce(number_text(size), F.lit("")).alias("size"), url_key(url).alias("url"))
+
+
+def position_in(df: DataFrame, keys: list[str], coarse: Column, order: list[Column | str], out: str) -> DataFrame:
+    """df with the place of each row among those of its keys (from 0) by an order. coarse
+    is any monotone step function of the order: rows are counted per step and sorted
+    within it, so one key with very many rows is sorted in many tasks."""
+    rows = df.withColumn("_step", coarse)
+    before = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.groupBy(*keys, "_step").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    steps = steps.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_step").alias("_s"), "_before")
+    rows = rows.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_step").orderBy(*order)))
+    same = F.col("_step").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(steps, same).withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("int")).drop("_step", "_s", "_before", "_in", *(f"_k{i}" for i in range(len(keys))))
+
+
 def changes(df: DataFrame, keys: list[str], order: list[str], values: list[str], most: int | None = None) -> DataFrame:
     """Rows whose values differ from those of the row before them of the same key,
     the latest of them per key if most is given. Rows with a null first value are

@@ -5,28 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.operators.dedup import keep_first
+from offerlane.functions.text import compact, number_text
+from offerlane.operators.dedup import keep_first, keep_last
 
 #: Score from which names match; from which they count as exact; share of a score that the brand gives.
 MATCH, EXACT, BRAND, OTHER, CONTAINED = 0.86, 0.94, 0.45, 0.95, 0.92
+#: Names listed under a word that one task compares with an offer.
+LISTED = 1024
 #: Scores of the identifier tiers, in order.
 TIERS = (("gtin", 1.0), ("mpn", 0.99), ("catalog_id", 0.98))
 
 
-def by_identifier(offers: DataFrame, catalog: DataFrame, key: str, offer_col: str, catalog_col: str, catalog_key: str = "product_id") -> DataFrame:
-    """offers with the product whose identifier is equal, if just one product has it:
-    one row per matching offer, columns key and product_id."""
-    unique = catalog.filter(F.col(catalog_col).isNotNull()).groupBy(F.col(catalog_col).alias("_identifier")).agg(F.min(catalog_key).alias("product_id"), F.countDistinct(catalog_key).alias("n")).filter("n = 1")
-    return offers.join(unique, F.col(offer_col) == F.col("_identifier")).select(key, "product_id")
+def by_identifier(offers: DataFrame, catalog: DataFrame, key: str, offer_col: str, catalog_col: str, catalog_key: str = "product_id", last: list | None = None) -> DataFrame:
+    """offers with the product whose identifier is equal in compact form: one row per
+    matching offer, columns key and product_id. An identifier of several products
+    finds none of them, or, if an order is given, the last. The catalog's column can
+    be an array of identifiers."""
+    many = catalog.schema[catalog_col].dataType.typeName() == "array"
+    own = F.explode(catalog_col) if many else F.col(catalog_col)
+    known = catalog.select("*", own.alias("_own")).withColumn("_identifier", compact(F.col("_own"))).filter("_identifier <> ''")
+    if last:
+        known = keep_last(known, ["_identifier"], last).select("_identifier", F.col(catalog_key).alias("product_id"))
+    else:
+        known = known.groupBy("_identifier").agg(F.min(catalog_key).alias("product_id"), F.countDistinct(catalog_key).alias("n")).filter("n = 1")
+    return offers.join(known, compact(F.col(offer_col)) == F.col("_identifier")).select(key, "product_id")
 
 
-def by_tiers(offers: DataFrame, catalog: DataFrame, key: str, tiers: dict[str, tuple[str, str]]) -> DataFrame:
-    """The first tier in TIERS that finds a product: key, product_id, method, score."""
+def by_tiers(offers: DataFrame, catalog: DataFrame, key: str, tiers: dict[str, tuple[str, str]], last: list | None = None) -> DataFrame:
+    """The first tier in TIERS that finds a product: key, product_id, method, score.
+    last: the order of the catalog, of whose equal catalog ids the last counts."""
     out = None
     for rank, (method, score) in enumerate(TIERS):
         if method not in tiers:
             continue
-        found = by_identifier(offers, catalog, key, *tiers[method]).withColumns({"method": F.lit(method), "score": F.lit(score), "tier": F.lit(rank)})
+        found = by_identifier(offers, catalog, key, *tiers[method], last=last if method == "catalog_id" else None)
+        found = found.withColumns({"method": F.lit(method), "score": F.lit(score), "tier": F.lit(rank)})
         out = found if out is None else out.unionByName(found)
     return keep_first(out, [key], ["tier", "product_id"]).drop("tier")
 
@@ -44,20 +57,49 @@ def name_score(name, brand, candidate, candidate_brand):
 def by_name(offers: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
     """The best product for each offer by name_score, ties to the smallest id.
 
-    offers: key, name, brand; catalog: product_id, name, brand (all normalised).
-    A pair that scores MATCH shares a share s of the product's words, so each of
-    its n words but the ceil(s * n) - 1 most frequent ones can serve as a block:
-    products are listed under their n - ceil(s * n) + 1 rarest words, offers under
-    all of theirs. No pair is compared that shares no rare word, and none is missed."""
+    offers: key, name, brand; catalog: product_id, name, brand, a row per name or
+    alias of a product (all normalised). A pair that scores MATCH shares a share s of
+    the product's words, so each of its n words but the ceil(s * n) - 1 most frequent
+    ones can serve as a block: names are listed under their n - ceil(s * n) + 1 rarest
+    words, offers under all of theirs. No pair is compared that shares no rare word,
+    and none is missed. A word with many listed names is parted into salted blocks of
+    about LISTED names, so no task holds all pairs of a frequent word."""
     least = (MATCH - BRAND) / (1 - BRAND)
     share = least / (2 - least)
     o = offers.select(F.col(key).alias("key"), F.col("name").alias("o_name"), F.col("brand").alias("o_brand")).filter(F.col("o_name") != "")
-    c = catalog.select("product_id", F.col("name").alias("c_name"), F.col("brand").alias("c_brand")).filter(F.col("c_name") != "")
+    c = catalog.select("product_id", F.col("name").alias("c_name"), F.col("brand").alias("c_brand")).filter(F.col("c_name") != "").distinct()
     words = c.select("*", F.explode(F.array_distinct(F.split("c_name", " "))).alias("word"), F.size(F.array_distinct(F.split("c_name", " "))).alias("n"))
     frequency = words.groupBy("word").agg(F.count("*").alias("in_names"))
-    rare = words.join(frequency, "word").withColumn("rank", F.row_number().over(Window.partitionBy("product_id").orderBy("in_names", "word")))
+    rare = words.join(frequency, "word").withColumn("rank", F.row_number().over(Window.partitionBy("product_id", "c_name", "c_brand").orderBy("in_names", "word")))
     rare = rare.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("product_id", "c_name", "c_brand", "word")
+    salts = rare.groupBy("word").agg(F.ceil(F.count("*") / LISTED).cast("int").alias("salts"))
+    rare = rare.join(salts, "word").withColumn("salt", F.pmod(F.xxhash64("product_id", "c_name"), F.col("salts")).cast("int")).drop("salts")
     own = o.select("*", F.explode(F.array_distinct(F.split("o_name", " "))).alias("word"))
-    pairs = own.join(rare, "word").withColumn("score", name_score(F.col("o_name"), F.col("o_brand"), F.col("c_name"), F.col("c_brand"))).filter(F.col("score") >= MATCH)
+    own = own.join(salts, "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = own.join(rare, ["word", "salt"]).withColumn("score", name_score(F.col("o_name"), F.col("o_brand"), F.col("c_name"), F.col("c_brand"))).filter(F.col("score") >= MATCH)
     best = keep_first(pairs, ["key"], [F.col("score").desc(), "product_id"])
     return best.select(F.col("key").alias(key), "product_id", F.when(F.col("score") >= EXACT, "exact_name").otherwise("token_score").alias("method"), "score")
+
+
+def best_match(offers: DataFrame, catalog: DataFrame, key: str, last: list | None = None) -> DataFrame:
+    """The product of each offer: by identifiers, and by name for offers that these
+    don't resolve. offers: key, gtin, mpn, catalog_id, name, brand. catalog:
+    product_id, catalog_id, gtins, mpns (arrays), name, brand, aliases (array). Names
+    are normalised. Gives key, product_id, method, score of the offers that match."""
+    found = by_tiers(offers, catalog, key, {"gtin": ("gtin", "gtins"), "mpn": ("mpn", "mpns"), "catalog_id": ("catalog_id", "catalog_id")}, last)
+    rest = offers.join(found.select(key), key, "left_anti")
+    names = F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    return found.unionByName(by_name(rest, catalog.select("product_id", F.explode(names).alias("name"), "brand"), key))
+
+
+def attach_matches(offers: DataFrame, catalog: DataFrame, key: str, last: list | None = None) -> DataFrame:
+    """The offers that match a product, as they are, with catalog_id, canonical_brand,
+    canonical_name, match_method, match_score, product_identity and variant_id (of
+    product and size). catalog: as for best_match(), with the names to show in
+    canonical_brand and canonical_name."""
+    found = best_match(offers, catalog, key, last)
+    shown = keep_last(catalog, ["product_id"], last or ["canonical_brand", "canonical_name"]).select("product_id", F.col("catalog_id").alias("_catalog_id"), "canonical_brand", "canonical_name")
+    rows = offers.join(found, key).join(shown, "product_id").drop("product_id")
+    made = {"catalog_id": F.col("_catalog_id"), "product_identity": F.col("_catalog_id"), "match_method": F.col("method"), "match_score": F.round("score", 4)}
+    size = F.when(F.col("size_ml").isNotNull(), F.concat(F.lit(":"), number_text(F.col("size_ml")))).otherwise("")
+    return rows.withColumns(made).withColumn("variant_id", F.concat("catalog_id", size)).drop("_catalog_id", "method", "score")

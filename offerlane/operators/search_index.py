@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import norm, norm_text
+from offerlane.functions.text import norm_text, search_words
 
 #: Fixed values of the ranking: k1, b, and the least inverse document frequency.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -13,7 +13,7 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 def index_terms(docs: DataFrame, key: str, *fields: str) -> DataFrame:
     """One row per (document, term): key, term, tf over all fields, and doc_len."""
-    words = F.filter(F.split(F.concat_ws(" ", *(norm(f) for f in fields)), " "), lambda w: w != "")
+    words = search_words(F.concat_ws(" ", *(F.col(f) for f in fields)))
     rows = docs.select(F.col(key).alias("doc"), words.alias("words")).select("doc", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
     return rows.groupBy("doc", "doc_len", "term").agg(F.count("*").alias("tf"))
 

@@ -19,29 +19,50 @@ OFFERS = (
     "offer_id string, product_id string, store string, store_product_id string, variant_id string, gtin string, mpn string, sku string, name string, size_ml double, concentration string, "
     "price_cents bigint, currency string, availability string, url string, image string, raw_json string, updated_at timestamp"
 )
+TERMS = "doc string, doc_len int, term string, tf bigint"
 
 
 class ProductIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _at(self, table: str) -> str | None:
-        pointer = f"{self.path}/{table}.current"
+    def _versions(self, table: str) -> list[str]:
+        """Places of all versions of a table, the newest last. Pointers are only ever
+        added, so a reader sees the newest or the one before it."""
         try:
-            return self.spark.read.text(pointer).first()[0]
+            found = self.spark.read.text(f"{self.path}/{table}.versions").collect()  # a row per write
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return None
+                return []
             raise
+        return [r[0].split(" ", 1)[1] for r in sorted(found)]
 
     def _read(self, table: str, schema: str) -> DataFrame:
-        at = self._at(table)
-        return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
+        """The newest version in the current schema: columns that it hasn't yet are null."""
+        at = self._versions(table)
+        return self.spark.read.schema(schema).parquet(at[-1]) if at else self.spark.createDataFrame([], schema)
 
     def _write(self, table: str, df: DataFrame) -> None:
         at = f"{self.path}/{table}-{uuid.uuid4().hex}"
         df.write.parquet(at)
-        self.spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{table}.current")
+        n = len(self._versions(table))
+        self.spark.createDataFrame([(f"{n:012d} {at}",)], "at string").coalesce(1).write.mode("append").text(f"{self.path}/{table}.versions")
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes the data of all but the newest versions; returns how many went."""
+        gone = 0
+        for table in ("products", "offers", "terms"):
+            for at in self._versions(table)[: -max(1, keep)]:
+                folder = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                gone += bool(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True))
+        return gone
+
+    def ensure(self) -> None:
+        """Renews the search terms if they are missing though there are products, or not of the current columns."""
+        at = self._versions("terms")
+        columns = set(self.spark.read.parquet(at[-1]).columns) if at else set()
+        if (columns != {c.split()[0] for c in TERMS.split(", ")} or self.terms().isEmpty()) and not self.products().isEmpty():
+            self.rebuild_terms()
 
     def products(self) -> DataFrame:
         return self._read("products", PRODUCTS)
@@ -50,14 +71,15 @@ class ProductIndex:
         return self._read("offers", OFFERS)
 
     def terms(self) -> DataFrame:
-        return self._read("terms", "doc string, doc_len int, term string, tf bigint")
+        return self._read("terms", TERMS)
 
-    def upsert_products(self, new: DataFrame) -> None:
-        """Puts catalog rows in by product_id, the last of a batch wins, and renews the search terms."""
+    def upsert_products(self, new: DataFrame, order: str | None = None) -> None:
+        """Puts catalog rows in by product_id and renews the search terms. Of equal ids
+        the last by the column order wins, or without one the last by the rows' own values."""
         text = norm(F.concat_ws(" ", "brand_name", "family_name", F.array_join("aliases", " "), "concentration"))
-        rows = new.withColumns({"searchable_text": text, "updated_at": F.current_timestamp(), "_order": F.monotonically_increasing_id()})
+        rows = new.withColumns({"searchable_text": text, "updated_at": F.current_timestamp(), "_order": F.to_json(F.struct(*new.columns)) if order is None else F.lpad(F.col(order).cast("string"), 20, "0")})
         columns = [c.split()[0] for c in PRODUCTS.split(", ")]
-        done = catalog.upsert(self.products().withColumn("_order", F.lit(0).cast("long")), rows.select(*columns, "_order"), "product_id", ["_order"])
+        done = catalog.upsert(self.products().withColumn("_order", F.lit("")), rows.select(*columns, "_order"), "product_id", ["_order"])
         self._write("products", done.select(*columns))
         self.rebuild_terms()
 
@@ -104,3 +126,15 @@ class ProductIndex:
 
     def stats(self) -> DataFrame:
         return catalog.counts(self.products(), self.offers())
+
+
+def build_index(spark: SparkSession, catalog_path: str, offers: DataFrame | None, path: str) -> DataFrame:
+    """An index of a catalog file and normalised offers at path; gives its counts."""
+    from offerlane.sources.offers import load_catalog
+
+    index = ProductIndex(spark, path)
+    index.upsert_products(load_catalog(spark, catalog_path, strict=True))
+    if offers is not None:
+        index.upsert_offers(offers)
+    index.ensure()
+    return index.stats()

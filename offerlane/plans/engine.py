@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.functions.classify import availability_rank, reject_reason
-from offerlane.functions.text import job_id, norm_text
+from offerlane.functions.text import job_id, norm, norm_text
 from offerlane.operators.dedup import changes, keep_first
 from offerlane.operators.rank import suggest
 from offerlane.operators.store import ProductIndex
@@ -30,10 +30,7 @@ class Engine:
         raw, errors = connectors.gather(self.spark, query, self.stores)
         whole = self.spark.createDataFrame([], f"{RAW_SCHEMA}, store_rank int, attempt_no int")
         raw = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
-        # rank and attempt ride along in a struct of the order
-        rows = normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())))
-        ranks = F.from_json("raw_json", "store_rank int, attempt_no int")
-        rows = rows.withColumns({"store_rank": ranks["store_rank"], "attempt_no": ranks["attempt_no"]})
+        rows = normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())), ("store_rank", "attempt_no"))
         return keep_first(identity(rows), ["identity"], _ORDER), errors
 
     @staticmethod
@@ -76,11 +73,32 @@ class Engine:
         error = future.exception()
         return {"completed": True, "results": [] if error else future.result(), "error": str(error) if error else None}
 
-    def product(self, name: str, brand: str = "") -> dict:
-        """Priced offers of a product, the best of them, and an image."""
-        offers = self._by_price(self.search(name).filter(F.col("price_cents").isNotNull()))
-        best = offers.select(F.min_by(F.struct("store", "name", "url", "price_cents", "image"), F.struct("price_cents", "store", "name", "url")).alias("b")).first()["b"]
-        return {"name": name, "brand": brand, "key": norm_text(f"{brand} {name}"), "offers": offers, "best": best}
+    def funnel(self, query: str) -> DataFrame:
+        """Per store how many offers there are, how many answer the query, and how many are rejected for which reason."""
+        rows = self.debug(query).groupBy("store", "reject_reason").agg(F.count("*").alias("n"))
+        reasons = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("reject_reason").isNotNull(), F.struct("reject_reason", "n")))))  # a few reasons
+        return rows.groupBy("store").agg(F.sum("n").alias("unique_offers"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("matched"), reasons.alias("rejected"))
+
+    def product(self, name: str, brand: str = "", history: DataFrame | None = None) -> dict:
+        """Priced offers of a product by price, the best and lowest of them, the first
+        image, the price history with the best offer put in, and a message if there is none."""
+        found, errors = self.offers(name)
+        offers = self._by_price(found.filter(F.col("price_cents").isNotNull()))
+        by_price = F.struct("price_cents", norm("store"), "name_n", F.lower("url"))
+        row = offers.select(
+            F.min_by(F.struct("store", "name", "url", "price_cents", "image"), by_price).alias("best"),
+            F.min_by("image", F.when(F.trim("image") != "", by_price)).alias("image"),
+        ).first()
+        best, key = row["best"], norm_text(f"{brand} {name}")
+        points = history
+        if best:
+            now = self.spark.createDataFrame([(key, best["price_cents"], best["store"])], "key string, value bigint, store string").withColumn("ts", F.current_timestamp())
+            points = price_history(now if history is None else history.unionByName(now.withColumn("ts", F.col("ts").cast(history.schema["ts"].dataType))))
+        lowest = best["price_cents"] if best else None
+        return {
+            "name": name, "brand": brand, "key": key, "offers": offers, "best": best, "lowest_price_cents": lowest, "image": row["image"] or "",
+            "history": points, "errors": errors, "message": "" if best else "no offer at the moment",
+        }
 
     def suggest(self, products: DataFrame, query: str, limit: int = 8) -> DataFrame:
         return suggest(products, query, limit)
@@ -94,20 +112,41 @@ def price_history(points: DataFrame, most: int = 100) -> DataFrame:
     return changes(points, ["key"], ["ts"], ["value", "store"], most)
 
 
+def refresh_rows(offers: DataFrame, jobs: DataFrame) -> DataFrame:
+    """offers (query, search_text) with the product of their query and whether they are
+    accepted for it: all words of brand and family, of two characters or more, are in
+    their text. jobs: query, product_id, and the normalised words to find."""
+    rows = offers.join(jobs, "query")
+    return rows.withColumn("accepted", F.forall("words", lambda w: F.contains(F.col("search_text"), w)))
+
+
+def refresh_counts(rows: DataFrame) -> DataFrame:
+    """Per store, and in total (store null): offers found, accepted and rejected."""
+    n = F.count_if("accepted")
+    return rows.rollup("store").agg(F.count("*").alias("found"), n.alias("accepted"), (F.count("*") - n).alias("rejected"))
+
+
+def refresh_jobs(catalog: DataFrame) -> DataFrame:
+    """product_id, query and words of each product of a catalog."""
+    query = F.concat_ws(" ", F.nullif(F.trim("brand_name"), F.lit("")), F.nullif(F.trim("family_name"), F.lit("")))
+    return catalog.select("product_id", query.alias("query"), F.filter(F.split(norm(query), " "), lambda w: F.length(w) >= 2).alias("words"))
+
+
 def refresh(engine: Engine, index: ProductIndex, catalog: DataFrame, offset: int = 0, limit: int | None = None) -> dict:
     """Searches the stores for a slice of a catalog, keeps offers that have all words
-    of their product, and puts them into the index. Returns counts and errors."""
+    of their product, and puts them into the index: one plan for all products, and one
+    write. Returns counts and errors."""
+    spark = engine.spark
     index.upsert_products(catalog)
-    part = catalog.orderBy("product_id").offset(max(0, offset))
-    rows = (part.limit(max(1, limit)) if limit else part).select("product_id", "brand_name", "family_name").collect()  # a job list for the driver
-    found = written = 0
-    errors: dict[str, str] = {}
-    for row in rows:
-        query = " ".join(x for x in (row["brand_name"], row["family_name"]) if x)
-        offers, failed = engine.offers(query)
-        errors |= failed
-        wanted = F.array(*(F.lit(w) for w in norm_text(query).split() if len(w) >= 2)).cast("array<string>")
-        own = offers.filter(F.forall(wanted, lambda w: F.contains(F.col("search_text"), w))).withColumn("catalog_id", F.lit(row["product_id"]))
-        found += offers.count()
-        written += index.upsert_offers(own)
-    return {"products": len(rows), "found": found, "written": written, "rejected": found - written, "errors": errors}
+    jobs = refresh_jobs(catalog)
+    if offset or limit:
+        part = jobs.orderBy("product_id").offset(max(0, offset))
+        jobs = part.limit(max(1, limit)) if limit else part
+    raw, errors = connectors.gather_many(spark, jobs, engine.stores)
+    whole = spark.createDataFrame([], f"{RAW_SCHEMA}, query string, store_rank int, attempt_no int")
+    raw = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
+    rows = normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())), ("query", "store_rank", "attempt_no"))
+    rows = refresh_rows(keep_first(identity(rows), ["query", "identity"], _ORDER), jobs)
+    found = rows.count()
+    written = index.upsert_offers(rows.filter("accepted").withColumn("catalog_id", F.col("product_id")).drop("product_id"))
+    return {"products": jobs.count(), "found": found, "written": written, "rejected": found - written, "errors": errors}

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.functions import classify, measures, text
 from offerlane.operators import catalog, dedup, matcher, rank, search_index
 from offerlane.plans import search
-from offerlane.sources import pages, tables
+from offerlane.sources import extract, pages, tables
 from offerlane.sources.tables import LINE_ORDER, OFFERS_SQL, norm_sql
 from offerlane.vocabulary import IGNORED_WORDS, NON_PERFUME
 
@@ -195,9 +194,10 @@ qualify row_number() over (partition by store, line, size_ml order by availabili
 )
 def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each store, product line and size the offer in stock that is cheapest."""
-    o = tables.offers(spark, sf_dir)
+    p = tables.products(spark, sf_dir)
     label = F.when(F.col("product_id") % 2 == 0, F.concat("brand", F.lit(" "), "name", F.lit(" Uomo EDP"))).otherwise(F.col("name"))
-    o = o.withColumn("line", text.product_line(label, F.col("brand")))
+    lines = p.select(F.col("product_id").alias("of_product"), text.product_line(label, F.col("brand")).alias("line"))  # once per product
+    o = tables.offers(spark, sf_dir).join(lines, F.col("product_id") == F.col("of_product"))
     best = dedup.keep_first(o, ["store", "line", "size_ml"], [F.col("availability") != "in stock", F.col("price_cents").asc_nulls_last(), *LINE_ORDER])
     return best.select("store", "line", "size_ml", "product_id", "price_cents", "availability")
 
@@ -221,7 +221,10 @@ _OFFER_ID = "'OFFER-' || substr(sha1(store_n || '::' || product_id || '::' || ''
 def upsert_offers_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offer table after all lines were put in in order: the last of each key."""
     o = tables.offers(spark, sf_dir)
-    o = o.withColumn("offer_id", catalog.offer_id(F.col("store"), F.col("product_id").cast("string"), F.lit(""), F.col("size_ml"), F.col("url")))
+    # URLs here name store and product, so an id per pair of them serves all its lines
+    pairs = o.select("l_suppkey", "l_partkey", "store", "product_id", "size_ml", "url").distinct()
+    ids = pairs.select("l_suppkey", "l_partkey", catalog.offer_id(F.col("store"), F.col("product_id").cast("string"), F.lit(""), F.col("size_ml"), F.col("url")).alias("offer_id"))
+    o = o.join(ids, ["l_suppkey", "l_partkey"])
     half = F.col("l_linenumber") <= 3
     done = catalog.upsert(dedup.keep_last(o.filter(half), ["offer_id"], LINE_ORDER), o, "offer_id", LINE_ORDER)
     return done.select("offer_id", "store", "product_id", "price_cents", "availability", "l_orderkey", "l_linenumber")
@@ -252,13 +255,15 @@ from products p left join offers o on p.product_id = o.product_id"""
 )
 def product_with_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every product with its offers in price order, one row per offer."""
-    listed = catalog.with_offers(tables.products(spark, sf_dir), tables.offers(spark, sf_dir).drop("name"), "product_id", ["price_cents", "store", "url", "l_orderkey", "l_linenumber", "l_quantity"])
-    rows = listed.select("product_id", "name", F.posexplode_outer("offers").alias("position", "o"))
-    return rows.select("product_id", "name", "o.store", "o.price_cents", "o.l_orderkey", "o.l_linenumber", F.coalesce("position", F.lit(0)).alias("position"))
+    o = tables.offers(spark, sf_dir).select(F.col("product_id").alias("of"), "store", "price_cents", "url", "l_orderkey", "l_linenumber", "l_quantity")
+    step = F.floor(F.log2(F.col("price_cents") + 1) * 16)
+    o = dedup.position_in(o, ["of"], step, ["price_cents", "store", "url", "l_orderkey", "l_linenumber", "l_quantity"], "position")
+    rows = tables.products(spark, sf_dir).join(o, F.col("product_id") == F.col("of"), "left")
+    return rows.select("product_id", "name", "store", "price_cents", "l_orderkey", "l_linenumber", F.coalesce("position", F.lit(0)).alias("position"))
 
 
 _BM25_SQL = f"""with {OFFERS_SQL},
-w as (select product_id as doc, unnest(string_split(trim(name_n || ' ' || {norm_sql("kind")}), ' ')) as term from products),
+w as (select product_id as doc, unnest(list_filter(string_split(regexp_replace(strip_accents(lower(name || ' ' || kind)), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')) as term from products),
 l as (select doc, count(*) as doc_len from w group by doc),
 s as (select (select count(*) from products) as n_all, sum(doc_len) as len_all from l),
 h as (select doc, q, count(*) as tf from w, (values ('re'), ('pl')) as v(q) where starts_with(term, q) group by doc, q),
@@ -294,37 +299,71 @@ def match_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matcher.by_tiers(o, p, "offer_key", {"gtin": ("o_gtin", "gtin"), "mpn": ("o_mpn", "mpn"), "catalog_id": ("o_id", "cid")})
 
 
+# Pairs of names that share a word, with the words that they share: what scores from MATCH on is among them.
+_NAME_SCORE_SQL = """ow as (select distinct offer_key, o_name, o_brand, unnest(string_split(o_name, ' ')) as w from o),
+cw as (select distinct product_id, c_name, c_brand, unnest(string_split(c_name, ' ')) as w from c),
+x as (select offer_key, o_name, o_brand, product_id, c_name, c_brand, count(*) as common from ow join cw using (w) group by all),
+f as (select *, 2.0 * common / (len(list_distinct(string_split(o_name, ' '))) + len(list_distinct(string_split(c_name, ' ')))) as f from x),
+g as (select *, case when o_name = c_name then 1.0 when contains(' ' || o_name || ' ', ' ' || c_name || ' ') then greatest(f, 0.92) else f end as best from f),
+s as (select *, case when o_brand = c_brand then 0.45 + 0.55 * best else 0.95 * best end as score from g)"""
+_RENAMED_SQL = "trim(name_n || case product_id % 4 when 0 then '' when 1 then ' new' when 2 then ' big blue' else ' ' || lower(kind) || ' line' end)"
+
+
+def _renamed():
+    """The name of a product as some store writes it."""
+    k = F.col("product_id") % 4
+    return F.concat("name_n", F.when(k == 0, "").when(k == 1, " new").when(k == 2, " big blue").otherwise(F.concat(F.lit(" "), F.lower("kind"), F.lit(" line"))))
+
+
 @_query(
     f"""with {OFFERS_SQL}, c as (select min(product_id) as product_id, name_n as c_name, brand_n as c_brand from products group by name_n, brand_n),
-o as (select product_id as offer_key, brand_n as o_brand, trim(name_n || case product_id % 4 when 0 then '' when 1 then ' new' when 2 then ' big blue' else ' ' || lower(kind) || ' line' end) as o_name from products where product_id % 10 = 0),
-x as (select *, list_distinct(string_split(o_name, ' ')) as a, list_distinct(string_split(c_name, ' ')) as b from o, c),
-f as (select *, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) as f from x),
-g as (select *, case when o_name = c_name then 1.0 when contains(' ' || o_name || ' ', ' ' || c_name || ' ') then greatest(f, 0.92) else f end as best from f),
-s as (select *, case when o_brand = c_brand then 0.45 + 0.55 * best else 0.95 * best end as score from g)
+o as (select product_id as offer_key, brand_n as o_brand, {_RENAMED_SQL} as o_name from products),
+{_NAME_SCORE_SQL}
 select offer_key, product_id, case when score >= 0.94 then 'exact_name' else 'token_score' end as method, floor(score * 10000 + 0.5)::bigint as score_bp from s where score >= 0.86
 qualify row_number() over (partition by offer_key order by score desc, product_id) = 1"""
 )
 def match_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Offers under changed names to the most alike product (offers: every tenth product, renamed)."""
-    return _matched_names(spark, sf_dir, F.col("product_id") % 10 == 0)
-
-
-@_query()
-def match_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_text of all products as offers; its SQL would be a cross join of the whole catalog."""
-    return _matched_names(spark, sf_dir, F.lit(True))
-
-
-def _matched_names(spark: SparkSession, sf_dir: str, which) -> DataFrame:
+    """Offers under changed names to the most alike product."""
     p = tables.products(spark, sf_dir)
     c = p.groupBy(F.col("name_n").alias("name"), F.col("brand_n").alias("brand")).agg(F.min("product_id").alias("product_id"))
-    k = F.col("product_id") % 4
-    tail = F.when(k == 0, "").when(k == 1, " new").when(k == 2, " big blue").otherwise(F.concat(F.lit(" "), F.lower("kind"), F.lit(" line")))
-    o = p.filter(which).select(F.col("product_id").alias("offer_key"), F.concat("name_n", tail).alias("name"), F.col("brand_n").alias("brand"))
+    o = p.select(F.col("product_id").alias("offer_key"), _renamed().alias("name"), F.col("brand_n").alias("brand"))
     found = matcher.by_name(o, c, "offer_key")
     return found.select("offer_key", "product_id", "method", F.floor(F.col("score") * 10000 + 0.5).cast("bigint").alias("score_bp"))
 
 
+@_query(
+    f"""with {OFFERS_SQL}, k as (select min(product_id) as product_id, name_n as c_name, brand_n as c_brand, min(brand) as brand, min(name) as name from products group by name_n, brand_n),
+c as (select product_id, c_name, c_brand from k union select product_id, c_brand || ' ' || c_name, c_brand from k),
+a as (select product_id as offer_key, product_id % 5 as way, size_ml, brand_n as o_brand, {_RENAMED_SQL} as o_name, gtin, brand_n || name_n as mpn from products),
+i as (
+  select offer_key, k.product_id, 'gtin' as method, 1.0 as score from a join products p on a.gtin = p.gtin join k on k.product_id = p.product_id where way = 0
+  union all select offer_key, k.product_id, 'mpn', 0.99 from a join k on a.mpn = k.c_brand || k.c_name where way = 1
+  union all select offer_key, k.product_id, 'catalog_id', 0.98 from a join k on a.offer_key = k.product_id where way = 2),
+o as (select offer_key, o_name, o_brand from a anti join i using (offer_key)),
+{_NAME_SCORE_SQL},
+t as (select offer_key, product_id, case when score >= 0.94 then 'exact_name' else 'token_score' end as method, score from s where score >= 0.86
+  qualify row_number() over (partition by offer_key order by score desc, product_id) = 1),
+m as (select * from i union all select * from t)
+select m.offer_key, 'C' || m.product_id as catalog_id, k.brand as canonical_brand, k.name as canonical_name, method as match_method, floor(score * 10000 + 0.5)::bigint as match_bp,
+       'C' || m.product_id || ':' || size_ml::bigint as variant_id
+from m join k using (product_id) join a using (offer_key)"""
+)
+def match_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers with article number, maker's number, catalog id or just a changed name, with the product that they are of."""
+    p = tables.products(spark, sf_dir)
+    one = p.groupBy("name_n", "brand_n").agg(F.min("product_id").alias("product_id"), F.min("brand").alias("canonical_brand"), F.min("name").alias("canonical_name"))
+    numbers = p.select("product_id", F.array("gtin").alias("gtins"))
+    whole = F.concat_ws(" ", "brand_n", "name_n")
+    c = one.join(numbers, "product_id").select("product_id", F.concat(F.lit("C"), F.col("product_id").cast("string")).alias("catalog_id"), "gtins", F.array(F.concat("brand_n", "name_n")).alias("mpns"), F.col("name_n").alias("name"), F.col("brand_n").alias("brand"), F.array(whole).alias("aliases"), "canonical_brand", "canonical_name")
+    way = F.col("product_id") % 5
+    o = p.select(
+        F.col("product_id").alias("offer_key"), F.when(way == 0, F.col("gtin")).alias("gtin"), F.when(way == 1, F.concat("brand_n", "name_n")).alias("mpn"),
+        F.when(way == 2, F.concat(F.lit("C"), F.col("product_id").cast("string"))).alias("catalog_id"), _renamed().alias("name"), F.col("brand_n").alias("brand"), "size_ml",
+    )
+    found = matcher.attach_matches(o, c, "offer_key", ["product_id"])
+    return found.select("offer_key", "catalog_id", "canonical_brand", "canonical_name", "match_method", F.floor(F.col("match_score") * 10000 + 0.5).cast("bigint").alias("match_bp"), "variant_id")
+
+
 @_query(
     f"""with {OFFERS_SQL}, t as (select p.product_id, n.name_n as offer_text, p.brand_n || ' ' || p.name_n as wanted from products p join products n on n.product_id = p.product_id - p.product_id % 7)
 select product_id, list_bool_and(list_transform(list_filter(string_split(wanted, ' '), lambda w: length(w) >= 2), lambda w: contains(offer_text, w))) as matches from t"""
@@ -391,25 +430,15 @@ def fuzzy_tokens_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def fuzzy_tokens_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each word of a query is like one of the name: equal, or with a matching ratio of 0.8."""
-    from difflib import SequenceMatcher
-
-    words = text.query_tokens("redd plates")
-
-    @F.pandas_udf("int")
-    def hits(names: pd.Series) -> pd.Series:
-        known: dict = {}
-
-        def count(name: str) -> int:
-            own = name.split()
-            return sum(w in own or any(SequenceMatcher(None, w, x).ratio() >= 0.8 for x in own) for w in words)
-
-        return names.map(lambda n: known[n] if n in known else known.setdefault(n, count(n)))
-
-    p = tables.products(spark, sf_dir)
-    return p.select("product_id", hits("name_n").alias("hits")).withColumn("all_hit", F.col("hits") == len(words))
+    p = tables.products(spark, sf_dir).withColumn("found", extract.fuzzy_hits(F.col("name"), "redd plates"))
+    n = F.size(F.filter(F.map_values("found.hits"), lambda x: x))
+    return p.select("product_id", n.alias("hits"), (n == F.size("found.hits")).alias("all_hit"))
 
 
 @_query()
 def page_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page says of one product."""
     return pages.page_offers(tables.read(spark, sf_dir, "pages"))
+
+
+from offerlane.plans import catalog_queries  # noqa: E402, F401  # registers its queries here

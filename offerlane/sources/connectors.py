@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import norm_text
+from offerlane.functions.text import norm_text, search_attempts
 from offerlane.vocabulary import IGNORED_WORDS
 
 Connector = Callable[[SparkSession, str], DataFrame]
 _CONNECTORS: dict[str, Connector] = {}
+_BULK: dict[str, Callable[[SparkSession, DataFrame], DataFrame]] = {}
 
 
 def connector(store: str):
@@ -27,6 +28,19 @@ def connector(store: str):
     return register
 
 
+def bulk_connector(store: str):
+    """Registers a function (spark, attempts) -> raw offers for a store that answers a
+    table of attempts (column attempt) at once; its rows carry the attempt they answer."""
+
+    def register(f):
+        name = store.strip().lower()
+        _BULK[name] = f
+        _CONNECTORS.setdefault(name, lambda spark, query: f(spark, spark.createDataFrame([(query,)], "attempt string")).drop("attempt"))
+        return f
+
+    return register
+
+
 def stores() -> list[str]:
     return list(_CONNECTORS)
 
@@ -61,3 +75,27 @@ def gather(spark: SparkSession, query: str, names: list[str] | None = None) -> t
             rows = rows.withColumns({"store": F.coalesce("store", F.lit(store)) if "store" in rows.columns else F.lit(store), "store_rank": F.lit(rank), "attempt_no": F.lit(no)})
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out, errors
+
+
+def gather_many(spark: SparkSession, jobs: DataFrame, names: list[str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """gather() for all queries of a table (column query): raw offers with the query
+    that they answer. Stores with a bulk connector answer in one plan; others are asked
+    query by query, from a list of queries on the driver."""
+    chosen = list(dict.fromkeys(s.strip().lower() for s in (names or stores())))
+    tried = jobs.select("query").distinct().select("query", F.posexplode(search_attempts(F.col("query"))).alias("attempt_no", "attempt"))
+    out, errors, queries = None, {}, None
+    for rank, store in enumerate(chosen):
+        try:
+            if store in _BULK:
+                rows = [_BULK[store](spark, tried.select("attempt").distinct()).join(tried, "attempt").drop("attempt")]
+            else:
+                f = load(store)
+                queries = [r["query"] for r in jobs.select("query").distinct().collect()] if queries is None else queries
+                rows = [f(spark, a).withColumns({"query": F.lit(q), "attempt_no": F.lit(k)}) for q in queries for k, a in enumerate(attempts(q))]
+        except Exception as e:
+            errors[store] = str(e)
+            continue
+        for own in rows:
+            own = own.withColumns({"store": F.coalesce("store", F.lit(store)) if "store" in own.columns else F.lit(store), "store_rank": F.lit(rank)})
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out, errors

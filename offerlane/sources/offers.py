@@ -71,9 +71,17 @@ def concentration() -> Column:
     return F.coalesce(F.nullif(norm(own), F.lit("")), F.lower(classify.concentration(F.concat_ws(" ", "name", "title", "product_name"))))
 
 
-def normalized(raw: DataFrame) -> DataFrame:
+def as_raw(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows with some of the raw columns as whole raw rows; of other columns those named stay."""
+    spark = rows.sparkSession
+    whole = spark.createDataFrame([], RAW_SCHEMA)
+    known = [F.col(c).cast(whole.schema[c].dataType).alias(c) if c in whole.columns else F.col(c) for c in rows.columns if c in whole.columns or c in keep]
+    return whole.unionByName(rows.select(*known), allowMissingColumns=True)
+
+
+def normalized(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw rows as offers: fixed columns, normalised forms, price in cents with prices
-    per 100 ml resolved, and the whole raw row as JSON."""
+    per 100 ml resolved, and the whole raw row as JSON. keep: columns to carry along."""
     size = size_ml()
     text = field("price", "offer.price")
     price = F.coalesce(measures.actual_price(text, size), measures.parse_price(text))
@@ -101,7 +109,8 @@ def normalized(raw: DataFrame) -> DataFrame:
         url.alias("url"),
         field("image", "image_url", "thumbnail", "source.image").alias("image"),
         search_text().alias("search_text"),
-        F.to_json(F.struct(*(F.col(c) for c in raw.columns))).alias("raw_json"),
+        F.to_json(F.struct(*(F.col(c) for c in raw.columns if c not in keep))).alias("raw_json"),
+        *keep,
     )
 
 

@@ -31,3 +31,26 @@ AVAILABILITY_RANK = {"in stock": 0, "available": 0, "out of stock": 1, "unknown"
 
 # Sizes at or below are samples unless the query names a size.
 SMALL_ML = 10
+
+# Labels before the price and before the size of the product that a page is about.
+PRICE_LABELS = ("precio", "price", "prix", "preis")
+SIZE_LABELS = ("tamaño", "tamano", "size", "taille", "formato", "volume")
+
+# Words that mark a price as a former one (normalised text).
+OLD_PRICE = (
+    "regular price", "old price", "original price", "precio habitual", "precio anterior", "precio original", "prix habituel", "prix avant",
+    "normalpreis", "streichpreis", "uvp",
+)
+
+# Words and attribute values of a control that puts a product into the cart.
+PURCHASE_WORDS = (
+    "añadir al carrito", "agregar al carrito", "comprar", "add to cart", "add-to-cart", "buy now", "ajouter au panier", "acheter",
+    "in den warenkorb", "jetzt kaufen", "acquista", "aggiungi al carrello",
+)
+PURCHASE_MARKERS = (
+    "add-to-cart", "add_to_cart", "addtocart", "add-cart", "product-add-to-cart", "product_add_to_cart", "buy-now", "buy_now", "purchase", "cart-add", "cart_add",
+)
+
+# What data on stock says.
+SAYS_IN_STOCK = ("instock", "in stock")
+SAYS_OUT_OF_STOCK = ("outofstock", "out of stock", "soldout", "sold out", "unavailable")
