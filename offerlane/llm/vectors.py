@@ -40,7 +40,7 @@ BITS, WINDOW, SEED = 63, 64, 7
 #: Points of a range partition; points compared at once.
 RANGE, STEP = 65_536, 512
 #: Least and most points of a block of a component, and blocks that a component has in between.
-LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 8192, 8
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 128, 8192, 8
 
 
 def _unit(vectors) -> np.ndarray:
