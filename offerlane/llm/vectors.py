@@ -127,13 +127,15 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     if passes is None:
         passes = PASSES + max(0, round(MORE_PASSES * float(np.log(max(most, 1) / CROWD))))
 
-    found = None
+    found, parts = None, max(1, -(-n // RANGE))
     for p in range(passes):
         ordered = points.select("pid", F.col("label").cast("string").alias("label"), "vec", _signs(v, p).alias("bits"))
-        ordered = ordered.repartitionByRange(max(1, -(-n // RANGE)), "label", "bits", "pid").sortWithinPartitions("label", "bits", "pid")
+        ordered = ordered.repartitionByRange(parts, "label", "bits", "pid").sortWithinPartitions("label", "bits", "pid")
         done = written(ordered.select("pid", "label", "vec").mapInPandas(lambda b: _links(b, cosine, window), PASS.replace("array<double>", points.schema["vec"].dataType.simpleString())), "pass")
-        over = done.filter("border is not null").groupBy("border").applyInPandas(lambda pdf: _over_border(pdf, cosine), "a long, b long")
-        pairs = done.filter("a is not null").select("a", "b").unionByName(over)
+        pairs = done.filter("a is not null").select("a", "b")
+        if parts > 1:  # one partition has no borders
+            over = done.filter("border is not null").groupBy("border").applyInPandas(lambda pdf: _over_border(pdf, cosine), "a long, b long")
+            pairs = pairs.unionByName(over)
         found = pairs if found is None else found.unionByName(pairs)
     groups = connected_components(found)
 
