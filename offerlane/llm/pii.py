@@ -1,14 +1,16 @@
 """Personal data: base rules, high-recall candidates, and boosted trees.
 
 Base spans follow fixed patterns and checks and always stay. Generators then
-propose overlapping spans with a high recall: numbers in groups, each as a phone
-and as a card, and mail addresses with spelled signs. Gradient-boosted trees, fitted
-on labelled findings, score each proposal on its format and its context; per kind
-the lowest score with the wanted precision on a held-out fold is the threshold. Of
-accepted spans that overlap, the best stays; spans over base spans go.
+propose overlapping spans with a high recall: of every run of number groups all
+windows of groups with enough digits, each as a phone and as a card where the digits allow, and mail
+addresses with spelled signs. Gradient-boosted trees, fitted on labelled texts, score
+each proposal on its format and its context; per kind the lowest score with the
+wanted precision on held-out texts is the threshold. Of accepted spans that overlap,
+the best stays; spans over base spans go.
 
 All of it is built-in expressions and Spark ML on the JVM: one pass over the texts
-that leaves only spans, then work on proposals alone.
+that leaves only spans, then work on proposals alone. Overlaps are settled per
+cluster of overlapping spans, never over all spans of a text at once.
 
 Defined cases: null and empty texts have no span; very long texts are read whole;
 patterns use possessive repeats, so long runs don't recurse; equal rows get equal
@@ -20,10 +22,10 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import written
+from offerlane.llm.common import let, written
 from offerlane.llm.spans import digits_of, luhn, matches, per_char
 
 #: Kinds in the order in which spans at one place are listed.
@@ -38,12 +40,12 @@ BASE = {
 }
 OCTET = "0*+(?:|[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Generators: pattern and the kinds that a match is proposed as.
-PROPOSED = {
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++": ("email",),
-    r"\(?[0-9](?:[ ./()-]{0,2}[0-9]){6,30}+": ("phone", "card"),
-}
-#: Labelled findings that are made for training; share of them that sets thresholds; precision wanted there; trees and depth.
+#: Generators: mail addresses as written for people, and runs of number groups.
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++"
+RUN, GROUP = r"\(?[0-9](?:[ ./()-]{0,2}[0-9])*+", r"\(?[0-9]++"
+#: Groups of a proposed number at most; digits of a proposed phone and of a card, as their formats have them.
+GROUPS, PHONE_DIGITS, CARD_DIGITS = 6, (7, 15), (14, 19)
+#: Labelled texts that are made for training; one in so many sets thresholds; precision wanted there; trees and depth.
 FINDINGS, FOLD, PRECISION, TREES, DEPTH = 8000, 4, 0.98, 16, 5
 CUES = {
     "phone": r"(?i)(?:tel|phone|fax|call|mobile|cell|téléphone|telefon|teléfono|whatsapp)[^A-Za-z0-9]*$",
@@ -52,6 +54,8 @@ CUES = {
     "number": r"(?i)(?:order|invoice|isbn|version|no|nr|id|ref|date|price|total|page|year|issn|doi)[^A-Za-z0-9]*$",
 }
 LEFT, RIGHT = 24, 8
+#: Score of a base span among proposals, and base spans that a text's proposals are compared with one by one.
+BASE_SCORE, FEW = 2.0, 64
 
 
 def base_spans(text: Column) -> Column:
@@ -75,20 +79,40 @@ def _checked(found: Column, k: int, check) -> Column:
     return F.transform(F.filter(found, lambda x: check(x["match"])), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end")))
 
 
+#: A proposed span with its context and kind.
+PROPOSAL = "array<struct<start:int,end:int,match:string,left:string,right:string,k:int>>"
+
+
 def proposals(text: Column) -> Column:
     """array<struct<start, end, match, left, right, k>> of all proposed spans."""
-    need = [text.rlike("@|[(\\[{]at[)\\]}]"), text.rlike("[0-9][ ./()-]{0,2}[0-9]")]
-    parts = []
-    for (pattern, kinds), some in zip(PROPOSED.items(), need):
-        found = matches(text, pattern, LEFT, RIGHT)
-        for kind in kinds:
-            own = _proposed(found, KINDS.index(kind))
-            parts.append(F.when(some, own).otherwise(F.array().cast("array<struct<start:int,end:int,match:string,left:string,right:string,k:int>>")))
-    return F.concat(*parts)
+    mail = F.transform(matches(text, MAIL, LEFT, RIGHT), lambda x: x.withField("k", F.lit(KINDS.index("email"))))
+    runs = F.filter(matches(text, RUN, LEFT, RIGHT), lambda x: F.length(digits_of(x["match"])) >= PHONE_DIGITS[0])
+    numbers = F.flatten(F.transform(runs, _windows))
+    none = F.array().cast(PROPOSAL)
+    some_mail = F.when(text.rlike("@|[(\\[{]at[)\\]}]"), mail).otherwise(none)
+    return F.concat(some_mail, F.when(text.rlike(rf"[0-9](?:[ ./()-]{{0,2}}[0-9]){{{PHONE_DIGITS[0] - 1}}}"), numbers).otherwise(none))
+
+
+def _windows(run: Column) -> Column:
+    """The windows of a run's groups, each as a phone and as a card."""
+
+    def window(g: Column, i: Column, j: Column, k: int) -> Column:
+        own = F.slice(g, i + 1, j - i)
+        match = F.concat(F.array_join(F.transform(own, lambda x: F.concat(x["match"], x["right"])), ""), F.get(g, j)["match"])
+        return F.struct(
+            (run["start"] + F.get(g, i)["start"]).alias("start"), (run["start"] + F.get(g, j)["end"]).alias("end"), match.alias("match"),
+            F.when(i == 0, run["left"]).otherwise(F.get(g, i)["left"]).alias("left"),
+            F.when(j == F.size(g) - 1, run["right"]).otherwise(F.left(F.concat(F.get(g, j)["right"], F.get(g, j + 1)["match"]), F.lit(RIGHT))).alias("right"),
+            F.lit(k).alias("k"),
+        )
 
+    def of_kind(g: Column, k: int, digits: tuple[int, int]) -> Column:
+        ends = lambda i: F.sequence(i, F.least(i + GROUPS, F.size(g)) - 1)
+        all_of = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.transform(ends(i), lambda j: window(g, i, j, k))))
+        return F.filter(all_of, lambda x: F.length(digits_of(x["match"])).between(*digits))
 
-def _proposed(found: Column, k: int) -> Column:
-    return F.transform(found, lambda x: x.withField("k", F.lit(k)))
+    kinds = ((KINDS.index("phone"), PHONE_DIGITS), (KINDS.index("card"), CARD_DIGITS))
+    return let(matches(run["match"], GROUP, LEFT, 2, through=True), lambda g: F.concat(*(of_kind(g, *x) for x in kinds)))
 
 
 def features(match: Column, left: Column, right: Column, k: Column) -> dict[str, Column]:
@@ -99,7 +123,6 @@ def features(match: Column, left: Column, right: Column, k: Column) -> dict[str,
     groups = F.filter(F.split(match, "[^0-9]+"), lambda x: x != "")
     return {
         "kind": k.cast("double"),
-        "n_chars": F.char_length(match).cast("double"),
         "n_digits": n.cast("double"),
         "n_groups": F.size(groups).cast("double"),
         "first_group": F.coalesce(F.length(F.get(groups, F.lit(0))), F.lit(0)).cast("double"),
@@ -114,15 +137,24 @@ def features(match: Column, left: Column, right: Column, k: Column) -> dict[str,
         "spelled": flag(match.rlike(r"[(\[{](?:at|dot)[)\]}]")),
         "zero_first": flag(match.startswith("0")),
         "plus_before": flag(left.endswith("+")),
+        "seps": F.size(F.array_distinct(F.regexp_extract_all(match, F.lit("(?<=[0-9])[^0-9]+(?=[0-9])"), F.lit(0)))).cast("double"),
+        "shortest_group": F.coalesce(F.array_min(F.transform(groups, F.length)), F.lit(0)).cast("double"),
+        "longest_group": F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)).cast("double"),
+        "sign_before": flag(left.rlike(r"[0-9][./-]$")),
+        "sign_after": flag(right.rlike(r"^[./-][0-9]")),
+        "number_before": flag(left.rlike(r"[0-9][ ()]{1,2}$")),
+        "number_after": flag(right.rlike(r"^[ ()]{1,2}[0-9]")),
+        "closed": flag(match.contains("(") == match.contains(")")),
         "word_before": flag(left.rlike(r"[\p{L}_=:#$€]$")),
         "word_after": flag(right.rlike(r"^[\p{L}0-9_%€$]")),
         **{f"cue_{c}": flag(left.rlike(p)) for c, p in CUES.items()},
     }
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Made findings with labels: match, left, right, k, label, fold. Numbers come
-    from hashes of the row number, formats from lists of true and false ones."""
+def labelled_texts(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
+    """Made texts with their personal data: text, spans (array<struct<start, end, k>>),
+    form (which of the ways to write a value), held_out. A text has one or two values of a form, at times after a number that has
+    nothing to do with them. Values come from hashes of the row number."""
 
     def digits(i: int, size: int) -> Column:
         return F.substring(F.lpad(F.abs(F.xxhash64("id", F.lit(i))).cast("string"), 19, "7"), 2, size)
@@ -130,14 +162,15 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     def word(i: int) -> Column:
         return F.translate(F.substring(F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"w{i}")), 256), 1, 6), "0123456789", "ostnrlaeiu")
 
-    def valid_card(size: int) -> Column:
+    def card_digits(size: int, off: int = 0) -> Column:
+        """Digits whose check digit is right, or off by a number."""
         head = digits(1, size - 1)
         short = F.aggregate(
             F.sequence(F.lit(1), F.length(head)),
             F.lit(0),
             lambda t, i: t + F.when((F.length(head) - i) % 2 == 0, (F.substring(head, i, F.lit(1)).cast("int") * 2) % 10 + F.floor(F.substring(head, i, F.lit(1)).cast("int") / 5)).otherwise(F.substring(head, i, F.lit(1)).cast("int")).cast("int"),
         )
-        return F.concat(head, ((10 - short % 10) % 10).cast("string"))
+        return F.concat(head, ((10 + off - short % 10) % 10).cast("string"))
 
     def grouped(x: Column, sep: str) -> Column:
         return F.regexp_replace(x, "([0-9]{4})(?=[0-9])", f"$1{sep}")
@@ -145,79 +178,108 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     a3, b3, c4, d2, e2 = digits(1, 3), digits(2, 3), digits(3, 4), digits(4, 2), digits(5, 2)
     j = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     phone, card, mail = KINDS.index("phone"), KINDS.index("card"), KINDS.index("email")
-    # (kind, label, match); the words before are dealt at random, so that format and context are learned apart
+    # (kind, whether it is personal, value); the words before are dealt at random, so that format and context are learned apart
     forms = [
-        (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j(a3, "-", b3, "-", c4)), (phone, 1, j(a3, ".", b3, ".", c4)),
-        (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j("0", d2, " ", b3, " ", e2, " ", d2)), (phone, 1, j("0", d2, "/", digits(6, 7))),
+        (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j(a3, "-", b3, "-", c4)), (phone, 1, j(a3, ".", b3, ".", c4)), (phone, 1, j(a3, " ", b3, " ", c4)),
+        (phone, 1, j("0", d2, " ", b3, " ", e2, " ", digits(6, 2))), (phone, 1, j("0", digits(6, 1), " ", d2, " ", e2, " ", digits(7, 2), " ", digits(8, 2))),
+        (phone, 1, j("0", d2, "/", digits(6, 7))), (phone, 1, j("0", a3, "-", digits(6, 7))), (phone, 1, j("1-8", d2, "-", b3, "-", c4)), (phone, 1, j("(", a3, ")", b3, "-", c4)),
+        (phone, 1, j("0", digits(6, 1), ".", d2, ".", e2, ".", digits(7, 2), ".", digits(8, 2))), (phone, 1, j("(0", d2, ") ", b3, " ", c4)), (phone, 1, j("00", d2, " ", a3, " ", b3, " ", c4)),
         (phone, 0, digits(1, 10)), (phone, 0, j("19", d2, "-", "20", e2)), (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))),
-        (phone, 0, j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, j(digits(1, 1), ".", digits(2, 2), ".", digits(3, 5))),
-        (phone, 0, digits(1, 8)), (phone, 0, digits(1, 11)), (phone, 0, digits(1, 16)), (phone, 0, j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, valid_card(16)),
-        (phone, 0, j(digits(1, 3), ".", digits(2, 3), ".", digits(3, 3))), (phone, 0, j(digits(1, 2), "/", digits(2, 2), "/20", d2)), (phone, 0, j(digits(1, 4), "-", digits(2, 4))),
-        (card, 1, grouped(valid_card(16), ".")), (card, 1, grouped(valid_card(16), "/")), (card, 1, grouped(valid_card(16), ".")), (card, 1, grouped(valid_card(16), "  ")),
-        (card, 0, digits(1, 16)), (card, 0, digits(1, 15)), (card, 0, grouped(digits(1, 16), "-")), (card, 0, j(a3, ".", b3, ".", d2, ".", e2)),
-        (card, 0, j("(", a3, ") ", b3, "-", c4)), (card, 0, digits(1, 12)), (card, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))), (card, 0, digits(1, 9)), (card, 0, grouped(digits(1, 16), " ")),
-        (mail, 1, j(word(1), "(at)", word(2), ".com")), (mail, 1, j(word(1), " [at] ", word(2), " [dot] org")), (mail, 1, j(word(1), ".", word(2), "@", word(3), ".net")), (mail, 1, j(word(1), " (at) ", word(2), " (dot) de")),
-        (mail, 0, j(word(1), " @ ", word(2), ". ", word(3))), (mail, 0, j(word(1), "@ ", word(2), ".", word(3))),
+        (phone, 0, j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, j(digits(1, 1), ".", d2, ".", digits(3, 5))), (phone, 0, digits(1, 8)), (phone, 0, digits(1, 11)), (phone, 0, digits(1, 16)),
+        (phone, 0, j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, j(a3, ".", b3, ".", digits(3, 3))), (phone, 0, j(d2, "/", e2, "/20", digits(6, 2))), (phone, 0, j(c4, "-", digits(5, 4))), (phone, 0, digits(1, 9)),
+        (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1), " 1", digits(6, 1), ".", e2)), (phone, 0, j(d2, " ", e2, " ", digits(6, 2), " ", digits(7, 2))), (phone, 0, j(a3, " ", b3, " ", digits(6, 3), " ", digits(7, 3))),
+        (card, 1, grouped(card_digits(16), ".")), (card, 1, grouped(card_digits(16), "/")), (card, 1, grouped(card_digits(16), "  ")), (card, 1, grouped(card_digits(15), ".")),
+        (card, 0, digits(1, 15)), (card, 0, grouped(card_digits(16, 3), "-")), (card, 0, digits(1, 12)), (card, 0, grouped(card_digits(16, 3), " ")), (card, 0, digits(1, 18)), (card, 0, grouped(card_digits(16, 3), ".")), (card, 0, grouped(card_digits(16, 3), "/")),
+        (mail, 1, j(word(1), "(at)", word(2), ".com")), (mail, 1, j(word(1), " [at] ", word(2), " [dot] org")), (mail, 1, j(word(1), ".", word(2), "@", word(3), ".net")), (mail, 1, j(word(1), " (at) ", word(2), " (dot) de")), (mail, 1, j(word(1), "{at}", word(2), "{dot}eu")),
+        (mail, 0, j(word(1), " @ ", word(2), ". ", word(3))), (mail, 0, j(word(1), "@ ", word(2), ".", word(3))), (mail, 0, j(word(1), " @", word(2), " .", word(3))),
     ]
     plain = ["the ", "of ", "and ", "is ", "at ", "in ", "to "]
     cues = {phone: ["call ", "call me at ", "phone: ", "tel. ", "mobile ", "telefon: "], card: ["card: ", "visa ", "cc ", "carte: "], mail: ["mail ", "contact ", "write "]}
     numbers = ["order no ", "isbn ", "version ", "id ", "ref ", "date: ", "total ", "pages "]
     lefts = {(k, label): plain + (cues[k] if label else numbers + [c for other in cues if other != k for c in cues[other]]) for k in cues for label in (0, 1)}
 
-    def before(k: int, label: int, place: int) -> Column:
-        some = lefts[k, label]
-        return F.get(F.array(*(F.lit(x) for x in some)), F.pmod(F.xxhash64("id", F.lit(f"before{place}")), F.lit(len(some))).cast("int"))
+    def dealt(some: list, key: str) -> Column:
+        return F.get(F.array(*(F.lit(x) for x in some)), F.pmod(F.xxhash64("id", F.lit(key)), F.lit(len(some))).cast("int"))
 
-    form = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), before(k, label, i).alias("left"), match.alias("match")) for i, (k, label, match) in enumerate(forms)))
+    form = F.array(*(F.struct(F.lit(i).alias("form"), F.lit(k).alias("k"), F.lit(label).alias("label"), dealt(lefts[k, label], f"before{i}").alias("left"), match.alias("match")) for i, (k, label, match) in enumerate(forms)))
+    stray = F.concat(dealt(["2024", "12", "3", "1999", "100", "7"], "stray"), F.lit(" "))
     made = spark.range(n).withColumn("f", F.get(form, F.pmod(F.col("id"), F.lit(len(forms))).cast("int")))
-    return made.select("f.match", "f.left", F.lit(" ").alias("right"), "f.k", F.col("f.label").cast("double").alias("label"), F.pmod(F.floor(F.col("id") / len(forms)), F.lit(FOLD)).alias("fold"))
+    made = made.withColumn("left", F.concat("f.left", F.when(F.pmod(F.xxhash64("id", F.lit("stray?")), F.lit(4)) == 0, stray).otherwise("")))
+    made = made.withColumn("between", dealt([" ", ", ", " or ", " / "], "between")).withColumn("twice", F.pmod(F.xxhash64("id", F.lit("twice?")), F.lit(4)) == 0)
+    size, first = F.char_length("f.match"), F.char_length("left")
+    second = first + size + F.char_length("between")
+    span = lambda at: F.struct(at.alias("start"), (at + size).alias("end"), F.col("f.k").alias("k"))
+    spans = F.when(F.col("f.label") == 0, F.array().cast("array<struct<start:int,end:int,k:int>>")).when(F.col("twice"), F.array(span(first), span(second))).otherwise(F.array(span(first)))
+    text = F.concat("left", "f.match", F.when(F.col("twice"), F.concat("between", "f.match")).otherwise(""), dealt([" ", ".", " ok", ", and"], "after"))
+    return made.select(text.alias("text"), spans.alias("spans"), "f.form", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLD)) == 0).alias("held_out"))
+
+
+def labelled_proposals(labelled: DataFrame) -> DataFrame:
+    """The proposals of labelled texts, right where they are just a labelled span: label, held_out and features."""
+    rows = labelled.select("spans", "held_out", F.explode(proposals(F.col("text"))).alias("x")).select("spans", "held_out", "x.*")
+    label = F.exists("spans", lambda y: (y["start"] == F.col("start")) & (y["end"] == F.col("end")) & (y["k"] == F.col("k")))
+    return rows.select(label.cast("double").alias("label"), "held_out", "k", *(c.alias(n) for n, c in features(F.col("match"), F.col("left"), F.col("right"), F.col("k")).items()))
 
 
 def fit(labelled: DataFrame):
-    """(model, thresholds): trees fitted on all folds but the first, and on that
-    the lowest score of each kind from which PRECISION holds (above 1: none)."""
-    made = labelled.select("label", "fold", "k", *(c.alias(n) for n, c in features(F.col("match"), F.col("left"), F.col("right"), F.col("k")).items()))
-    names = [c for c in made.columns if c not in ("label", "fold", "k")]
+    """(model, thresholds): trees fitted on the proposals of labelled texts that are not
+    held out, and on those held out the lowest score of each kind from which PRECISION holds."""
+    made = labelled_proposals(labelled)
+    names = [c for c in made.columns if c not in ("label", "held_out", "k")]
     data = VectorAssembler(inputCols=names, outputCol="features").transform(made).coalesce(2).cache()
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(data.filter("fold > 0"))
-    held = model.transform(data.filter("fold = 0")).select("k", "label", vector_to_array("probability")[1].alias("p"))
-    thresholds = {}
-    for k, rows in held.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("p", "label")), asc=False).alias("rows")).collect():  # of the bounded labelled findings
-        right, best = 0.0, 1.1
-        for n, row in enumerate(rows, 1):
-            right += row["label"]
-            if right / n >= PRECISION and (n == len(rows) or rows[n]["p"] < row["p"]):
-                best = max(0.5, row["p"])
-        thresholds[k] = best
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1).fit(data.filter(~F.col("held_out")))
+    held = model.transform(data.filter("held_out")).select("k", "label", F.round(vector_to_array("probability")[1], 6).alias("p"))
+    right = F.sum("n_right").over(Window.partitionBy("k").orderBy(F.col("p").desc()))
+    total = F.sum("n").over(Window.partitionBy("k").orderBy(F.col("p").desc()))
+    steps = held.groupBy("k", "p").agg(F.count("*").alias("n"), F.sum("label").alias("n_right"))
+    least = steps.select("k", "p", (right / total).alias("precision")).filter(F.col("precision") >= PRECISION).groupBy("k").agg(F.min("p").alias("p"))
+    thresholds = {r["k"]: max(0.5, r["p"]) for r in least.collect()}  # a row per kind
     data.unpersist()
     return model, thresholds
 
 
 def personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id", labelled: DataFrame | None = None) -> DataFrame:
-    """doc_id, base (base spans), spans (all spans), as arrays of struct<start, k, end>."""
-    model, thresholds = fit(labelled if labelled is not None else labelled_findings(df.sparkSession))
+    """doc_id, base (base spans), spans (all spans), as arrays of struct<start, k, end>.
+    labelled: texts with their spans, as labelled_texts() makes them."""
+    model, thresholds = fit(labelled if labelled is not None else labelled_texts(df.sparkSession))
     t = F.col("text")
     found = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = found.select("doc_id", F.xxhash64("text").alias("tie"), base_spans(t).alias("base"), proposals(t).alias("proposed"))
+    # spares scores of what goes anyway; where base spans are many, clusters alone settle it
     free = F.filter("proposed", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = written(found.withColumn("proposed", free), "spans")
+    found = written(found.withColumn("proposed", F.when(F.size("base") <= FEW, free).otherwise(F.col("proposed"))), "spans")
 
     rows = found.filter(F.size("proposed") > 0).select("doc_id", "tie", F.explode("proposed").alias("x")).select("doc_id", "tie", "x.*")
     rows = rows.select("doc_id", "tie", "start", "end", "k", *(c.alias(n) for n, c in features(F.col("match"), F.col("left"), F.col("right"), F.col("k")).items()))
     names = [c for c in rows.columns if c not in ("doc_id", "tie", "start", "end", "k")]
     scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     least = F.coalesce(*(F.when(F.col("k") == k, F.lit(float(v))) for k, v in thresholds.items()), F.lit(1.1))
-    scored = scored.select("doc_id", "tie", "start", "end", "k", vector_to_array("probability")[1].alias("p")).filter(F.col("p") >= least)
-    best = F.sort_array(F.collect_set(F.struct((-F.col("p")).alias("p"), "start", "k", "end")))
-    added = scored.groupBy("doc_id", "tie").agg(best.alias("best"))
-    # best first; a span goes if it overlaps one already taken
+    scored = scored.select("doc_id", "tie", "start", "k", "end", vector_to_array("probability")[1].alias("p")).filter(F.col("p") >= least)
+    fixed = found.filter((F.size("proposed") > 0) & (F.size("base") > FEW)).select("doc_id", "tie", F.explode("base").alias("x")).select("doc_id", "tie", "x.*", F.lit(BASE_SCORE).alias("p"))
+    added = _best(scored.unionByName(fixed)).groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("taken")).alias("added"))
+
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
-    take = F.aggregate("best", none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))))
-    added = added.select(F.col("doc_id").alias("added_id"), F.col("tie").alias("added_tie"), take.alias("added"))
+    added = added.select(F.col("doc_id").alias("added_id"), F.col("tie").alias("added_tie"), "added")
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("added_id")) & (F.col("tie") == F.col("added_tie")), "left")
     return joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("spans"))
 
 
+def _best(spans: DataFrame) -> DataFrame:
+    """spans: doc_id, tie, start, k, end, p. Per cluster of overlapping spans those that
+    are taken (array<struct<start, k, end>>): best first, of equal ones the first; one goes
+    if it overlaps one already taken. Base spans take their place but aren't listed."""
+    before = Window.partitionBy("doc_id", "tie").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
+    upto = before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = spans.withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("long"))
+    rows = rows.withColumn("cluster", F.sum("opens").over(upto))
+    best = F.sort_array(F.collect_set(F.struct((-F.col("p")).alias("p"), "start", "k", "end")))
+    none = F.array().cast("array<struct<p:double,start:int,k:int,end:int>>")
+    take = lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.array_append(acc, x))
+    taken = F.filter(F.aggregate("best", none, take), lambda x: x["p"] > -BASE_SCORE)
+    taken = F.transform(taken, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
+    return rows.groupBy("doc_id", "tie", "cluster").agg(best.alias("best")).select("doc_id", "tie", taken.alias("taken"))
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     kind = F.array(*(F.lit(k) for k in KINDS))

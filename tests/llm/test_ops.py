@@ -468,6 +468,24 @@ def test_pii(docs, empty, spark):
     assert personal_data(empty).count() == 0
 
 
+def test_pii_overlapping_windows(spark):
+    """Numbers beside other numbers, lists of phones, and very many matches in one text."""
+    from offerlane.llm.pii import digest, personal_data
+
+    texts = {
+        0: "phones 212-555-0187 212-555-0188", 1: "order 12 (212) 555-0187 ok", 2: "on 1999 555-123-4567 now", 3: "1 2 3 4 5 6 7 8 9 10 11 12 13", 4: "order 1234567890123452 and 978-3-16-148410-0",
+        5: " ".join(f"a{k}@b{k}.org" for k in range(20_000)), 6: "tel 01 23 45 67 89 ok", 7: None, 8: " ".join(str(k) for k in range(4000)),
+    }
+    got = {r.doc_id: r for r in digest(personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).collect()}
+    base = {i: base_pii(t) for i, t in texts.items()}
+    assert got[0].spans == "phone:7:19,phone:20:32" and got[1].spans == "phone:9:23" and got[6].spans == "phone:4:18"
+    assert all(set(base[i]) <= set(filter(None, r.spans.split(","))) for i, r in got.items())
+    if not base[2]:
+        assert got[2].spans == "phone:8:20"
+    assert got[3].spans == "" and got[7].spans == "" and got[5].n_email == 20_000
+    assert got[4].spans == ",".join(base[4])
+
+
 def test_secrets(docs, empty, spark):
     from offerlane.llm.secrets import fit, labelled_findings, secrets
 
