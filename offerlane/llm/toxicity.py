@@ -23,8 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents of each class that training takes.
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+#: Most labelled documents of each class that training takes, and most code points of such a document: longer ones
+#: are scored like any other but not learned from, so the one task that trains holds a bounded sample.
+MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 2000, 4000, 100_000
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.7
 #: Lengths of word beginnings that are features; least training documents of a feature; steps and rate of the descent.
@@ -203,7 +204,7 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> Model:
     """The model learned from at most MAX_TOXIC + MAX_CLEAN labelled documents that are not held out."""
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{toxic}`").alias("toxic"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("toxic")]
     some = [known.filter(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
     picked = F.broadcast(some[0].unionByName(some[1]))  # bounded by the two limits
@@ -216,7 +217,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         return pd.DataFrame([("", model.bias, model.cut), *((k, w, 0.0) for k, w in model.weights.items())], columns=["name", "weight", "cut"])
 
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sample = texts.join(picked, "doc_id").withColumn("all", F.lit(0))
+    # one text per labelled id, however often it occurs, so what the task learns from is bounded
+    sample = texts.join(picked, "doc_id").filter(F.coalesce(F.char_length("text"), F.lit(0)) <= MAX_TEXT)
+    sample = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("all", F.lit(0))
     rows = sample.groupBy("all").applyInPandas(learn, "name string, weight double, cut double").collect()  # one per feature with a weight
     head = [r for r in rows if r["name"] == ""]
     return Model({r["name"]: r["weight"] for r in rows if r["name"]}, head[0]["weight"], head[0]["cut"]) if head else Model({}, 0.0, 1.0)
