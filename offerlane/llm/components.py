@@ -26,6 +26,11 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """pairs: two columns of one type. Returns node, component (the smallest node
     reachable); nodes without a pair are not in it.
 
+    Defined cases: pairs in either direction or repeated count once; a pair of a node
+    with itself, or with a null, is no pair; an empty table gives an empty table. Nodes
+    with very many pairs are parted by Spark's skew joins; their minima are combined
+    before any shuffle.
+
     In each round a node takes the smallest label of its neighbours and then the
     label of that label, so long chains shorten quickly. Minima are combined before
     the shuffle. Each round's labels are written, as the next reads them twice."""

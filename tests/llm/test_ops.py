@@ -368,6 +368,8 @@ def test_components_of_a_chain(spark):
     got = {r.node: r.component for r in connected_components(chain).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert connected_components(chain.limit(0)).count() == 0
+    odd = spark.createDataFrame([(5, None), (None, 6), (3, 2), (2, 3), (3, 2)], "a long, b long")
+    assert sorted(map(tuple, connected_components(odd).collect())) == [(2, 2), (3, 2)]
 
 
 def test_vectors(spark):
@@ -527,6 +529,30 @@ def test_assigned_secrets(empty, spark):
     assert df.filter(F.col("text").rlike(CANDIDATE) & ~F.col("text").rlike(NEED)).count() == 0
 
 
+def test_secret_features(spark):
+    """Numbers of a candidate, counted again in Python, and the corpus's dictionary."""
+    from offerlane.llm.secrets import DICTIONARY, common_pairs, dictionary, features
+
+    words = ["gardener", "rivers"]
+    pairs = set(common_pairs([*DICTIONARY, *words]))
+    cases = ["gardenerX9rivers", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "aB3-aB3-zz__", "a", "AAAA1111"]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    f = features(F.col("c"), F.lit("the token = "), F.lit(" x"), F.lit("src/a.py"), words)
+    rows = df.select("c", *(x.alias(n) for n, x in f.items())).collect()
+    every = sorted({*DICTIONARY, *words}, key=lambda w: (-len(w), w))
+    for r in rows:
+        n, low = len(r.c), r.c.lower()
+        assert r.digits == pytest.approx(sum(x in "0123456789" for x in r.c) / n)
+        assert r.letter_to_digit == pytest.approx(len(re.findall("(?<=[A-Za-z])[0-9]", r.c)) / n)
+        assert r.lower_to_upper == pytest.approx(len(re.findall("(?<=[a-z])[A-Z]", r.c)) / n)
+        assert r.common_pairs == pytest.approx(sum(low[k : k + 2] in pairs for k in range(n - 1)) / n)
+        assert r.dictionary == pytest.approx(sum(map(len, re.findall("|".join(every), low))) / n)
+        assert r.entropy == pytest.approx(-sum(k / n * np.log2(k / n) for k in Counter(r.c).values()))
+        assert (r.cue, r.assigned, r.length) == (1.0, 1.0, n)
+    corpus = spark.createDataFrame([("gardener rivers rivers River x1y2z " + ("meadow" if k < 19 else ""),) for k in range(25)] + [(None,)], "text string")
+    assert dictionary(corpus) == ["gardener", "rivers"]
+
+
 def test_toxicity(spark):
     from offerlane.llm.toxicity import fit, held_out, scored
 
@@ -554,6 +580,11 @@ def test_toxicity(spark):
     none = fit(df, lab.limit(0))
     assert {r.score for r in scored(df, none).collect()} == {0.0}
     assert scored(df.limit(0), none).count() == 0
+    # repeated documents and labels don't change what is learned; very long texts are scored whole
+    again = fit(df.unionByName(df), lab.unionByName(lab))
+    assert again.weights == fit(df, lab).weights
+    long = spark.createDataFrame([(7000, "w1 w2 w3. " * 30_000 + "you idiot of w5."), (7000, "w1 w2."), (7001, None)], "doc_id long, text string")
+    assert sorted(r.predicted for r in scored(long, again).collect()) == [0, 0, 1]
     import zlib
 
     assert [r[0] for r in spark.range(20).select(held_out(F.col("id"))).collect()] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)]
