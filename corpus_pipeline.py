@@ -2,6 +2,13 @@
 
 Each stage works on all that its predecessor kept. The last gives, per document,
 the digests of its tokens; the others give the columns of documents.
+
+Defined cases, through all stages: a null or empty text fails the quality rules, so
+later stages see none (each takes them, as its module says); null ids are documents
+like others; repeated rows are judged alike, and the near-duplicate stage keeps one
+of them; very long texts are read whole; an empty table goes through as such; other
+columns pass unchanged, whatever their names, up to the last stage; n_chars follows
+the text where there is such a column.
 """
 
 from __future__ import annotations
@@ -24,7 +31,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source."""
-    return drop_boilerplate(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars"))
+    kept = drop_boilerplate(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars").cast("long")))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +44,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes of each document, as its text."""
-    return mix_documents(docs, n_chars="n_chars")
+    return mix_documents(docs, n_chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
