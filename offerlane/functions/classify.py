@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerlane.functions.measures import small_size
 from offerlane.functions.text import norm, norm_text, query_tokens
-from offerlane.vocabulary import AVAILABILITY_RANK, CONCENTRATIONS, GENERIC_WORDS, NON_PERFUME
+from offerlane.vocabulary import AUDIENCES, AVAILABILITY_RANK, CONCENTRATIONS, GENERIC_WORDS, NAME_CONCENTRATIONS, NON_PERFUME
 
 
 def concentration(text: Column) -> Column:
@@ -19,13 +19,9 @@ def concentration(text: Column) -> Column:
 
 
 def gender(text: Column) -> Column:
+    """For whom a product is by the words of a text, or unknown."""
     t = norm(text)
-    return (
-        F.when(t.rlike(r"\b(?:men|man|homme|uomo|herren|male)\b"), "men")
-        .when(t.rlike(r"\b(?:women|woman|femme|donna|damen|female)\b"), "women")
-        .when(t.rlike(r"\b(?:unisex|unisexe)\b"), "unisex")
-        .otherwise("unknown")
-    )
+    return F.coalesce(*(F.when(t.rlike(rf"\b(?:{'|'.join(words)})\b"), F.lit(label)) for label, words in AUDIENCES), F.lit("unknown"))
 
 
 def availability(text: Column, available: Column | None = None) -> Column:
@@ -47,7 +43,7 @@ def challenge(html: Column, markers: tuple[str, ...] = ("captcha", "cf-chl", "ac
 def without_generic(name: Column) -> Column:
     """A normalised name without sizes, concentrations and generic words."""
     t = F.regexp_replace(name, r"\b[0-9]+(?:[.,][0-9]+)?\s*(?:ml|cl)\b", " ")
-    t = F.regexp_replace(t, r"\b(?:eau\s+de\s+parfum|eau\s+de\s+toilette|eau\s+de\s+cologne|extrait\s+de\s+parfum|edp|edt|edc)\b", " ")
+    t = F.regexp_replace(t, rf"\b(?:{'|'.join(NAME_CONCENTRATIONS)})\b".replace(" ", r"\s+"), " ")
     return F.array_join(F.filter(F.split(t, " +"), lambda w: (w != "") & ~w.isin(*GENERIC_WORDS)), " ")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerlane.vocabulary import IGNORED_WORDS, LINE_WORDS
+from offerlane.vocabulary import IGNORED_WORDS, LINE_CONCENTRATIONS, LINE_WORDS
 
 
 @lru_cache(maxsize=1)
@@ -124,7 +124,7 @@ def product_line(name: Column, vendor: Column) -> Column:
     size and words for whom it is; the plain name if nothing is left."""
     plain, maker = norm_ascii(name), norm_ascii(vendor)
     line = F.when(maker == "", plain).otherwise(F.regexp_replace(plain, F.concat(F.lit(r"\b"), maker, F.lit(r"\b")), F.lit(" ")))
-    line = F.regexp_replace(line, r"\b(?:eau de parfum|eau de toilette|extrait de parfum|edp|edt)\b", " ")
+    line = F.regexp_replace(line, rf"\b(?:{'|'.join(LINE_CONCENTRATIONS)})\b", " ")
     line = F.regexp_replace(line, r"\b\d+(?:[.,]\d+)?\s*(?:ml|milliliters?|cl)\b", " ")
     line = F.regexp_replace(line, rf"\b(?:{'|'.join(LINE_WORDS)})\b", " ")
     line = F.trim(F.regexp_replace(line, r"\s+", " "))

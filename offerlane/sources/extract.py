@@ -19,7 +19,7 @@ PRICE_WAYS = (
     rf"(?iu){_AMOUNT}\s*€?\s+[0-9]{{1,4}}(?:[.,][0-9]{{1,2}})?\s*{_UNIT}\b",
     rf"(?iu)(?:€\s*)?{_AMOUNT}(?:\s*€){_PER_100}",
 )
-# Words on a search card that tell the stock; the first list wins.
+# Words on a search card that tell the stock, of all languages together; the first list wins.
 OUT_OF_STOCK = ("indisponible", "épuisé", "epuise", "out of stock", "sold out", "unavailable", "rupture de stock", "esaurito", "non disponibile")
 IN_STOCK = ("disponible", "available", "in stock", "en stock", "disponibile")
 #: Likeness from which a misspelled word counts as one of the name; lengths may differ by so many.

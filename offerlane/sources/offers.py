@@ -13,6 +13,7 @@ from offerlane.functions import classify, measures
 from offerlane.functions.text import filled, norm
 
 _WRAPPED = "struct<value:string,source:string>"
+# Names of the fields that offers come with.
 _FLAT = (
     "store name title product_name canonical_name brand manufacturer maker source_brand canonical_brand price url image image_url thumbnail size format volume size_ml volume_ml format_ml "
     "product_line variant pack_size concentration currency availability catalog_id product_identity master_id item_group_id product_id store_product_id store_variant_id variant_id "

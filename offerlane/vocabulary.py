@@ -26,6 +26,17 @@ CONCENTRATIONS = (
     ("Parfum", r"\bparfum\b"),
 )
 
+# Concentrations that a name is compared without, and those that a product line is named without.
+NAME_CONCENTRATIONS = ("eau de parfum", "eau de toilette", "eau de cologne", "extrait de parfum", "edp", "edt", "edc")
+LINE_CONCENTRATIONS = ("eau de parfum", "eau de toilette", "extrait de parfum", "edp", "edt")
+
+# Words for whom a product is, in the order in which they are looked for.
+AUDIENCES = (
+    ("men", ("men", "man", "homme", "uomo", "herren", "male")),
+    ("women", ("women", "woman", "femme", "donna", "damen", "female")),
+    ("unisex", ("unisex", "unisexe")),
+)
+
 # Rank of an availability in price order; others come last.
 AVAILABILITY_RANK = {"in stock": 0, "available": 0, "out of stock": 1, "unknown": 2}
 

@@ -134,6 +134,9 @@ def test_price_stream(spark, tmp_path):
         query.processAllAvailable()
         df.filter("ts > timestamp_seconds(3)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         query.processAllAvailable()
+        late = spark.createDataFrame([("k", 2, 7.0, "C"), ("k", 6, 9.0, "B")], "key string, t int, value double, store string").withColumn("ts", F.timestamp_seconds("t")).drop("t")
+        late.select(df.columns).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))  # both older and equal to the last point seen
+        query.processAllAvailable()
     finally:
         query.stop()
     got = sorted((r.key, r.ts.second, r.value, r.store) for r in spark.table("kept").collect())
