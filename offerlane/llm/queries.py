@@ -188,3 +188,111 @@ links as (select a, count(*) as n from pairs group by a)
 select e.vec_id, coalesce(l.n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept
 from e join component c on c.id = e.vec_id left join links l on l.a = e.vec_id
 """
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each order of them, by source."""
+    from offerlane.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language by score."""
+    from offerlane.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of benchmark items."""
+    from offerlane.llm.decontaminate import benchmark_hits, digest
+
+    return digest(benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+f as (select text as text2, min(doc_id) as first from t group by text),
+w as (select t.*, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, coalesce(doc_id > first, false) as e from t join f on text = text2),
+l as (select doc_id as id, bool_or(coalesce(quality, 0) = 1) as good, bool_or(coalesce(toxic, 0) = 1) as toxic from labels group by doc_id),
+v as (
+  select part, len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) as c, regexp_matches(text, '[#$%&*|]') as d, e,
+         coalesce(good, false) as good, coalesce(toxic, false) as toxic
+  from w left join l on doc_id = id),
+g as (
+  select part, case when a then 'A' else '' end || case when b then 'B' else '' end || case when c then 'C' else '' end
+         || case when d then 'D' else '' end || case when e then 'E' else '' end as fails, count(*) as n,
+         count(*) filter (good) as good, count(*) filter (toxic) as toxic from v group by all),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+o as (
+  select p.f || q.f || r.f || s.f || u.f as filter_order from x p, x q, x r, x s, x u
+  where len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+s as (select filter_order, k::int as step, filter_order[k] as f, left(filter_order, k - 1) as before from o, range(1, 6) as r(k)),
+m as (
+  select part, filter_order, step, f,
+         sum(n) filter (regexp_replace(fails, '[^' || before || f || ']', '', 'g') = '') as kept,
+         sum(n) filter (contains(fails, f) and (before = '' or regexp_replace(fails, '[^' || before || '_]', '', 'g') = '')) as removed,
+         sum(n) filter (contains(fails, f)) as failing, sum(n) filter (fails = f) as unique_fails,
+         sum(good) filter (contains(fails, f) and (before = '' or regexp_replace(fails, '[^' || before || '_]', '', 'g') = '')) as good_lost,
+         sum(toxic) filter (contains(fails, f) and (before = '' or regexp_replace(fails, '[^' || before || '_]', '', 'g') = '')) as toxic_lost
+  from g, s group by all)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed,
+       (coalesce(failing, 0) - coalesce(removed, 0))::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+       coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost,
+       (sum(coalesce(removed, 0)) over (partition by part, f))::bigint as shapley
+from m
+"""
+
+ORACLE_SQL["op12_collocations"] = r"""
+with d as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d),
+g as (
+  select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+  from p, range(1, 4) as r(k) where len(w) >= k),
+f as materialized (select lang, k, phrase, count(*) as n from g group by all having count(*) >= 10),
+t as (select lang, count(*) as n from g where k = 1 group by lang),
+c as materialized (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1),
+cut as (
+  select c.lang, c.k, c.phrase, a, j, x.n as l, y.n as r, ((1000000::hugeint * a * a) // (x.n::hugeint * y.n))::bigint as score
+  from (select *, unnest(range(1, k)) as j from c) c
+  join f x on x.lang = c.lang and x.phrase = array_to_string(w[1:j], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(w[j + 1:], ' ')),
+low as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+longer as (
+  select lang, phrase, max(a) as a from (
+    select lang, array_to_string(w[1:2], ' ') as phrase, a from c where k = 3 union all select lang, array_to_string(w[2:3], ' '), a from c where k = 3)
+  group by all),
+kept as (select low.* from low left join longer using (lang, phrase) where longer.a is null or 100 * longer.a < 50 * low.a),
+best as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, t.n as n, score from best join t using (lang) where rank <= 2000
+"""
+
+ORACLE_SQL["op13_decontamination"] = r"""
+with dw as materialized (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+iw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+win as materialized (
+  select distinct item_id, least(10, len(w)) as m, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') as t
+  from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as s from iw where len(w) > 0)),
+sizes as (select distinct m from win),
+places as (select row, m, unnest(range(1, len(w) - m + 2)) as s from dw, sizes where len(w) >= m),
+run as (select row, m, s, array_to_string(w[s:s + m - 1], ' ') as t from places join dw using (row)),
+hit as materialized (select row, run.m, s, item_id from run join win on run.m = win.m and run.t = win.t),
+n as (select row, count(distinct word) as n_hit from (select row, unnest(range(s, s + m)) as word from (select distinct row, m, s from hit)) group by row),
+i as (
+  select row, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct row, item_id::varchar as id from hit where item_id is not null) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join n using (row) left join i using (row)
+"""
