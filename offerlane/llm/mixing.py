@@ -1,14 +1,15 @@
 """Mixing sources to target weights by packed blocks.
 
 Words of each source are packed, documents in a pseudorandom order, into blocks
-of a fixed length. A mix is a number of output shards. Each source gives all its
-blocks as often as its target holds the source, and of the rest as many blocks
-as come nearest, by their real lengths (its last block can be short), but one at
-least if it has a target at all; the counts of its blocks per shard are drawn from a
-multinomial distribution with that total, so the whole mix meets the targets.
-The k-th block that a source gives is its block perm(k mod n) in pass k div n,
-where perm is a pseudorandom permutation of its n block indexes. Slots and
-blocks meet in a join by source and index.
+of a fixed length. A mix is a number of output shards of a fixed number of blocks. The
+blocks that a source should give are those that come nearest to its target by their
+real lengths (its last block can be short), but one at least if it has a target at
+all; each place of a shard draws its source by these numbers, so the counts of a
+shard are multinomial. What a source gives in all is what was drawn: where that is off
+its number by more than half a percent, the last shards are corrected to that bound, so small
+sources give their number exactly. The k-th block that a source gives, shard by shard, is its block perm(k mod n)
+in pass k div n, where perm is a pseudorandom permutation of its n block indexes.
+Slots and blocks meet in a join by source and index.
 
 Everything is keyed hashing of ids, so reruns agree. Running sums over a source
 are taken in two steps, over buckets and within buckets, so that a source with a
@@ -34,10 +35,10 @@ WEIGHTS, MAX_PASSES = (1, 2, 3), 3
 BLOCK, SHARD, ROUNDS, SEED = 64, 4096, 24, 20240
 BLANK = " \t\n\x0b\f\r"
 AFTER_SPACE = "(?<=[ \\t-\\r])(?=[^ \\t-\\r])"
-#: Least buckets of a running sum, and slots made from one row.
-BUCKETS, CHUNK = 64, 1024
-#: Slots that one task makes; rows that slots are made from, at most (and one per source); shards in a run of a running sum.
-TASK, MOST_CHUNKS, RUN = 1 << 17, 1 << 20, 4096
+#: Share of its blocks by which what a source draws can be off its target, in either direction.
+TOLERANCE = 0.005
+#: Least buckets of a running sum; slots that one task makes; runs of tickets that sources are listed by; shards in a run of a running sum.
+BUCKETS, TASK, RUNS, RUN = 64, 1 << 17, 1 << 16, 4096
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -80,7 +81,7 @@ def permuted(k: Column, n: Column, key: Column, rounds: int = ROUNDS, inverse: b
 
 
 def with_slots(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """targets with n_blocks and n_slots: the blocks of a source, and how many the mix takes."""
+    """targets with n_blocks and n_slots: the blocks of a source, and how many the mix should take."""
     t = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / block).cast("long"))
     n, size = F.greatest(F.col("n_blocks"), F.lit(1)), F.greatest(F.col("source_size").cast("long"), F.lit(1))
     words = F.round("target").cast("long")
@@ -129,48 +130,70 @@ def mixed(df: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return packed.select("row", "doc_id", "tie", "sid", "size", "start"), _slots(targets), targets
 
 
-def _slots(targets: DataFrame, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
-    """The slots of the mix: draws of a shard per slot counted by (source, shard),
-    numbered on within the source, and mapped to block indexes."""
+def shard_counts(targets: DataFrame, total: int, shard: int = SHARD) -> DataFrame:
+    """sid, shard, n: how many blocks each source gives to each output shard.
+
+    A shard has as many places as blocks fit (shard; the last one fewer), and each place
+    draws a source by the sources' n_slots, so the counts of a shard are multinomial. A place draws one
+    of total tickets; a source has the tickets first .. last, listed by runs of tickets so that
+    places and sources meet in a join."""
+    spark, width = targets.sparkSession, max(1, total // RUNS)
+    upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row per source
+    held = targets.filter("n_slots > 0").select("sid", F.sum("n_slots").over(upto).alias("end"), (F.sum("n_slots").over(upto) - F.col("n_slots")).alias("first"))
+    held = held.withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor((F.col("end") - 1) / width))))
+    places = spark.range(0, total, 1, max(1, -(-total // TASK))).select(F.floor(F.col("id") / shard).alias("shard"), F.pmod(F.xxhash64(F.lit(SEED), F.lit("draw"), "id"), F.lit(total)).alias("ticket"))
+    drawn = places.withColumn("run", F.floor(F.col("ticket") / width)).join(held, "run").filter((F.col("first") <= F.col("ticket")) & (F.col("ticket") < F.col("end")))
+    return drawn.groupBy("sid", "shard").agg(F.count("*").alias("n"))
+
+
+def _slots(targets: DataFrame, shard: int = SHARD) -> DataFrame:
+    """The slots of the mix: the blocks that each shard draws of each source, numbered on within the
+    source and mapped to block indexes.
+
+    What a source gives in all is what was drawn, if that is within TOLERANCE of its n_slots and within its
+    passes; else its last shards give fewer, or more."""
     total = int(targets.agg(F.sum("n_slots")).first()[0] or 0)
-    n_shards = max(1, -(-total // shard))
-    # few bytes make many slots here: the number of tasks follows the slots, and slots are never a side to broadcast
-    tasks, chunk = max(1, -(-total // TASK)), max(chunk, -(-total // MOST_CHUNKS))
-    key = F.struct("sid", "n_blocks", "n_slots", "chunk")
-    parts = targets.filter(F.col("n_slots") > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_slots").cast("long") - 1, F.lit(chunk))))
-    parts = parts.select(key.alias("c")).repartition(tasks, "c")
-    last = F.least(F.col("c.n_slots"), F.col("c.chunk") + chunk) - 1
-    drawn = parts.select("c.sid", "c.n_blocks", F.explode(F.sequence(F.col("c.chunk"), last)).alias("draw"))
-    drawn = drawn.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), F.lit("shard"), "sid", "draw"), F.lit(n_shards)))
-    counts = drawn.groupBy("sid", "n_blocks", "shard").agg(F.count("*").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
+    n_shards, tasks = max(1, -(-total // shard)), max(1, -(-total // TASK))
+    counts = written(shard_counts(targets, total, shard), "mix-draws") if total else targets.sparkSession.createDataFrame([], "sid long, shard long, n long")
+    drawn = counts.groupBy("sid").agg(F.sum("n").alias("drawn"))
+    off = F.floor(F.col("n_slots") * TOLERANCE)
+    least, most = F.col("n_slots") - off, F.least(F.col("n_slots") + off, MAX_PASSES * F.col("n_blocks"))
+    given = targets.filter("n_slots > 0").join(drawn, "sid", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    given = given.select("sid", "n_blocks", "drawn", F.greatest(least, F.least("drawn", most)).alias("given"))
+    # what is missing, a full shard at a time from the last one on
+    more = given.filter("given > drawn").withColumn("j", F.explode(F.sequence(F.lit(0), F.floor((F.col("given") - F.col("drawn") - 1) / shard))))
+    more = more.select("sid", F.greatest(F.lit(n_shards - 1) - F.col("j"), F.lit(0)).alias("shard"), F.least(F.lit(shard), F.col("given") - F.col("drawn") - F.col("j") * shard).alias("n"))
+    counts = counts.unionByName(more).groupBy("sid", "shard").agg(F.sum("n").alias("n")).withColumn("run", F.floor(F.col("shard") / RUN))
     # running sums in two steps, over runs of shards and within a run, so that no source is sorted in one task
     up_to = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.groupBy("sid", "run").agg(F.sum("n").alias("run_n"))
     runs = runs.select("sid", "run", F.coalesce(F.sum("run_n").over(up_to("sid").orderBy("run")), F.lit(0)).alias("run_first"))
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(up_to("sid", "run").orderBy("shard")), F.lit(0)))
     counts = counts.join(runs, ["sid", "run"]).withColumn("first", F.col("first") + F.col("run_first"))
-    slots = counts.repartition(tasks, "sid", "shard").select("sid", "n_blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    counts = counts.join(given.select("sid", "n_blocks", "given"), "sid").withColumn("last", F.least(F.col("first") + F.col("n"), "given") - 1).filter("first <= last")
+    slots = counts.repartition(tasks, "sid", "shard").select("sid", "n_blocks", "shard", F.explode(F.sequence("first", "last")).alias("k"))
     return slots.select("sid", "shard", "k", permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(SEED), "sid")).alias("index"), F.floor(F.col("k") / F.col("n_blocks")).alias("pass_no"))
 
 
 def taken_blocks(packed: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFrame:
     """row, tie, size, sid, and per block of the document that the mix takes: index,
-    times, and the words first .. last (from 0, end exclusive) that it covers."""
-    times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"))
+    times, shard (the first that has it), and the words first .. last (from 0, end exclusive) that it covers."""
+    times = slots.groupBy("sid", "index").agg(F.count("*").alias("times"), F.min("shard").alias("shard"))
     filled = packed.filter(F.col("size") > 0)
     parts = filled.withColumn("index", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     first = F.greatest(F.lit(0), F.col("index") * block - F.col("start"))
     last = F.least(F.col("size"), (F.col("index") + 1) * block - F.col("start"))
-    return parts.join(times.hint("merge"), ["sid", "index"]).select("row", "tie", "sid", "size", "index", "times", first.alias("first"), last.alias("last"))
+    return parts.join(times.hint("merge"), ["sid", "index"]).select("row", "tie", "sid", "size", "index", "times", "shard", first.alias("first"), last.alias("last"))
 
 
 def mix_digest(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, and first_shard, the first output
+    shard that has words of it (null: none)."""
     packed, slots, targets = mixed(reread(df, "mix-docs"), text, source, doc_id, block)
     packed = written(packed, "mix-packed")
-    taken = taken_blocks(packed, slots, block).groupBy("row").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken"))
+    taken = taken_blocks(packed, slots, block).groupBy("row").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken"), F.min("shard").alias("first_shard"))
     joined = packed.join(taken, "row", "left").join(targets.select("sid", "source_size", "target"), "sid")
-    return joined.select("doc_id", "size", F.col("source_size").cast("long"), "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"))
+    return joined.select("doc_id", "size", F.col("source_size").cast("long"), "target", F.coalesce(F.col("taken"), F.lit(0)).cast("long").alias("taken"), F.col("first_shard").cast("long").alias("first_shard"))
 
 
 def mix_documents(df: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, n_chars: str | None = None) -> DataFrame:
