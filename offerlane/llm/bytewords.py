@@ -90,16 +90,27 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return found
 
 
-def pack_numbers(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, byte by byte of their size, compressed."""
+def planes(numbers: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte of their size: high bytes are mostly equal and compress to nothing."""
+    return np.ascontiguousarray(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def numbers(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def packed(*blobs: bytes) -> bytes:
+    """Some bytes as one compressed blob."""
     import zstandard
 
-    planes = np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    head = np.array([len(blobs), *map(len, blobs)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(blobs))
 
 
-def unpack_numbers(blob: bytes) -> np.ndarray:
+def unpacked(blob: bytes) -> list[bytes]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    ends = np.cumsum(np.frombuffer(raw, "<i8", n, 8)) + 8 * (n + 1)
+    return [raw[a:b] for a, b in zip([8 * (n + 1), *ends[:-1].tolist()], ends.tolist())]
