@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import compact, number_text
+from offerlane.functions.text import compact, norm, number_text
 from offerlane.operators.dedup import keep_first, keep_last
 
 #: Score from which names match; from which they count as exact; share of a score that the brand gives.
@@ -92,6 +92,24 @@ def best_match(offers: DataFrame, catalog: DataFrame, key: str, last: list | Non
     return found.unionByName(by_name(rest, catalog.select("product_id", F.explode(names).alias("name"), "brand"), key))
 
 
+def offers_for_matching(offers: DataFrame, key: str) -> DataFrame:
+    """Normalised offers with the columns that best_match() reads: name and brand in their
+    normalised forms. All their columns stay; shown names go to shown_name and shown_brand."""
+    return offers.withColumns({"shown_name": F.col("name"), "shown_brand": F.col("brand"), "name": F.col("name_n"), "brand": F.coalesce("brand_n", F.lit(""))}).filter(F.col(key).isNotNull())
+
+
+def catalog_for_matching(catalog: DataFrame) -> DataFrame:
+    """A loaded catalog (product_id, brand_name, family_name, aliases; gtins, mpns, formats_ml if it has them) as
+    best_match() and attach_matches() read it."""
+    strings = F.array().cast("array<string>")
+    own = lambda c: F.coalesce(F.col(c), strings) if c in catalog.columns else strings
+    forms = F.filter(F.transform(own("aliases"), norm), lambda x: x != "")
+    return catalog.select(
+        "product_id", F.col("product_id").alias("catalog_id"), own("gtins").alias("gtins"), own("mpns").alias("mpns"), norm("family_name").alias("name"),
+        norm("brand_name").alias("brand"), forms.alias("aliases"), F.col("brand_name").alias("canonical_brand"), F.col("family_name").alias("canonical_name"),
+    )
+
+
 def attach_matches(offers: DataFrame, catalog: DataFrame, key: str, last: list | None = None) -> DataFrame:
     """The offers that match a product, as they are, with catalog_id, canonical_brand,
     canonical_name, match_method, match_score, product_identity and variant_id (of

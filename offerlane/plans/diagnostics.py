@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from offerlane.functions.classify import reject_reason
 from offerlane.operators.dedup import keep_first
+from offerlane.plans.engine import Engine
 from offerlane.sources import connectors
-from offerlane.sources.offers import RAW_SCHEMA, identity, normalized
 
 SUMMARY = "store attempt_no raw_index name brand url price_cents availability size_ml concentration store_product_id variant_id gtin sku".split()
 
@@ -16,10 +16,9 @@ SUMMARY = "store attempt_no raw_index name brand url price_cents availability si
 def candidates(spark: SparkSession, query: str, names: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Every raw candidate of every store and attempt, summarised: SUMMARY, its identity,
     whether it is the one of its identity that is kept, and why it is rejected (null: it matches)."""
-    raw, errors = connectors.gather(spark, query, names)
-    whole = spark.createDataFrame([], f"{RAW_SCHEMA}, store_rank int, attempt_no int")
-    raw = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
-    rows = identity(normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())), ("store_rank", "attempt_no")))
+    run = Engine(spark, names).run(query).start()
+    run.wait()
+    rows, errors = run.rows(), run.errors()
     rows = rows.withColumnRenamed("ingest_ord", "raw_index").withColumn("reason", reject_reason(query, F.col("name_n"), F.col("size_ml"), F.col("search_text")))
     order = ["attempt_no", "raw_index", "url"]
     first = keep_first(rows, ["identity"], ["store_rank", *order]).select("identity", *(F.col(c).alias(f"kept_{c}") for c in order))

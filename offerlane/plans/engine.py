@@ -2,36 +2,63 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from concurrent.futures import Future, ThreadPoolExecutor
+from base64 import urlsafe_b64decode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.functions.classify import availability_rank, reject_reason
-from offerlane.functions.text import job_id, norm, norm_text
+from offerlane.functions.text import filled, job_id, norm, norm_text
 from offerlane.operators.dedup import changes, keep_first
+from offerlane.operators.matcher import attach_matches, catalog_for_matching, offers_for_matching
 from offerlane.operators.rank import suggest
 from offerlane.operators.store import ProductIndex
+from offerlane.plans.runs import SECONDS, StoreRun
 from offerlane.sources import connectors
 from offerlane.sources.offers import RAW_SCHEMA, identity, normalized
+from offerlane.sources.storage import kept, shared_folder, until_exit
 
 _ORDER = ["store_rank", "attempt_no", "ingest_ord", "url"]
+#: Finished jobs that are kept to be asked for.
+JOBS = 64
+
+
+def offer_rows(raw: DataFrame | None, spark: SparkSession, extra: str = "") -> DataFrame:
+    """Raw rows of connectors as offers with their identity. extra: further columns, as DDL, to carry along."""
+    kept_columns = f"store_rank int, attempt_no int{extra}"
+    whole = spark.createDataFrame([], f"{RAW_SCHEMA}, {kept_columns}")
+    rows = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
+    return identity(normalized(rows, tuple(c.split()[0] for c in kept_columns.split(", "))))
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, stores: list[str] | None = None):
-        self.spark, self.stores = spark, stores
-        self.jobs: dict[str, Future] = {}
-        self.pool = ThreadPoolExecutor(4)
+    """Searches over registered stores. seconds: how long a search takes at most; folder:
+    where runs write, below the shared folder if not named."""
+
+    def __init__(self, spark: SparkSession, stores: list[str] | None = None, seconds: float = SECONDS, folder: str | None = None):
+        self.spark, self.stores, self.seconds, self.folder = spark, stores, seconds, folder
+        self.jobs: dict[str, tuple[str, StoreRun]] = {}
+        self.lock = threading.Lock()
+
+    def run(self, query: str, name: str | None = None) -> StoreRun:
+        """All offers of all stores for a query, as a run that isn't started."""
+        stores = connectors.chosen(self.stores)
+
+        def reader(store: str, rank: int):
+            return lambda: offer_rows(connectors.gather(self.spark, query, store, rank), self.spark)
+
+        readers = {store: reader(store, k) for k, store in enumerate(stores)} if norm_text(query) else {}
+        base = self.folder or shared_folder(self.spark)
+        return StoreRun(self.spark, readers, offer_rows(None, self.spark).schema, self.seconds, f"{base}/{name or 'search-' + uuid.uuid4().hex}")
 
     def offers(self, query: str) -> tuple[DataFrame, dict[str, str]]:
-        """All offers that stores give for a query, each once at its first place."""
-        raw, errors = connectors.gather(self.spark, query, self.stores)
-        whole = self.spark.createDataFrame([], f"{RAW_SCHEMA}, store_rank int, attempt_no int")
-        raw = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
-        rows = normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())), ("store_rank", "attempt_no"))
-        return keep_first(identity(rows), ["identity"], _ORDER), errors
+        """All offers that stores give for a query, each once at its first place, and the
+        errors of stores that failed or weren't done in time."""
+        run = self.run(query).start()
+        run.wait()
+        return keep_first(run.rows(), ["identity"], _ORDER), run.errors()
 
     @staticmethod
     def _by_price(df: DataFrame) -> DataFrame:
@@ -41,9 +68,12 @@ class Engine:
         """Offers of all stores by price, not validated."""
         return self._by_price(self.offers(query)[0])
 
+    @staticmethod
+    def _answering(found: DataFrame, query: str) -> DataFrame:
+        return found.filter(reject_reason(query, F.col("name_n"), F.col("size_ml"), F.col("search_text")).isNull())
+
     def search_validated(self, query: str) -> DataFrame:
-        found, _ = self.offers(query)
-        return self._by_price(found.filter(reject_reason(query, F.col("name_n"), F.col("size_ml"), F.col("search_text")).isNull()))
+        return self._by_price(self._answering(self.offers(query)[0], query))
 
     def debug(self, query: str) -> DataFrame:
         """Unique offers with the reason for which each is rejected (null: it is a result)."""
@@ -56,28 +86,49 @@ class Engine:
     def start(self, query: str) -> str:
         """Starts a validated search and returns the id of its job."""
         job = job_id(query, uuid.uuid4().hex)
-        self.jobs[job] = self.pool.submit(lambda: self.search_validated(query).collect())
+        self._start(job, query)
         return job
 
+    def _start(self, job: str, query: str) -> None:
+        with self.lock:
+            if job in self.jobs:
+                return
+            ended = [j for j, (_, run) in self.jobs.items() if run.completed]
+            for old in ended[: max(0, len(ended) - JOBS + 1)]:
+                self.jobs.pop(old)[1].remove()
+            self.jobs[job] = (query, self.run(query, f"job-{uuid.uuid4().hex}").start())
+
     def status(self, job: str) -> dict:
-        """Whether a job is done, its rows or its error. A job that is not known is
-        started again from the query in its id."""
+        """A job as it is now: completed, results (a DataFrame: validated offers, by price, of the stores that
+        are done), stores (a row per store with its state and error), errors. A job that is not
+        known is started again from the query in its id."""
         if job not in self.jobs:
-            from base64 import urlsafe_b64decode
-
             code = job.rpartition(".")[2]
-            self.jobs[job] = self.pool.submit(lambda: self.search_validated(urlsafe_b64decode(code + "=" * (-len(code) % 4)).decode()).collect())
-        future = self.jobs[job]
-        if not future.done():
-            return {"completed": False, "results": [], "error": None}
-        error = future.exception()
-        return {"completed": True, "results": [] if error else future.result(), "error": str(error) if error else None}
+            self._start(job, urlsafe_b64decode(code + "=" * (-len(code) % 4)).decode())
+        query, run = self.jobs[job]
+        completed = run.completed  # first, so that a completed job has all its rows
+        found = keep_first(run.rows(), ["identity"], _ORDER)
+        return {"completed": completed, "results": self._by_price(self._answering(found, query)), "stores": run.states(), "errors": run.errors()}
+
+    def forget(self, job: str) -> None:
+        """Ends a job and removes what it wrote."""
+        with self.lock:
+            found = self.jobs.pop(job, None)
+        if found:
+            found[1].remove()
 
     def funnel(self, query: str) -> DataFrame:
-        """Per store how many offers there are, how many answer the query, and how many are rejected for which reason."""
-        rows = self.debug(query).groupBy("store", "reject_reason").agg(F.count("*").alias("n"))
+        """Per store how many offers there are, how many answer the query, how many are rejected for
+        which reason, and its error. Stores without an offer are in it too."""
+        run = self.run(query).start()
+        run.wait()
+        found = keep_first(run.rows(), ["identity"], _ORDER)
+        reason = reject_reason(query, F.col("name_n"), F.col("size_ml"), F.col("search_text"))
+        rows = found.withColumn("reject_reason", reason).groupBy("store_rank", "reject_reason").agg(F.count("*").alias("n"))
         reasons = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("reject_reason").isNotNull(), F.struct("reject_reason", "n")))))  # a few reasons
-        return rows.groupBy("store").agg(F.sum("n").alias("unique_offers"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("matched"), reasons.alias("rejected"))
+        counts = rows.groupBy("store_rank").agg(F.sum("n").alias("unique_offers"), F.coalesce(F.sum(F.when(F.col("reject_reason").isNull(), F.col("n"))), F.lit(0)).alias("matched"), reasons.alias("rejected"))
+        states = run.states().select("store", "store_rank", "state", "error")
+        return states.join(counts, "store_rank", "left").fillna(0, ["unique_offers", "matched"]).drop("store_rank")
 
     def product(self, name: str, brand: str = "", history: DataFrame | None = None) -> dict:
         """Priced offers of a product by price, the best and lowest of them, the first
@@ -100,6 +151,10 @@ class Engine:
             "history": points, "errors": errors, "message": "" if best else "no offer at the moment",
         }
 
+    def routing(self, query: str) -> dict:
+        """Which stores a query goes to, and what each is asked."""
+        return {"query": query, "attempts": connectors.attempts(query), "stores": connectors.chosen(self.stores)}
+
     def suggest(self, products: DataFrame, query: str, limit: int = 8) -> DataFrame:
         return suggest(products, query, limit)
 
@@ -132,21 +187,53 @@ def refresh_jobs(catalog: DataFrame) -> DataFrame:
     return catalog.select("product_id", query.alias("query"), F.filter(F.split(norm(query), " "), lambda w: F.length(w) >= 2).alias("words"))
 
 
-def refresh(engine: Engine, index: ProductIndex, catalog: DataFrame, offset: int = 0, limit: int | None = None) -> dict:
+def with_canonical(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Accepted offers (with product_id) with the identity of their product: catalog_id,
+    product_identity, canonical_brand, canonical_name and, unless they have one, canonical_concentration."""
+    names = catalog.select(F.col("product_id").alias("_id"), F.col("brand_name").alias("canonical_brand"), F.col("family_name").alias("canonical_name"), F.col("concentration").alias("_concentration"))
+    own = filled(F.col("canonical_concentration")) if "canonical_concentration" in rows.columns else F.lit(None).cast("string")
+    found = rows.join(names, F.col("product_id") == F.col("_id"))
+    made = {"catalog_id": F.col("_id"), "product_identity": F.col("_id"), "canonical_concentration": F.coalesce(own, filled(F.col("_concentration")))}
+    return found.withColumns(made).drop("_id", "_concentration")
+
+
+def refresh(engine: Engine, index: ProductIndex, catalog: DataFrame, offset: int = 0, limit: int | None = None, match: bool = False) -> dict:
     """Searches the stores for a slice of a catalog, keeps offers that have all words
-    of their product, and puts them into the index: one plan for all products, and one
-    write. Returns counts and errors."""
+    of their product, and puts them into the index. Each store answers for all products in a run of
+    its own; the rows are judged once and written, and all counts come from there.
+    match: offers that don't have the words of their product are matched to the whole catalog, by
+    identifiers and names, before they go.
+
+    Gives products, found, written, rejected, matched, errors (per store), per_store (a DataFrame of
+    refresh_counts()), and without_offers: a DataFrame of the products no accepted offer was found for."""
     spark = engine.spark
     index.upsert_products(catalog)
     jobs = refresh_jobs(catalog)
     if offset or limit:
         part = jobs.orderBy("product_id").offset(max(0, offset))
         jobs = part.limit(max(1, limit)) if limit else part
-    raw, errors = connectors.gather_many(spark, jobs, engine.stores)
-    whole = spark.createDataFrame([], f"{RAW_SCHEMA}, query string, store_rank int, attempt_no int")
-    raw = whole if raw is None else whole.unionByName(raw, allowMissingColumns=True)
-    rows = normalized(raw.withColumn("ingest_ord", F.coalesce("ingest_ord", F.monotonically_increasing_id())), ("query", "store_rank", "attempt_no"))
-    rows = refresh_rows(keep_first(identity(rows), ["query", "identity"], _ORDER), jobs)
-    found = rows.count()
-    written = index.upsert_offers(rows.filter("accepted").withColumn("catalog_id", F.col("product_id")).drop("product_id"))
-    return {"products": jobs.count(), "found": found, "written": written, "rejected": found - written, "errors": errors}
+    folder = until_exit(spark, f"{engine.folder or shared_folder(spark)}/refresh-{uuid.uuid4().hex}")
+    jobs = kept(jobs, f"{folder}/jobs")
+
+    def reader(store: str, rank: int):
+        return lambda: offer_rows(connectors.gather_many(spark, jobs, store, rank), spark, ", query string")
+
+    readers = {store: reader(store, k) for k, store in enumerate(connectors.chosen(engine.stores))}
+    run = StoreRun(spark, readers, offer_rows(None, spark, ", query string").schema, engine.seconds, f"{folder}/stores").start()
+    run.wait()
+    rows = kept(refresh_rows(keep_first(run.rows(), ["query", "identity"], _ORDER), jobs), f"{folder}/rows")
+    good = with_canonical(rows.filter("accepted"), catalog)
+    n_matched = 0
+    if match:
+        rest = rows.filter(~F.col("accepted")).drop("accepted", "words", "product_id").withColumn("key", F.sha1(F.to_json(F.struct("query", "identity", "url"))))
+        known = catalog_for_matching(catalog)
+        more = kept(attach_matches(offers_for_matching(rest, "key"), known, "key").select("key", F.col("catalog_id").alias("product_id")), f"{folder}/matched")
+        n_matched = more.count()
+        good = good.unionByName(with_canonical(rest.join(more, "key").drop("key"), catalog), allowMissingColumns=True)
+    written = index.upsert_offers(good.drop("product_id"))
+    counts = rows.agg(F.count("*").alias("found"), F.count_if("accepted").alias("accepted")).first()
+    missing = jobs.join(rows.filter("accepted").select("product_id").distinct(), "product_id", "left_anti").select("product_id", "query", F.lit("no offer found").alias("error"))
+    return {
+        "products": jobs.count(), "found": counts["found"], "written": written, "rejected": counts["found"] - counts["accepted"], "matched": n_matched, "errors": run.errors(),
+        "per_store": refresh_counts(rows), "without_offers": missing,
+    }

@@ -123,16 +123,27 @@ def identity(offers: DataFrame) -> DataFrame:
     return offers.withColumn("identity", identity_key(c("store"), c("name"), c("variant_id"), c("store_product_id"), c("gtin"), c("sku"), c("size_ml"), c("concentration")))
 
 
+_PRODUCT = (
+    "product_id:string,brand_id:string,brand_name:string,family_name:string,concentration:string,gender:string,aliases:array<string>,"
+    "formats_ml:array<string>,gtins:array<string>,ean:array<string>,mpns:array<string>,mpn:array<string>"
+)
+
+
 def load_catalog(spark, path: str, strict: bool = False) -> DataFrame:
     """Products of a catalog file {"products": [...]}: rows without id or family name
-    go, text is cleaned, blank is null, aliases are distinct. strict: no products is an error."""
+    go, text is cleaned, blank is null, aliases are distinct; formats_ml, gtins and mpns are arrays.
+    strict: no products is an error, and rows have catalog_id, brand and name as well."""
     from offerlane.functions.text import clean
 
-    schema = "products array<struct<product_id:string,brand_id:string,brand_name:string,family_name:string,concentration:string,gender:string,aliases:array<string>>>"
-    file = spark.read.schema(schema).json(path, multiLine=True)
+    file = spark.read.schema(f"products array<struct<{_PRODUCT}>>").json(path, multiLine=True)
     if strict and file.filter("products is not null").isEmpty():
         raise ValueError(f"{path} has no list of products")
     rows = file.selectExpr("inline(products)")
-    aliases = F.array_distinct(F.filter(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), clean), lambda x: x != ""))
+    texts = lambda *names: F.array_distinct(F.filter(F.transform(F.coalesce(*(F.col(n) for n in names), F.array().cast("array<string>")), clean), lambda x: x != ""))
     blank = {c: F.nullif(clean(F.col(c)), F.lit("")) for c in ("product_id", "brand_id", "brand_name", "family_name", "concentration", "gender")}
-    return rows.withColumns(blank).withColumn("aliases", aliases).filter("product_id is not null and family_name is not null")
+    sizes = F.filter(F.transform(texts("formats_ml"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+    lists = {"aliases": texts("aliases"), "formats_ml": sizes, "gtins": texts("gtins", "ean"), "mpns": texts("mpns", "mpn")}
+    found = rows.withColumns(blank).withColumns(lists).drop("ean", "mpn").filter("product_id is not null and family_name is not null")
+    if strict:
+        found = found.withColumns({"catalog_id": F.col("product_id"), "brand": F.col("brand_name"), "name": F.col("family_name")})
+    return found

@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# tasks can import the connectors of tests
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (str(Path(__file__).parent), os.environ.get("PYTHONPATH"))))
+
 
 @pytest.fixture(scope="session")
 def spark():
