@@ -141,3 +141,39 @@ def test_price_stream(spark, tmp_path):
         query.stop()
     got = sorted((r.key, r.ts.second, r.value, r.store) for r in spark.table("kept").collect())
     assert got == [("j", 1, 1.0, "A"), ("k", 1, 10.0, "A"), ("k", 3, 10.0, "B"), ("k", 4, 9.0, "B")]
+
+
+def test_name_pairs_miss_none_and_are_few(spark):
+    """All pairs that score MATCH by a loop over all pairs, from a small part of them; names of one to
+    nine words, with few and with many brands, contained, repeated and without a brand."""
+    from random import Random
+
+    r = Random(3)
+    words = [f"w{k}" for k in range(60)]
+
+    def some(n, brands):
+        names = [" ".join(r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(n)]
+        return [(x, r.choice(brands)) for x in names]
+
+    brands = ["a", "b", "c", "d", ""]
+    known = some(250, brands)
+    asked = some(100, brands) + [(f"new {x} big", r.choice([b, "a"])) for x, b in known[:60]] + [(" ".join(x.split()[1:] + ["z"]), b) for x, b in known[60:160] if " " in x] + known[160:200]
+    known, asked = sorted(set(known)), sorted(set(asked))
+
+    def score(n, b, x, y):
+        p, q = set(n.split()), set(x.split())
+        f = 2 * len(p & q) / (len(p) + len(q))
+        best = 1.0 if n == x else max(f, 0.92) if f" {x} " in f" {n} " else f
+        return 0.45 + 0.55 * best if b == y and b else 0.95 * best
+
+    want = {(n, b, x, y) for n, b in asked for x, y in known if score(n, b, x, y) >= 0.86}
+    df = lambda rows: spark.createDataFrame(rows, "name string, brand string")
+    got = {tuple(row) for row in matcher.name_pairs(*matcher.with_words(df(asked), df(known))).collect()}
+    assert want <= got and len(want) > 150
+    assert len(got) < 3 * len(want) and len(got) < len(asked) * len(known) / 20
+
+    # 3000 equal names under one word are parted into salted blocks, and the best product is the smallest id
+    many = spark.range(3000).select(F.col("id").alias("product_id"), F.concat(F.lit("red v"), F.col("id").cast("string")).alias("name"), F.lit("a").alias("brand"))
+    one = spark.createDataFrame([(1, "red v7", "a"), (2, "red", "a"), (3, "blue", None), (4, None, "a")], "k int, name string, brand string")
+    assert [tuple(x) for x in matcher.by_name(one, many, "k").orderBy("k").collect()] == [(1, 7, "exact_name", 1.0)]
+    assert matcher.by_name(one.limit(0), many, "k").count() == 0 and matcher.by_name(one, many.limit(0), "k").count() == 0
