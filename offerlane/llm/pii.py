@@ -43,19 +43,19 @@ OCTET = "0*+(?:|[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Generators: mail addresses as written for people, and runs of number groups.
 MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}+)++"
 RUN, GROUP = r"\(?[0-9](?:[ ./()-]{0,2}[0-9])*+", r"\(?[0-9]++"
-#: Groups of a proposed number at most; digits of a proposed phone and of a card, as their formats have them.
-GROUPS, PHONE_DIGITS, CARD_DIGITS = 6, (7, 15), (14, 19)
+#: Digits of a proposed phone and of a card, as their formats have them; they also bound the groups of a number.
+PHONE_DIGITS, CARD_DIGITS = (7, 15), (14, 19)
 #: Labelled texts that are made for training; one in so many sets thresholds; precision wanted there; trees and depth.
-FINDINGS, FOLD, PRECISION, TREES, DEPTH = 8000, 4, 0.98, 16, 5
+FINDINGS, FOLD, PRECISION, TREES, DEPTH = 12000, 4, 0.98, 20, 6
 CUES = {
-    "phone": r"(?i)(?:tel|phone|fax|call|mobile|cell|téléphone|telefon|teléfono|whatsapp)[^A-Za-z0-9]*$",
+    "phone": r"(?i)(?:tel|phone|fax|call|mobile|cell|téléphone|telefon|teléfono|whatsapp|(?:my|our|your|his|her) (?:number|no))(?: (?:me|us|at|on|is|the|under|to|now|number|no)\b)*[^A-Za-z0-9]*$",
     "card": r"(?i)(?:card|visa|mastercard|amex|carte|karte|tarjeta|cc)[^A-Za-z0-9]*$",
     "email": r"(?i)(?:mail|contact|e-mail|courriel|correo|write)[^A-Za-z0-9]*$",
     "number": r"(?i)(?:order|invoice|isbn|version|no|nr|id|ref|date|price|total|page|year|issn|doi)[^A-Za-z0-9]*$",
 }
 LEFT, RIGHT = 24, 8
-#: Score of a base span among proposals, and base spans that a text's proposals are compared with one by one.
-BASE_SCORE, FEW = 2.0, 64
+#: Score of a base span among proposals: above any other.
+BASE_SCORE = 2.0
 
 
 def base_spans(text: Column) -> Column:
@@ -106,13 +106,16 @@ def _windows(run: Column) -> Column:
             F.lit(k).alias("k"),
         )
 
-    def of_kind(g: Column, k: int, digits: tuple[int, int]) -> Column:
-        ends = lambda i: F.sequence(i, F.least(i + GROUPS, F.size(g)) - 1)
-        all_of = F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.transform(ends(i), lambda j: window(g, i, j, k))))
-        return F.filter(all_of, lambda x: F.length(digits_of(x["match"])).between(*digits))
+    def of_kind(g: Column, n: Column, k: int, digits: tuple[int, int]) -> Column:
+        # a group has a digit at least, so a window has no more groups than digits
+        last = lambda i: F.sequence(i, F.least(i + digits[1], F.size(g)) - 1)
+        count = lambda i, j: F.aggregate(F.slice(n, i + 1, j - i + 1), F.lit(0), lambda a, b: a + b)
+        ends = lambda i: F.filter(last(i), lambda j: count(i, j).between(*digits))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.transform(ends(i), lambda j: window(g, i, j, k))))
 
     kinds = ((KINDS.index("phone"), PHONE_DIGITS), (KINDS.index("card"), CARD_DIGITS))
-    return let(matches(run["match"], GROUP, LEFT, 2, through=True), lambda g: F.concat(*(of_kind(g, *x) for x in kinds)))
+    lengths = lambda g: F.transform(g, lambda x: F.length(digits_of(x["match"])))
+    return let(matches(run["match"], GROUP, LEFT, 2, through=True), lambda g: let(lengths(g), lambda n: F.concat(*(of_kind(g, n, *x) for x in kinds))))
 
 
 def features(match: Column, left: Column, right: Column, k: Column) -> dict[str, Column]:
@@ -178,15 +181,18 @@ def labelled_texts(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     a3, b3, c4, d2, e2 = digits(1, 3), digits(2, 3), digits(3, 4), digits(4, 2), digits(5, 2)
     j = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
     phone, card, mail = KINDS.index("phone"), KINDS.index("card"), KINDS.index("email")
+    d7, e7, f7 = digits(7, 2), digits(8, 2), digits(9, 2)
     # (kind, whether it is personal, value); the words before are dealt at random, so that format and context are learned apart
     forms = [
         (phone, 1, j("(", a3, ") ", b3, "-", c4)), (phone, 1, j(a3, "-", b3, "-", c4)), (phone, 1, j(a3, ".", b3, ".", c4)), (phone, 1, j(a3, " ", b3, " ", c4)),
         (phone, 1, j("0", d2, " ", b3, " ", e2, " ", digits(6, 2))), (phone, 1, j("0", digits(6, 1), " ", d2, " ", e2, " ", digits(7, 2), " ", digits(8, 2))),
         (phone, 1, j("0", d2, "/", digits(6, 7))), (phone, 1, j("0", a3, "-", digits(6, 7))), (phone, 1, j("1-8", d2, "-", b3, "-", c4)), (phone, 1, j("(", a3, ")", b3, "-", c4)),
         (phone, 1, j("0", digits(6, 1), ".", d2, ".", e2, ".", digits(7, 2), ".", digits(8, 2))), (phone, 1, j("(0", d2, ") ", b3, " ", c4)), (phone, 1, j("00", d2, " ", a3, " ", b3, " ", c4)),
-        (phone, 0, digits(1, 10)), (phone, 0, j("19", d2, "-", "20", e2)), (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))),
-        (phone, 0, j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, j(digits(1, 1), ".", d2, ".", digits(3, 5))), (phone, 0, digits(1, 8)), (phone, 0, digits(1, 11)), (phone, 0, digits(1, 16)),
-        (phone, 0, j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, j(a3, ".", b3, ".", digits(3, 3))), (phone, 0, j(d2, "/", e2, "/20", digits(6, 2))), (phone, 0, j(c4, "-", digits(5, 4))), (phone, 0, digits(1, 9)),
+        (phone, 1, j("00 ", d2, " ", digits(6, 1), " ", e2, " ", d7, " ", e7, " ", f7)), (phone, 1, j("00", d2, " ", digits(6, 1), " ", e2, " ", d7, " ", e7, " ", f7)), (phone, 1, j("00", d2, "-", digits(6, 2), "-", digits(7, 7))),
+        (phone, 1, j(d2, ".", e2, ".", d7, ".", e7, ".", f7)), (phone, 1, j("0", digits(6, 3), " ", digits(7, 6))), (phone, 1, j(a3, "-", c4)), (phone, 1, j("(", d2, ") ", c4, "-", digits(5, 4))), (phone, 1, j("0", d2, "-", digits(6, 4), "-", digits(7, 4))),
+        (phone, 0, j("19", d2, "-", "20", e2)), (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1))),
+        (phone, 0, j("978-", digits(1, 1), "-", digits(2, 4), "-", digits(3, 4), "-", digits(4, 1))), (phone, 0, j(digits(1, 1), ".", d2, ".", digits(3, 5))), (phone, 0, digits(1, 16)),
+        (phone, 0, j(a3, ".", b3, ".", d2, ".", e2)), (phone, 0, j(a3, ".", b3, ".", digits(3, 3))), (phone, 0, j(d2, "/", e2, "/20", digits(6, 2))), (phone, 0, j(c4, "-", digits(5, 4))),
         (phone, 0, j("20", d2, "-0", digits(4, 1), "-1", digits(5, 1), " 1", digits(6, 1), ".", e2)), (phone, 0, j(d2, " ", e2, " ", digits(6, 2), " ", digits(7, 2))), (phone, 0, j(a3, " ", b3, " ", digits(6, 3), " ", digits(7, 3))),
         (card, 1, grouped(card_digits(16), ".")), (card, 1, grouped(card_digits(16), "/")), (card, 1, grouped(card_digits(16), "  ")), (card, 1, grouped(card_digits(15), ".")),
         (card, 0, digits(1, 15)), (card, 0, grouped(card_digits(16, 3), "-")), (card, 0, digits(1, 12)), (card, 0, grouped(card_digits(16, 3), " ")), (card, 0, digits(1, 18)), (card, 0, grouped(card_digits(16, 3), ".")), (card, 0, grouped(card_digits(16, 3), "/")),
@@ -194,14 +200,17 @@ def labelled_texts(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (mail, 0, j(word(1), " @ ", word(2), ". ", word(3))), (mail, 0, j(word(1), "@ ", word(2), ".", word(3))), (mail, 0, j(word(1), " @", word(2), " .", word(3))),
     ]
     plain = ["the ", "of ", "and ", "is ", "at ", "in ", "to "]
-    cues = {phone: ["call ", "call me at ", "phone: ", "tel. ", "mobile ", "telefon: "], card: ["card: ", "visa ", "cc ", "carte: "], mail: ["mail ", "contact ", "write "]}
+    cues = {phone: ["call ", "call me at ", "phone: ", "tel. ", "mobile ", "telefon: ", "my number is ", "fax ", "phone number: "], card: ["card: ", "visa ", "cc ", "carte: "], mail: ["mail ", "contact ", "write "]}
     numbers = ["order no ", "isbn ", "version ", "id ", "ref ", "date: ", "total ", "pages "]
+    # the same digits are a phone after a cue, and a number after another word
+    bare = [digits(1, 10), digits(1, 11), digits(1, 9), digits(1, 8), j(a3, " ", b3, " ", digits(6, 3)), j("0", digits(1, 9)), j("00", digits(1, 11)), j(d2, " ", e2, " ", d7, " ", e7, " ", f7)]
+    forms += [(phone, label, x, own) for x in bare for label, own in ((1, cues[phone]), (0, plain + numbers))]
     lefts = {(k, label): plain + (cues[k] if label else numbers + [c for other in cues if other != k for c in cues[other]]) for k in cues for label in (0, 1)}
 
     def dealt(some: list, key: str) -> Column:
         return F.get(F.array(*(F.lit(x) for x in some)), F.pmod(F.xxhash64("id", F.lit(key)), F.lit(len(some))).cast("int"))
 
-    form = F.array(*(F.struct(F.lit(i).alias("form"), F.lit(k).alias("k"), F.lit(label).alias("label"), dealt(lefts[k, label], f"before{i}").alias("left"), match.alias("match")) for i, (k, label, match) in enumerate(forms)))
+    form = F.array(*(F.struct(F.lit(i).alias("form"), F.lit(k).alias("k"), F.lit(label).alias("label"), dealt(own[0] if own else lefts[k, label], f"before{i}").alias("left"), match.alias("match")) for i, (k, label, match, *own) in enumerate(forms)))
     stray = F.concat(dealt(["2024", "12", "3", "1999", "100", "7"], "stray"), F.lit(" "))
     made = spark.range(n).withColumn("f", F.get(form, F.pmod(F.col("id"), F.lit(len(forms))).cast("int")))
     made = made.withColumn("left", F.concat("f.left", F.when(F.pmod(F.xxhash64("id", F.lit("stray?")), F.lit(4)) == 0, stray).otherwise("")))
@@ -245,9 +254,7 @@ def personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lab
     t = F.col("text")
     found = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = found.select("doc_id", F.xxhash64("text").alias("tie"), base_spans(t).alias("base"), proposals(t).alias("proposed"))
-    # spares scores of what goes anyway; where base spans are many, clusters alone settle it
-    free = F.filter("proposed", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = written(found.withColumn("proposed", F.when(F.size("base") <= FEW, free).otherwise(F.col("proposed"))), "spans")
+    found = written(found, "spans")
 
     rows = found.filter(F.size("proposed") > 0).select("doc_id", "tie", F.explode("proposed").alias("x")).select("doc_id", "tie", "x.*")
     rows = rows.select("doc_id", "tie", "start", "end", "k", *(c.alias(n) for n, c in features(F.col("match"), F.col("left"), F.col("right"), F.col("k")).items()))
@@ -255,7 +262,7 @@ def personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id", lab
     scored = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     least = F.coalesce(*(F.when(F.col("k") == k, F.lit(float(v))) for k, v in thresholds.items()), F.lit(1.1))
     scored = scored.select("doc_id", "tie", "start", "k", "end", vector_to_array("probability")[1].alias("p")).filter(F.col("p") >= least)
-    fixed = found.filter((F.size("proposed") > 0) & (F.size("base") > FEW)).select("doc_id", "tie", F.explode("base").alias("x")).select("doc_id", "tie", "x.*", F.lit(BASE_SCORE).alias("p"))
+    fixed = found.filter(F.size("proposed") > 0).select("doc_id", "tie", F.explode("base").alias("x")).select("doc_id", "tie", "x.*", F.lit(BASE_SCORE).alias("p"))
     added = _best(scored.unionByName(fixed)).groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("taken")).alias("added"))
 
     none = F.array().cast("array<struct<start:int,k:int,end:int>>")
@@ -274,7 +281,8 @@ def _best(spans: DataFrame) -> DataFrame:
     rows = rows.withColumn("cluster", F.sum("opens").over(upto))
     best = F.sort_array(F.collect_set(F.struct((-F.col("p")).alias("p"), "start", "k", "end")))
     none = F.array().cast("array<struct<p:double,start:int,k:int,end:int>>")
-    take = lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.array_append(acc, x))
+    free = lambda acc, x: ~F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    take = lambda acc, x: F.when((x["p"] == -BASE_SCORE) | free(acc, x), F.array_append(acc, x)).otherwise(acc)
     taken = F.filter(F.aggregate("best", none, take), lambda x: x["p"] > -BASE_SCORE)
     taken = F.transform(taken, lambda x: F.struct(x["start"].alias("start"), x["k"].alias("k"), x["end"].alias("end")))
     return rows.groupBy("doc_id", "tie", "cluster").agg(best.alias("best")).select("doc_id", "tie", taken.alias("taken"))

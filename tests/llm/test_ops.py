@@ -519,6 +519,23 @@ def test_pii_overlapping_windows(spark):
     assert got[4].spans == ",".join(base[4])
 
 
+def test_pii_spans_do_not_depend_on_how_many_there_are(spark):
+    """Proposals beside few and many base spans; numbers of seven groups; bare digits after a cue and after another word."""
+    from offerlane.llm.pii import digest, personal_data
+
+    tail = "call 1.2.3.3 09001 303 555 0142 ok, tel 00 33 1 23 45 67 89 ok"
+    texts = ["1.2.3.4 " * n + tail for n in (0, 1, 63, 64, 65, 200)]
+    texts += ["tel 00 33 1 23 45 67 89 ok", "phone: 5551234567", "my number is 9876543210", "tel 0033 1 23 45 67 89", "order no 5551234567", "ref 9876543210", "the 1234567890 of"]
+    rows = sorted(digest(personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect())
+    relative = []
+    for r, n in zip(rows, (0, 1, 63, 64, 65, 200)):
+        spans = [x.split(":") for x in r.spans.split(",")]
+        relative.append([(k, int(a) - 8 * n, int(b) - 8 * n) for k, a, b in spans if int(a) >= 8 * n])
+        assert r.n_ip >= n and ("phone", 40, 59) in relative[-1]
+    assert all(x == relative[0] for x in relative)
+    assert [r.spans for r in rows[6:]] == ["phone:4:23", "phone:7:17", "phone:13:23", "phone:4:22", "", "", ""]
+
+
 def test_secrets(docs, empty, spark):
     from offerlane.llm.secrets import fit, labelled_findings, secrets
 
@@ -543,9 +560,10 @@ def test_secrets(docs, empty, spark):
 
 def test_assigned_secrets(empty, spark):
     """Values behind = or : are candidates, whole and without their keys."""
-    from offerlane.llm.secrets import CANDIDATE, NEED, secrets
+    from offerlane.llm.secrets import NEED, candidates, secrets
 
     rows = [
+        (f"postgres://{'u' * 43}:hunter2hunter2@db:5432/x", ["hunter2hunter2"]), (f"https://a.example/?a=1&{'k' * 90}=s3cr3tpw99&b=2", ["s3cr3tpw99"]),
         ("pwd=s3cr3tpw", ["s3cr3tpw"]), ("password=hunter2!xY ", ["hunter2!xY"]), ("DB_PASSWORD=hunter2hunter", ["hunter2hunter"]), ('password: "$uper!S1"', ["$uper!S1"]),
         ("api_key=04dbebab91ab85687d33eeaaf9ac699e", ["04dbebab91ab85687d33eeaaf9ac699e"]), ("password=hunter2hunter2hunter!xY", ["hunter2hunter2hunter!xY"]),
         ("https://a.example/x?page=1&token=s3cr3tpw99&b=2", ["s3cr3tpw99"]), ("postgres://bob:hunter2hunter2hunter@db:5432/x", ["hunter2hunter2hunter"]), ("a == b, x := y, =========", []),
@@ -557,7 +575,31 @@ def test_assigned_secrets(empty, spark):
         got[r.doc_id].append(r.secret)
         assert rows[r.doc_id][0][r.start : r.end] == r.secret
     assert [got[i] for i in range(len(rows))] == [w for _, w in rows]
-    assert df.filter(F.col("text").rlike(CANDIDATE) & ~F.col("text").rlike(NEED)).count() == 0
+    assert df.filter((F.size(candidates(F.col("text"))) > 0) & ~F.col("text").rlike(NEED)).count() == 0
+
+
+def test_secret_candidates_by_brute_force(spark):
+    """Long tokens with a digit, found again character by character, in random texts without assignments."""
+    from offerlane.llm.secrets import candidates
+
+    rng = np.random.default_rng(8)
+    letters = list("abcdefXYZ019_-/+abcdefgh .,(")
+    texts = ["".join(rng.choice(letters, 400)) for _ in range(60)]
+    texts += ["x" * 15 + "1", "x" * 14 + "1", "1" + "y" * 4000, "token" * 5 + "1" + "=="]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.transform(candidates(F.col("text")), lambda x: F.struct(x["start"], x["end"], x["match"])).alias("c")).collect()
+    for r in got:
+        text, want, at = texts[r.i], [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and re.match("[A-Za-z0-9+/_-]", text[end]):
+                end += 1
+            if end - at >= 16 and any(c in "0123456789" for c in text[at:end]):
+                stop = end
+                while stop < len(text) and text[stop] == "=" and stop < end + 2:
+                    stop += 1
+                want.append((at, stop, text[at:stop]))
+            at = max(end, at + 1)
+        assert [tuple(x) for x in r.c] == want, text
 
 
 def test_secret_features(spark):
@@ -581,7 +623,12 @@ def test_secret_features(spark):
         assert r.entropy == pytest.approx(-sum(k / n * np.log2(k / n) for k in Counter(r.c).values()))
         assert (r.cue, r.assigned, r.length) == (1.0, 1.0, n)
     corpus = spark.createDataFrame([("gardener rivers rivers River x1y2z " + ("meadow" if k < 19 else ""),) for k in range(25)] + [(None,)], "text string")
-    assert dictionary(corpus) == ["gardener", "rivers"]
+    assert dictionary(corpus, share=0.75) == ["gardener", "rivers"] and dictionary(corpus) == ["gardener", "rivers", "meadow"]
+    from offerlane.llm.secrets import one_of
+
+    some = ["art", "arts", "artist", "b", "bin", "a.c"]
+    for text in ("artistic arts art", "xbinb", "a.c abc", "ar"):
+        assert re.findall(one_of(some), text) == re.findall("|".join(map(re.escape, sorted(some, key=lambda w: (-len(w), w)))), text)
 
 
 def test_toxicity(spark):
