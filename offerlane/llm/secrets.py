@@ -15,6 +15,7 @@ features; an empty table gives an empty table; other columns don't matter.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -27,15 +28,18 @@ from offerlane.llm.common import words_of
 from offerlane.llm.spans import entropy, matches, per_char
 
 TOKEN, VALUE = "[A-Za-z0-9+/_-]", "[A-Za-z0-9+/_!@#$%^&*=-]"
-#: In order: key headers, passwords in URLs, values of query parameters, all other assigned values (not from the second
-#: sign of "==" or ":="), long tokens with their padding. Values come before tokens, which would cut them at a sign.
+#: In order: key headers, passwords in URLs with what is before them, query parameters with their values, all other assigned
+#: values (not from the second sign of "==" or ":="), long tokens with their padding. Values come before tokens, which
+#: would cut them at a sign; a parameter whose value is short is matched too, so that it isn't taken for another value.
 CANDIDATE = "|".join([
     "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-    r"(?<=:)(?<=//[A-Za-z0-9._%-]{0,32}:)[A-Za-z0-9+_!#$%^&*=-]{8,}+(?=@)",
-    r"(?<==)(?<=[?&][A-Za-z0-9_.-]{1,64}=)[A-Za-z0-9+/_!@#$%^*=-]{8,}+",
-    rf"(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?!(?<=[=:])=)(?<![?&][A-Za-z0-9_.-]{{1,64}}=){VALUE}{{8,}}+",
+    r"//[A-Za-z0-9._%-]*+:[A-Za-z0-9+_!#$%^&*=-]{8,}+(?=@)",
+    r"[?&][A-Za-z0-9_.-]++=[A-Za-z0-9+/_!@#$%^*=-]*+",
+    rf"(?<=[=:]|[=:] |[=:][\"'`]|[=:] [\"'`])(?!(?<=[=:])=){VALUE}{{8,}}+",
     rf"(?<!{TOKEN})(?=[A-Za-z+/_-]*+[0-9]){TOKEN}{{16,}}+(?:={{1,2}}+(?!{VALUE}))?+",
 ])
+#: What is before the value in a match of the second and third kind; characters of a candidate at least.
+KEY, SHORTEST = r"^(?://[A-Za-z0-9._%-]*+:|[?&][A-Za-z0-9_.-]++=)", 8
 #: What a text must contain to have a candidate: less than each branch of CANDIDATE asks for.
 NEED = rf"-----BEGIN|{TOKEN}{{16}}|[=:] ?[\"'`]?{VALUE}{{8}}"
 #: Common words and word parts; the corpus's own frequent words come in addition.
@@ -43,22 +47,54 @@ DICTIONARY = (
     "the and for that with this from have not are was you your all can has but test example sample user name data file "
     "value string config default admin root public private secret token password key hash code page list item http www "
     "com org net html json ing tion ment able ness ight ough the pour dans avec les des une der die das und nicht ein "
-    "los las del que con para ción heit keit ung lich sch er en an in on re he st nd th ti es or te"
+    "los las del que con para ción heit keit ung lich sch"
 ).split()
 CUES = r"(?i)(?:secret|token|passw(?:or)?d|passwd|pwd|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|auth|bearer|key)[A-Za-z0-9_]{0,16}[\"'`]?\s{0,2}(?:=>|[:=])?\s{0,2}[\"'`]?$"
 DOUBTS = r"(?i)(?:example|sample|dummy|placeholder|commit|sha-?1|sha-?256|md5|checksum|digest|uuid|guid|build|revision|version|href|src|url|class|id)[^A-Za-z0-9]{0,4}$"
 #: Labelled findings that are made for training; trees, depth; score from which a candidate is a secret.
 FINDINGS, TREES, DEPTH, THRESHOLD = 6000, 24, 7, 0.5
 LEFT, RIGHT = 40, 12
-#: Words of the corpus in the dictionary, their lengths, and documents that must have them. Share of letter pairs that are common ones.
-WORDS, LENGTHS, DOCS, COMMON = 2000, (5, 12), 20, 0.8
+#: Words of the corpus in the dictionary, their lengths, and the share of documents that must have them. Share of letter pairs that are common ones.
+WORDS, LENGTHS, SHARE, COMMON = 2000, (5, 12), 0.0004, 0.8
 
 
-def dictionary(df: DataFrame, text: str = "text") -> list[str]:
-    """The WORDS most frequent plain words of all documents, by the documents that have them."""
+def one_of(words: list[str]) -> str:
+    """A pattern that matches the longest of some words, letter by letter as in a prefix tree."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        branches = "|".join(re.escape(c) + pattern(rest) for c, rest in sorted(at.items()) if c)
+        if not branches:
+            return ""
+        return f"(?:{branches})" + ("?" if "" in at else "")
+
+    return pattern(tree)
+
+
+def candidates(text: Column) -> Column:
+    """The candidates of a text as array<MATCH>, without what is before their values."""
+
+    def cut(x: Column) -> Column:
+        key = F.regexp_extract(x["match"], KEY, 0)
+        n = F.char_length(key)
+        own = F.substring(x["match"], n + 1, F.char_length(x["match"]))
+        return x.withField("start", x["start"] + n).withField("left", F.right(F.concat(x["left"], key), F.lit(LEFT))).withField("match", own)
+
+    found = F.transform(matches(text, CANDIDATE, LEFT, RIGHT, through=True), cut)
+    return F.filter(found, lambda x: F.char_length(x["match"]) >= SHORTEST)
+
+
+def dictionary(df: DataFrame, text: str = "text", share: float = SHARE) -> list[str]:
+    """The WORDS most frequent plain words of all documents, by the documents that have them; share: of documents, at least."""
     plain = F.filter(words_of(F.col(f"`{text}`")), lambda w: w.rlike(f"^[a-z]{{{LENGTHS[0]},{LENGTHS[1]}}}$"))
-    counts = df.select(F.explode(F.array_distinct(plain)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return [r["word"] for r in counts.filter(F.col("n") >= DOCS).orderBy(F.col("n").desc(), "word").limit(WORDS).collect()]
+    counts = df.select(F.explode(F.concat(F.array_distinct(plain), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))  # "" counts documents
+    first = counts.orderBy(F.col("n").desc(), "word").limit(WORDS + 1).collect()  # "" is the first of them
+    return [r["word"] for r in first[1:] if r["n"] >= share * first[0]["n"]]
 
 
 def common_pairs(words: list[str]) -> list[str]:
@@ -77,7 +113,7 @@ def features(match: Column, left: Column, right: Column, path: Column, words: li
     """A candidate as numbers. words: the corpus's own for the dictionary."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     pairs = "|".join(common_pairs([*DICTIONARY, *words]))
-    words = "|".join(sorted({*DICTIONARY, *words}, key=lambda w: (-len(w), w)))
+    words = one_of(sorted({*DICTIONARY, *words}))
     n = F.greatest(F.char_length(match), F.lit(1))
     return {
         "length": F.least(n, F.lit(512)).cast("double"),
@@ -91,7 +127,7 @@ def features(match: Column, left: Column, right: Column, path: Column, words: li
         "upper_to_lower": per_char(match, "(?<=[A-Z])[a-z]"),
         "consonant_run": per_char(match, "(?i)[bcdfghjklmnpqrstvwxz]{4}"),
         "repeat": per_char(match, r"(.)\1"),
-        "entropy": entropy(F.left(match, F.lit(128))),
+        "entropy": entropy(match),
         "dictionary": 1 - F.char_length(F.regexp_replace(match, f"(?i){words}", "")) / n,
         "common_pairs": per_char(match, f"(?i)(?=(?:{pairs}))"),
         "hex": flag(match.rlike("^[0-9a-fA-F]+$")),
@@ -172,7 +208,7 @@ def secrets(df: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str
     t = F.col("text")
     where = F.col(f"`{path}`").cast("string") if path else F.lit(None).cast("string")
     found = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), where.alias("path"))
-    found = found.select("doc_id", "path", F.explode(F.when(t.rlike(NEED), matches(t, CANDIDATE, LEFT, RIGHT, through=True))).alias("x"))
+    found = found.select("doc_id", "path", F.explode(F.when(t.rlike(NEED), candidates(t))).alias("x"))
     rows = found.select("doc_id", "path", "x.*")
     feats = features(F.col("match"), F.col("left"), F.col("right"), F.col("path"), words)
     rows = rows.select("doc_id", "start", "end", "match", *(c.alias(f"f_{n}") for n, c in feats.items()))
