@@ -40,7 +40,7 @@ from offerlane.llm.common import written
 #: Words in a phrase, least count, percentage of a phrase's count from which a longer phrase stands for it, phrases per language.
 MAX_WORDS, MIN_COUNT, COVERED_PERCENT, TOP = 3, 10, 50, 2000
 #: Bytes of words in a part; bytes of input for each bucket of names, and the least buckets.
-PART_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 4 << 20, 32
+PART_BYTES, BUCKET_BYTES, BUCKETS = 8 << 20, 4 << 20, 32
 #: Parts of a language that rank their phrases before all of it is ranked.
 SALTS = 64
 
@@ -121,6 +121,7 @@ def _word_parts(batches, part_bytes: int, buckets: int):
             if size >= part_bytes:
                 yield from flush()
                 held, size = {}, 0
+                pa.default_memory_pool().release_unused()  # workers are used again and would keep it
     yield from flush()
 
 
@@ -194,6 +195,7 @@ def _pairs_of(last: bool, buckets: int):
         codes = np.full(max(len(seq) - 1, 0), -1, np.int64)
         codes[ok] = code
         left, right = (ids[known][k] if len(key) else key for k in np.divmod(key, max(len(known), 1)))
+        pa.default_memory_pool().release_unused()
         bucket = (shingle_hashes(np.stack([left, right], 1).ravel().view(np.uint64), 2)[::2] % np.uint64(buckets)).astype(np.int64)
         return _level(part, lang, None if last else codes, n_words, bucket, [left, right], lambda names: packed(planes(np.diff(left[names], prepend=0)), planes(right[names]), planes(counts[names])))
 

@@ -176,6 +176,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (0, plain + doubted, F.regexp_replace(hexes(1, 16), "[a-f]", "4")), (0, plain + doubted, F.regexp_replace(hexes(1, 20), "[a-f]", "7")), (0, cued, F.lit("your-token-here-1234")), (0, cued, F.lit("changeme12345678")),
         (0, cued + plain + doubted, j(word(1), "-", word(2))), (0, cued, F.lit("xxxxxxxxxxxxxxxx0000")), (0, plain + doubted, j(word(1), "-1-0-2")), (0, plain, j("2024-01-0", hexes(1, 1), "-", word(1))),
         (0, plain + doubted, j(word(1), "10")), (0, plain, j("----------------1", F.lit("---"))), (0, plain + doubted, j(F.initcap(word(1)), F.initcap(word(2)), "2")), (0, cued + doubted, j(word(1), "(", word(2), ")")),
+        (0, doubted, j(b64(1, 27))), (0, doubted, b64(1, 43)), (0, doubted, j(b64(1, 16), "-", b64(2, 8))), (0, doubted, F.upper(b64(1, 24))), (1, cued, b64(1, 24)), (1, cued, j(b64(1, 8), "_", b64(2, 16))),
     ]
 
     def before(some: list[str], i: int) -> Column:
