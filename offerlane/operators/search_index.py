@@ -21,17 +21,25 @@ def index_terms(docs: DataFrame, key: str, *fields: str) -> DataFrame:
 def search(terms: DataFrame, docs: DataFrame, key: str, query: str, limit: int | None = None) -> DataFrame:
     """Documents with a word beginning with each word of the query: doc and score,
     best (most negative) first. An empty query finds nothing."""
-    words = list(dict.fromkeys(norm_text(query).split()))
-    if not words:
+    if not norm_text(query):
         return terms.select("doc", F.lit(0.0).alias("score")).limit(0)
     corpus = docs.select(F.col(key).alias("doc")).distinct().agg(F.count("*").alias("n_all"))
     total = terms.agg(F.sum("tf").alias("len_all")).crossJoin(F.broadcast(corpus))  # one row each
+    best = ranked(terms, query, total)
+    return best.limit(limit) if limit else best
+
+
+def ranked(terms: DataFrame, query: str, totals: DataFrame) -> DataFrame:
+    """search(), given one row n_all, len_all: the number of documents and of all their words. terms can be
+    just those that begin with words of the query."""
+    words = list(dict.fromkeys(norm_text(query).split()))
+    if not words:
+        return terms.select("doc", F.lit(0.0).alias("score")).limit(0)
     hit = F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.startswith(F.col("term"), w))
     hits = terms.select("doc", "doc_len", "tf", F.explode(hit).alias("word")).groupBy("doc", "doc_len", "word").agg(F.sum("tf").alias("tf"))
     found = hits.groupBy("word").agg(F.count("*").alias("n"))  # at most one row per word of the query
-    scored = hits.join(F.broadcast(found), "word").crossJoin(F.broadcast(total))
+    scored = hits.join(F.broadcast(found), "word").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.log((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") * F.col("n_all") / F.col("len_all")))
-    ranked = scored.groupBy("doc").agg(F.sum(-part).alias("score"), F.count("*").alias("n_words")).filter(F.col("n_words") == len(words))
-    ranked = ranked.select("doc", "score").orderBy("score", "doc")
-    return ranked.limit(limit) if limit else ranked
+    best = scored.groupBy("doc").agg(F.sum(-part).alias("score"), F.count("*").alias("n_words")).filter(F.col("n_words") == len(words))
+    return best.select("doc", "score").orderBy("score", "doc")

@@ -1,7 +1,8 @@
 """The product index: products, offers and search terms as parquet tables.
 
-Each write makes a new version of a table in a folder of its own and then points to it;
-readers keep the version they have."""
+Products and offers are changed bucket by bucket (versions.py). Search terms lie in folders by
+their first letters, sorted, with the totals that the ranking needs beside them, so a search reads the
+files of its prefixes only."""
 
 from __future__ import annotations
 
@@ -10,9 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import filled, norm
+from offerlane.functions.text import filled, norm, norm_text
 from offerlane.operators import catalog, search_index
 from offerlane.operators.dedup import keep_first
+from offerlane.operators.versions import BUCKETS, VersionedTable
+from offerlane.sources.storage import kept, remove
 
 PRODUCTS = "product_id string, brand_id string, brand_name string, family_name string, concentration string, gender string, aliases array<string>, searchable_text string, updated_at timestamp"
 OFFERS = (
@@ -22,56 +25,39 @@ OFFERS = (
 TERMS = "doc string, doc_len int, term string, tf bigint"
 
 
+#: Letters of a term that name its folder.
+INITIAL = 2
+
+
 class ProductIndex:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """buckets: of a table that is made new; as many as keep a bucket's rows to what one task rewrites."""
 
-    def _versions(self, table: str) -> list[str]:
-        """Places of all versions of a table, the newest last. Pointers are only ever
-        added, so a reader sees the newest or the one before it."""
-        try:
-            found = self.spark.read.text(f"{self.path}/{table}.versions").collect()  # a row per write
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return []
-            raise
-        return [r[0].split(" ", 1)[1] for r in sorted(found)]
-
-    def _read(self, table: str, schema: str) -> DataFrame:
-        """The newest version in the current schema: columns that it hasn't yet are null."""
-        at = self._versions(table)
-        return self.spark.read.schema(schema).parquet(at[-1]) if at else self.spark.createDataFrame([], schema)
-
-    def _write(self, table: str, df: DataFrame) -> None:
-        at = f"{self.path}/{table}-{uuid.uuid4().hex}"
-        df.write.parquet(at)
-        n = len(self._versions(table))
-        self.spark.createDataFrame([(f"{n:012d} {at}",)], "at string").coalesce(1).write.mode("append").text(f"{self.path}/{table}.versions")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.tables = {
+            "products": VersionedTable(spark, f"{self.path}/products", PRODUCTS, "product_id", buckets),
+            "offers": VersionedTable(spark, f"{self.path}/offers", OFFERS, "offer_id", buckets),
+            "terms": VersionedTable(spark, f"{self.path}/terms", TERMS, "term"),
+        }
 
     def vacuum(self, keep: int = 2) -> int:
-        """Removes the data of all but the newest versions; returns how many went."""
-        gone = 0
-        for table in ("products", "offers", "terms"):
-            for at in self._versions(table)[: -max(1, keep)]:
-                folder = self.spark._jvm.org.apache.hadoop.fs.Path(at)
-                gone += bool(folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True))
-        return gone
+        """Removes the data that only older versions have; returns how many folders went."""
+        return sum(t.vacuum(keep) for t in self.tables.values())
 
     def ensure(self) -> None:
         """Renews the search terms if they are missing though there are products, or not of the current columns."""
-        at = self._versions("terms")
-        columns = set(self.spark.read.parquet(at[-1]).columns) if at else set()
-        if (columns != {c.split()[0] for c in TERMS.split(", ")} or self.terms().isEmpty()) and not self.products().isEmpty():
+        m = self.tables["terms"].manifest()
+        if (m["notes"].get("schema") != TERMS or not m["notes"].get("docs")) and not self.products().isEmpty():
             self.rebuild_terms()
 
     def products(self) -> DataFrame:
-        return self._read("products", PRODUCTS)
+        return self.tables["products"].read()
 
     def offers(self) -> DataFrame:
-        return self._read("offers", OFFERS)
+        return self.tables["offers"].read()
 
     def terms(self) -> DataFrame:
-        return self._read("terms", TERMS)
+        return self.tables["terms"].read()
 
     def upsert_products(self, new: DataFrame, order: str | None = None) -> None:
         """Puts catalog rows in by product_id and renews the search terms. Of equal ids
@@ -79,9 +65,8 @@ class ProductIndex:
         text = norm(F.concat_ws(" ", "brand_name", "family_name", F.array_join("aliases", " "), "concentration"))
         rows = new.withColumns({"searchable_text": text, "updated_at": F.current_timestamp(), "_order": F.to_json(F.struct(*new.columns)) if order is None else F.lpad(F.col(order).cast("string"), 20, "0")})
         columns = [c.split()[0] for c in PRODUCTS.split(", ")]
-        done = catalog.upsert(self.products().withColumn("_order", F.lit("")), rows.select(*columns, "_order"), "product_id", ["_order"])
-        self._write("products", done.select(*columns))
-        self.rebuild_terms()
+        if self.tables["products"].upsert(rows.select(*columns, "_order"), ["_order"]):
+            self.rebuild_terms()
 
     def upsert_offers(self, offers: DataFrame) -> int:
         """Puts normalised offers in; offers without store or name go. Products they need
@@ -89,24 +74,41 @@ class ProductIndex:
         o = offers.filter((F.col("store") != "") & filled(F.col("name")).isNotNull())
         key = catalog.product_key(F.col("catalog_id"), F.col("brand"), F.col("name"))
         o = o.withColumn("product_id", key).withColumn("offer_id", catalog.offer_id(F.col("store"), key, F.col("variant_id"), F.col("size_ml"), F.col("url")))
-        made = keep_first(o.join(self.products().select("product_id"), "product_id", "left_anti"), ["product_id"], ["ingest_ord", "offer_id"])
-        nothing = F.lit(None).cast("string")
-        made = made.select("product_id", nothing.alias("brand_id"), F.col("brand").alias("brand_name"), F.col("name").alias("family_name"), "concentration", "gender", F.array("name").alias("aliases"))
-        if not made.isEmpty():
-            self.upsert_products(made)
         columns = [c.split()[0] for c in OFFERS.split(", ")]
-        rows = o.withColumn("updated_at", F.current_timestamp())
-        done = catalog.upsert(self.offers().withColumn("ingest_ord", F.lit(0).cast("long")), rows.select(*columns, "ingest_ord"), "offer_id", ["ingest_ord"])
-        self._write("offers", done.select(*columns))
-        return o.count()
+        scratch = f"{self.path}/offers-{uuid.uuid4().hex}"
+        o = kept(o.withColumn("updated_at", F.current_timestamp()).select(*columns, "ingest_ord", "brand", "gender"), scratch)
+        try:
+            made = keep_first(o.join(self.products().select("product_id"), "product_id", "left_anti"), ["product_id"], ["ingest_ord", "offer_id"])
+            nothing = F.lit(None).cast("string")
+            made = made.select("product_id", nothing.alias("brand_id"), F.col("brand").alias("brand_name"), F.col("name").alias("family_name"), "concentration", "gender", F.array("name").alias("aliases"))
+            self.upsert_products(made)
+            self.tables["offers"].upsert(o, ["ingest_ord"])
+            return o.count()
+        finally:
+            remove(self.spark, scratch)
 
     def rebuild_terms(self) -> None:
         p = self.products().withColumn("_aliases", F.array_join("aliases", " "))
-        self._write("terms", search_index.index_terms(p, "product_id", "brand_name", "family_name", "_aliases", "concentration"))
+        terms = search_index.index_terms(p, "product_id", "brand_name", "family_name", "_aliases", "concentration")
+        docs, length = p.count(), terms.agg(F.sum("tf")).first()[0] or 0
+        self.tables["terms"].replace(terms, F.left("term", F.lit(INITIAL)), {"schema": TERMS, "docs": docs, "length": length})
+
+    def matching_terms(self, query: str) -> DataFrame:
+        """The terms that begin with a word of the query, read from the folders and row groups that can have them."""
+        m = self.tables["terms"].manifest()
+        words = list(dict.fromkeys(norm_text(query).split()))
+        if not words or not m["folders"]:
+            return self.spark.createDataFrame([], TERMS)
+        rows = self.spark.read.schema(f"{TERMS}, _part string").parquet(m["folders"]["all"])
+        some = F.lit(False)
+        for w in words:
+            some = some | (F.col("_part").startswith(w[:INITIAL]) & F.col("term").startswith(w))
+        return rows.filter(some).drop("_part")
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Products for a query, best first."""
-        found = search_index.search(self.terms(), self.products(), "product_id", query)
+        notes = self.tables["terms"].manifest()["notes"]
+        found = search_index.ranked(self.matching_terms(query), query, self.spark.createDataFrame([(notes.get("docs", 0), notes.get("length", 0))], "n_all long, len_all long"))
         p = self.products()
         return found.join(p, F.col("doc") == F.col("product_id")).orderBy("score", "brand_name", "family_name", "product_id").limit(max(1, limit)).drop("doc", "score")
 
