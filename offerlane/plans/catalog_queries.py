@@ -3,7 +3,7 @@ platforms, sitemaps, catalog search, product pages and the counters of a refresh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.functions import measures, text
@@ -11,7 +11,8 @@ from offerlane.functions.classify import reject_reason
 from offerlane.operators import dedup, search_index
 from offerlane.plans import engine
 from offerlane.plans.registry import _BARRED, _BM25_SQL, _ORDER_SQL, PREFIXES, _query
-from offerlane.sources import discovery, tables
+from offerlane.sources import discovery, stores, tables
+from offerlane.sources.offers import normalized
 from offerlane.sources.tables import LINE_ORDER, OFFERS_SQL, norm_sql
 from offerlane.vocabulary import NON_PERFUME
 
@@ -171,18 +172,77 @@ def outer_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.catalog_suggestions(docs).select("p_partkey", "position", "name", "brand", "catalog_id")
 
 
+#: Pages that one sitemap, and products that one search page, lists.
+MAP, LISTED = 1000, 100
+
+
 @_query(
     f"""with h as (select regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) as host, url, page_id from pages),
 d as (select host, url, min(page_id) as page_id from h group by host, url)
 select host, url as location, (row_number() over (partition by host order by page_id) - 1)::int as position from d"""
 )
 def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages listed by the sitemaps of their hosts (a map per host, and an index of the maps)."""
-    p = tables.read(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^([A-Za-z]+://[^/?#]+)", 1))
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "url"))), lambda x: F.concat(F.lit("<url><loc> "), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>")))
-    maps = p.groupBy("host").agg(F.concat(F.lit("<urlset>"), F.array_join(listed, "\n"), F.lit("</urlset>")).alias("xml"))  # test documents: a map is a document of a host
-    found = discovery.sitemap_locations(maps.select(F.col("host").alias("url"), "xml"))
-    return found.filter("kind = 'urlset'").select(F.col("url").alias("host"), "location", "position")
+    """Pages listed by the sitemaps of their hosts: maps of at most MAP pages, named by an index map per
+    thousand maps, which an index of the host names. Three levels, read by sitemap_tree()."""
+    p = tables.read(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "^([A-Za-z]+://[^/?#]+)", 1)).withColumn("map", F.floor(F.col("page_id") / MAP))
+    escaped = lambda x: F.replace(x, F.lit("&"), F.lit("&amp;"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page_id", "url"))), lambda x: F.concat(F.lit("<url><loc> "), escaped(x["url"]), F.lit(" </loc></url>")))
+    at = F.format_string("%s/sitemap-%012d.xml", F.col("host"), F.col("map"))
+    maps = p.groupBy("host", "map").agg(F.concat(F.lit("<urlset>"), F.array_join(listed, "\n"), F.lit("</urlset>")).alias("xml")).select("host", "map", at.alias("url"), "xml")
+
+    def index(rows: DataFrame, group: Column, name: Column) -> DataFrame:
+        named = F.array_join(F.transform(F.sort_array(F.collect_list("url")), lambda x: F.concat(F.lit("<sitemap><loc>"), x, F.lit("</loc></sitemap>"))), "")
+        found = rows.withColumn("map", group).groupBy("host", "map").agg(F.concat(F.lit("<sitemapindex>"), named, F.lit("</sitemapindex>")).alias("xml"))
+        return found.select("host", "map", name.alias("url"), "xml")
+
+    second = index(maps, F.floor(F.col("map") / MAP), F.format_string("%s/sitemap-index-%012d.xml", F.col("host"), F.col("map")))
+    top = index(second, F.lit(0), F.concat("host", F.lit("/sitemap.xml")))
+    documents = maps.unionByName(second).unionByName(top).select("url", "xml")
+    found = discovery.sitemap_tree(documents, top.select(F.col("url").alias("root")))
+    found = found.select(F.regexp_replace("root", "/sitemap.xml$", "").alias("host"), "location", "place")
+    placed = dedup.position_in(found, ["host"], F.slice("place", F.lit(1), F.size("place") - 1), ["place"], "position")
+    return placed.select("host", "location", "position")
+
+
+_FOUND = "list_has_all(string_split(p.name_n, ' '), string_split(q.name_n, ' '))"
+
+
+@_query(
+    f"""with {OFFERS_SQL}, q as (select distinct name_n, name from products where name_n = lower(name)),
+f as (select q.name as query, p.product_id, p.name, (p_retailprice * 100)::bigint as price_cents from q join products p on {_FOUND} join part on p_partkey = p.product_id),
+z as (select *, row_number() over (partition by query order by replace(name, ' ', '-') || '-' || lpad(product_id::varchar, 12, '0') || '_z' || product_id) as r from f)
+select 'Deloox' as store, query, name, price_cents, 'in stock' as availability, product_id::varchar as code from f
+union all select 'Bplatz', query, name, case when product_id % 3 = 0 then null else price_cents end, case when product_id % 3 = 0 then 'out of stock' else 'in stock' end, null from f
+union all select 'ParfumZentrum', query, name, price_cents, 'in stock', product_id::varchar from z where r <= 24"""
+)
+def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches for the name of each product at three stores: by links of search pages and product pages, by
+    cards and product documents, and by sitemaps. The documents are made of the catalog; a search page lists at most LISTED products,
+    all of them that have the first word of the query."""
+    p = tables.products(spark, sf_dir).join(tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("cents")), "product_id")
+    jobs = p.filter(F.col("name_n") == F.lower("name")).select(F.col("name").alias("query"), F.col("name_n").alias("q")).distinct()
+    number, slug = F.col("product_id").cast("string"), F.replace(F.col("name"), F.lit(" "), F.lit("-"))
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in x))
+    amount = F.format_string("%d.%02d", F.floor(F.col("cents") / 100).cast("bigint"), F.col("cents") % 100)
+    p = p.withColumns({
+        "at_deloox": text("https://www.deloox.nl/product/", number, "/", slug, ".html"), "at_bplatz": text("https://bplatz.de/products/", slug, "-", number),
+        "at_zentrum": text("https://www.parfum-zentrum.de/", slug, "-", F.lpad(number, 12, "0"), "_z", number), "first": F.split("name_n", " ")[0], "chunk": F.floor(F.col("product_id") / LISTED),
+    })
+    ld = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("name").alias("name"), number.alias("sku"), F.struct(amount.alias("price"), F.lit("EUR").alias("priceCurrency"), F.lit("InStock").alias("availability")).alias("offers")))
+    html = text("<html><head><script type='application/ld+json'>", ld, "</script></head><body><h1>", F.col("name"), "</h1></body></html>")
+    doc = F.to_json(F.struct(number.alias("id"), F.col("name").alias("title"), F.array(F.struct(F.lit("1").alias("id"), F.col("cents").alias("price"), (F.col("product_id") % 3 != 0).alias("available"))).alias("variants")))
+    none = F.lit(None).cast("string")
+    row = lambda df, store, kind, query, url, body: df.select(F.lit(store).alias("store"), F.lit(kind).alias("kind"), query.alias("query"), url.alias("url"), body.alias("body"))
+    documents = row(p, "Deloox", "page", none, F.col("at_deloox"), html).unionByName(row(p, "ParfumZentrum", "page", none, F.col("at_zentrum"), html)).unionByName(row(p, "Bplatz", "json", none, F.col("at_bplatz"), doc))
+    listed = lambda url, label: F.array_join(F.sort_array(F.collect_list(text("<div><a href='", F.col(url), "'>", label, "</a> <i>", F.col("name"), "</i></div>"))), "")
+    chunks = p.groupBy("first", "chunk").agg(listed("at_deloox", F.lit("more")).alias("deloox"), listed("at_bplatz", F.lit("more")).alias("bplatz"))
+    shown = jobs.withColumn("first", F.split("q", " ")[0]).join(chunks, "first")
+    for store, host in (("deloox", "https://www.deloox.nl"), ("bplatz", "https://bplatz.de")):
+        documents = documents.unionByName(row(shown, store.title(), "search", F.col("query"), text(host, "/search?page=", F.col("chunk").cast("string"), "&q=", F.col("query")), text("<body>", F.col(store), "</body>")))
+    maps = p.groupBy(F.floor(F.col("product_id") / MAP).alias("map")).agg(F.array_join(F.collect_list(text("<url><loc>", F.col("at_zentrum"), "</loc></url>")), "").alias("x"))
+    documents = documents.unionByName(row(maps, "ParfumZentrum", "sitemap", none, text("https://www.parfum-zentrum.de/", F.col("map").cast("string"), ".xml"), text("<urlset>", F.col("x"), "</urlset>")))
+    found = normalized(stores.store_offers(jobs, documents), ("query",))
+    return found.select("store", "query", "name", "price_cents", "availability", F.col("sku").alias("code"))
 
 
 _MARKED = " or ".join("list_has_all(w, [" + ", ".join(f"'{w}'" for w in text.norm_text(m).split()) + "])" for m in NON_PERFUME)

@@ -4,12 +4,16 @@ its URL or by the query that it answers; sources are joined and united in one pl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.functions.text import clean, filled, norm, norm_text, query_tokens, url_name
 from offerlane.operators.dedup import keep_first
-from offerlane.sources.evidence import absolute
+from offerlane.sources.page import absolute
+from offerlane.sources.storage import kept, shared_folder, until_exit
 from offerlane.vocabulary import NON_PERFUME
 
 #: DDL of a shop platform's product document, as far as it is read. Prices can be numbers or text.
@@ -22,8 +26,10 @@ PLATFORM = (
 def has_marker(text: Column, markers=NON_PERFUME) -> Column:
     """Whether all words of one of the markers are among the words of a text."""
     words = F.split(norm(text), " ")
-    sets = F.array(*(F.array(*(F.lit(w) for w in norm_text(m).split())) for m in markers))
-    return F.exists(sets, lambda m: F.size(F.array_except(m, words)) == 0)
+    split = [norm_text(m).split() for m in markers]
+    sets = F.array(*(F.array(*(F.lit(w) for w in m)) for m in split))
+    some = F.arrays_overlap(words, F.array(*(F.lit(w) for w in sorted({m[0] for m in split if m}))))  # most texts have no first word of a marker
+    return F.when(some, F.exists(sets, lambda m: F.size(F.array_except(m, words)) == 0)).otherwise(F.lit(False))
 
 
 def product_has_marker(name: Column, url: Column, title: Column) -> Column:
@@ -174,6 +180,51 @@ def sitemap_products(documents: DataFrame, root: str, column: str = "xml") -> Da
     return first.select("location", "map_no", "position")
 
 
+def sitemap_files(spark: SparkSession, path: str) -> DataFrame:
+    """url (the file's place) and xml of sitemap files at a path, packed (gzip) or not; a broken archive gives null."""
+    import gzip
+    import zlib
+
+    @F.pandas_udf("string")
+    def unpacked(content: pd.Series) -> pd.Series:
+        def one(raw):
+            try:
+                return (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode("utf-8", "replace")
+            except (OSError, EOFError, zlib.error):
+                return None
+
+        return content.map(one)
+
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), unpacked("content").alias("xml"))
+
+
+#: Levels of index maps that are followed.
+LEVELS = 8
+
+
+def sitemap_tree(documents: DataFrame, roots: DataFrame, column: str = "xml", levels: int = LEVELS) -> DataFrame:
+    """root, location, place: the pages that the sitemaps at roots (column root) list, themselves or by index
+    maps in any number of levels up to levels, each once per root at its first place (the positions on the way to it). Maps that name
+    each other are followed once; maps that weren't fetched are left out."""
+    rows = kept(sitemap_locations(documents, column), f"{until_exit(documents.sparkSession, f'{shared_folder(documents.sparkSession)}/sitemaps-{uuid.uuid4().hex}')}/rows")
+    child = (F.col("kind") == "sitemapindex") | (F.lower("location").contains("sitemap") & F.lower("location").rlike(r"\.xml(\.gz)?$"))
+    rows = rows.select("url", "location", "position", F.coalesce(child, F.lit(False)).alias("child"))
+    spark = documents.sparkSession
+    rows.createOrReplaceTempView("_sitemap_rows")
+    roots.select("root").distinct().createOrReplaceTempView("_sitemap_roots")
+    found = spark.sql(
+        f"""WITH RECURSIVE walk (root, at, place, way) MAX RECURSION LEVEL {levels + 1} AS (
+              SELECT root, root, cast(array() AS array<int>), array(root) FROM _sitemap_roots
+              UNION ALL
+              SELECT w.root, r.location, array_append(w.place, r.position), array_append(w.way, r.location)
+              FROM walk w JOIN _sitemap_rows r ON r.url = w.at
+              WHERE r.child AND NOT array_contains(w.way, r.location) AND size(w.way) <= {levels})
+            SELECT w.root, r.location, array_append(w.place, r.position) AS place
+            FROM walk w JOIN _sitemap_rows r ON r.url = w.at WHERE NOT r.child"""
+    )
+    return found.groupBy("root", "location").agg(F.min("place").alias("place"))
+
+
 def sitemap_candidates(locations: DataFrame, query: str, limit: int = 24) -> DataFrame:
     """location, score: of pages that share words with a query the best, 10 per word in the URL's name."""
     words = query_tokens(query)

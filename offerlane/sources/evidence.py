@@ -1,82 +1,37 @@
 """Product pages: what a page holds, as columns, and rules over it that give a raw offer.
 
 One pass of the standard HTML parser, on Arrow batches, lists what pages hold:
-metadata, JSON-LD, priced elements, controls, links with their cards. All rules
+metadata, JSON-LD, priced elements, controls; links and their cards are listed by listing.py. All rules
 that choose among it are column expressions."""
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_left
-from html.parser import HTMLParser
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlane.functions.classify import concentration, gender
 from offerlane.functions.measures import gtin, index_size_ml, money
-from offerlane.functions.text import clean, filled, norm
+from offerlane.functions.text import filled, norm
 from offerlane.sources.extract import candidate_price, card_name, card_stock, page_price
+from offerlane.sources.listing import link_rows, listing, with_cards
+from offerlane.sources.page import Page, absolute
 from offerlane.vocabulary import OLD_PRICE, PRICE_LABELS, PURCHASE_MARKERS, PURCHASE_WORDS, SAYS_IN_STOCK, SAYS_OUT_OF_STOCK, SIZE_LABELS
 
-#: What a page holds. card: the text of the smallest element around a link that has a price.
+#: What a page holds.
 EVIDENCE = (
     "title string, h1 string, meta map<string,string>, ld array<string>, text string, prices array<struct<marks:string,value:string>>, sizes array<string>, stock array<string>, "
-    "controls array<struct<label:string,off:boolean>>, images array<string>, links array<struct<href:string,text:string,card:string>>"
+    "controls array<struct<label:string,off:boolean>>, images array<string>"
 )
 FIELDS = [f.split()[0] for f in EVIDENCE.replace("<struct<", "<").split(", ")]
-#: Elements around a link that are looked at for a price; length of a context before an amount.
-CLIMB, BEFORE = 10, 60
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-_AMOUNT = re.compile(r"[0-9][.,][0-9]{2}\b|[€$£]")
-
-
-class _Page(HTMLParser):
-    """Elements of a page as spans over the list of its texts."""
-
-    def __init__(self):
-        super().__init__()
-        self.words, self.nodes, self.open, self.raw = [], [], [], None
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        node = {"tag": tag, "a": a, "up": self.open[-1] if self.open else None, "from": len(self.words), "to": None}
-        self.nodes.append(node)
-        if tag in _VOID:
-            node["to"] = len(self.words)
-        else:
-            self.open.append(len(self.nodes) - 1)
-            if tag in ("script", "style"):
-                self.raw = []
-
-    def handle_endtag(self, tag):
-        at = next((k for k in range(len(self.open) - 1, -1, -1) if self.nodes[self.open[k]]["tag"] == tag), None)
-        if at is None:
-            return
-        for k in self.open[at:]:
-            self.nodes[k]["to"] = len(self.words)
-        if self.raw is not None:
-            self.nodes[self.open[at]]["raw"], self.raw = "".join(self.raw), None
-        del self.open[at:]
-
-    def handle_data(self, data):
-        if self.raw is not None:
-            self.raw.append(data)
-        elif data.strip():
-            self.words.append(" ".join(data.split()))
-
-    def text(self, node) -> str:
-        return " ".join(self.words[node["from"] : len(self.words) if node["to"] is None else node["to"]])
-
-
+#: Length of a context before an amount.
+BEFORE = 60
 def evidence(html: str | None) -> dict:
     """What one page holds; nothing for a null page."""
-    page = _Page()
+    page = Page()
     page.feed(html or "")
     page.close()
-    out = {"title": None, "h1": None, "meta": {}, "ld": [], "text": " ".join(page.words), "prices": [], "sizes": [], "stock": [], "controls": [], "images": [], "links": []}
-    priced = [k for k, w in enumerate(page.words) if _AMOUNT.search(w)]
+    out = {"title": None, "h1": None, "meta": {}, "ld": [], "text": " ".join(page.words), "prices": [], "sizes": [], "stock": [], "controls": [], "images": []}
     for n in page.nodes:
         tag, a, prop = n["tag"], n["a"], n["a"].get("itemprop", "").lower()
         if tag in ("title", "h1") and out[tag] is None:
@@ -101,24 +56,9 @@ def evidence(html: str | None) -> dict:
             label = " ".join((page.text(n), *(a.get(k, "") for k in ("value", "aria-label", "title", "class", "data-button-action", "data-action", "name", "id"))))
             off = "disabled" in a or a.get("aria-disabled", "").lower() == "true" or "disabled" in a.get("class", "").split()
             out["controls"].append({"label": " ".join(label.lower().split()), "off": off})
-        if tag == "a" and a.get("href"):
-            out["links"].append({"href": a["href"], "text": " ".join(filter(None, (a.get("title"), a.get("aria-label"), page.text(n)))), "card": _card(page, n, priced)})
     return out
 
 
-def _card(page: _Page, node: dict, priced: list[int]) -> str | None:
-    """The text of the first element from a link outwards that has a price."""
-    for _ in range(CLIMB):
-        end = len(page.words) if node["to"] is None else node["to"]
-        k = bisect_left(priced, node["from"])
-        if k < len(priced) and priced[k] < end:
-            return page.text(node)
-        if node["up"] is None:
-            return None
-        node = page.nodes[node["up"]]
-    return None
-
-
 def with_evidence(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages, without their HTML, with the columns of EVIDENCE."""
     kept = [c for c in pages.columns if c != html and c not in FIELDS]
@@ -215,16 +155,6 @@ def html_availability(controls: Column, stock: Column, said: Column) -> Column:
     )
 
 
-def absolute(url: Column, base: Column) -> Column:
-    """A link made absolute against the URL of its page."""
-    host = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.substring_index(F.substring_index(base, "#", 1), "?", 1), "(?<=[^/])/[^/]*$", "")
-    return (
-        F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), url).when(url.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z]+:)", 1), url))
-        .when(url.startswith("/"), F.concat(host, url)).otherwise(F.concat(folder, F.lit("/"), url))
-    )
-
-
 def raw_offers(pages: DataFrame) -> DataFrame:
     """A raw offer per page (url, html) that names a product with a price: name, brand,
     price, currency, availability, size_ml, concentration, url, image, identifiers, and
@@ -253,15 +183,11 @@ def raw_offers(pages: DataFrame) -> DataFrame:
 
 
 def link_candidates(pages: DataFrame) -> DataFrame:
-    """Links of search pages as candidates: the page's columns, url (absolute, without
-    query and fragment, each once per page), label and card."""
-    p = with_evidence(pages)
+    """Links of search pages as candidates: the page's columns, url (absolute, without query and
+    fragment, each once per page), position, label and card (the text of the first element around the link with a price)."""
     kept = [c for c in pages.columns if c not in ("html", "url", *FIELDS)]
-    rows = p.select(*kept, F.col("url").alias("_page"), F.posexplode("links").alias("_at", "_link"))
-    url = F.substring_index(F.substring_index(absolute(F.col("_link.href"), F.col("_page")), "#", 1), "?", 1)
-    rows = rows.withColumns({"url": url, "label": clean(F.col("_link.text")), "card": F.col("_link.card")}).filter(F.col("url").rlike("^https?://"))
-    first = F.min_by(F.struct("label", "card"), F.struct((F.col("label") == "").alias("unnamed"), "_at")).alias("x")
-    return rows.groupBy(*kept, F.col("_page").alias("page"), "url").agg(first, F.min("_at").alias("position")).select(*kept, "page", "url", "position", "x.*")
+    rows = listing(pages.select(*kept, "url", "html"), *kept)
+    return with_cards(link_rows(rows, *kept), rows, *kept).select(*kept, "page", "url", "position", "label", "card")
 
 
 def card_offers(candidates: DataFrame) -> DataFrame:
