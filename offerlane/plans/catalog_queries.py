@@ -3,6 +3,8 @@ platforms, sitemaps, catalog search, product pages and the counters of a refresh
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from offerlane.plans import engine
 from offerlane.plans.registry import _BARRED, _BM25_SQL, _ORDER_SQL, PREFIXES, _query
 from offerlane.sources import discovery, stores, tables
 from offerlane.sources.offers import normalized
+from offerlane.sources.storage import kept, shared_folder, until_exit
 from offerlane.sources.tables import LINE_ORDER, OFFERS_SQL, norm_sql
 from offerlane.vocabulary import NON_PERFUME
 
@@ -172,8 +175,8 @@ def outer_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.catalog_suggestions(docs).select("p_partkey", "position", "name", "brand", "catalog_id")
 
 
-#: Pages that one sitemap, and products that one search page, lists.
-MAP, LISTED = 1000, 100
+#: Pages that one sitemap lists, and product numbers that one search page lists products of.
+MAP, LISTED = 1000, 800
 
 
 @_query(
@@ -217,8 +220,8 @@ union all select 'ParfumZentrum', query, name, price_cents, 'in stock', product_
 )
 def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches for the name of each product at three stores: by links of search pages and product pages, by
-    cards and product documents, and by sitemaps. The documents are made of the catalog; a search page lists at most LISTED products,
-    all of them that have the first word of the query."""
+    cards and product documents, and by sitemaps. The documents are made of the catalog; a search page lists those of
+    LISTED product numbers that have the first word of the query."""
     p = tables.products(spark, sf_dir).join(tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("cents")), "product_id")
     jobs = p.filter(F.col("name_n") == F.lower("name")).select(F.col("name").alias("query"), F.col("name_n").alias("q")).distinct()
     number, slug = F.col("product_id").cast("string"), F.replace(F.col("name"), F.lit(" "), F.lit("-"))
@@ -241,7 +244,8 @@ def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents = documents.unionByName(row(shown, store.title(), "search", F.col("query"), text(host, "/search?page=", F.col("chunk").cast("string"), "&q=", F.col("query")), text("<body>", F.col(store), "</body>")))
     maps = p.groupBy(F.floor(F.col("product_id") / MAP).alias("map")).agg(F.array_join(F.collect_list(text("<url><loc>", F.col("at_zentrum"), "</loc></url>")), "").alias("x"))
     documents = documents.unionByName(row(maps, "ParfumZentrum", "sitemap", none, text("https://www.parfum-zentrum.de/", F.col("map").cast("string"), ".xml"), text("<urlset>", F.col("x"), "</urlset>")))
-    found = normalized(stores.store_offers(jobs, documents), ("query",))
+    folder = until_exit(spark, f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}")
+    found = normalized(stores.store_offers(kept(jobs, f"{folder}/jobs"), kept(documents, f"{folder}/documents")), ("query",))
     return found.select("store", "query", "name", "price_cents", "availability", F.col("sku").alias("code"))
 
 

@@ -430,9 +430,9 @@ def fuzzy_tokens_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def fuzzy_tokens_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each word of a query is like one of the name: equal, or with a matching ratio of 0.8."""
-    p = tables.products(spark, sf_dir).withColumn("found", extract.fuzzy_hits(F.col("name"), "redd plates"))
-    n = F.size(F.filter(F.map_values("found.hits"), lambda x: x))
-    return p.select("product_id", n.alias("hits"), (n == F.size("found.hits")).alias("all_hit"))
+    p = extract.with_fuzzy_hits(tables.products(spark, sf_dir), "name", "redd plates")
+    n = F.size(F.filter(F.map_values("hits"), lambda x: x))
+    return p.select("product_id", n.alias("hits"), (n == F.size("hits")).alias("all_hit"))
 
 
 @_query()

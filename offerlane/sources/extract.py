@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from offerlane.functions.measures import cents
 from offerlane.functions.text import clean, norm, query_tokens, url_name
@@ -61,29 +62,48 @@ def card_name(text: Column) -> Column:
     return F.when((F.size(words) >= 4) & (F.size(words) % 2 == 0) & (first == second), F.array_join(first, " ")).otherwise(clean(t))
 
 
-def fuzzy_hits(names: Column, query: str) -> Column:
-    """hits (word of the query -> whether the name has it or one like it) and how
-    many were only alike. Likeness by longest matching blocks, on Arrow batches."""
-    from difflib import SequenceMatcher
+def _letters_in_common(a: Column, b: Column) -> Column:
+    """How many letters two words share, repeats counted: no fewer than their matching blocks have."""
+    counts = lambda x, c: F.char_length(x) - F.char_length(F.replace(x, c))
+    both = F.array_intersect(F.split(a, ""), F.split(b, ""))
+    return F.aggregate(both, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(counts(a, c), counts(b, c))))
 
-    words = query_tokens(query)
 
-    @F.pandas_udf("hits map<string,boolean>, fuzzy int")
-    def match(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for name in batch:
-            own = set((name or "").split())
-            longest = max(map(len, own), default=0)
-            hits, fuzzy = {}, 0
-            for w in words:
-                hits[w] = w in own
-                if not hits[w] and own and abs(len(w) - longest) <= LENGTH:
-                    hits[w] = max(SequenceMatcher(None, w, x).ratio() for x in own) >= RATIO
-                    fuzzy += hits[w]
-            out.append((hits, fuzzy))
-        return pd.DataFrame(out, columns=["hits", "fuzzy"])
-
-    return match(norm(names))
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Likeness of words by longest matching blocks."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
+
+
+def alike_words(words: DataFrame, query: str) -> DataFrame:
+    """Pairs (wanted, word) of a word of the query and another of words (column word) that are alike. What is left by the
+    lengths and by the letters in common is compared, each pair once."""
+    wanted = F.array(*(F.lit(w) for w in dict.fromkeys(query_tokens(query)))).cast("array<string>")
+    pairs = words.select("word").distinct().withColumn("wanted", F.explode(wanted)).filter("word <> wanted AND word <> ''")
+    a, b = F.char_length("wanted"), F.char_length("word")
+    # a ratio r needs r / 2 * (a + b) letters in blocks, which the shorter word and the letters in common must have
+    least = (a + b) * (RATIO / 2) - 1e-9
+    possible = pairs.filter((F.least(a, b) >= least) & (_letters_in_common(F.col("wanted"), F.col("word")) >= least))
+    return possible.filter(_ratio("wanted", "word") >= RATIO).select("wanted", "word")
+
+
+def with_fuzzy_hits(df: DataFrame, name: str, query: str) -> DataFrame:
+    """df with hits (word of the query -> whether the name has it or, if its length is within LENGTH of that of the
+    name's longest word, one like it) and fuzzy, how many were only alike. Names and words are looked at once each."""
+    names = df.select(norm(name).alias("_name")).distinct()
+    words = names.select("_name", F.explode(F.array_distinct(F.split("_name", " "))).alias("word"))
+    alike = words.join(alike_words(words, query), "word").groupBy("_name").agg(F.collect_set("wanted").alias("_alike"))  # of the words of the query
+    wanted = list(dict.fromkeys(query_tokens(query)))
+    own = F.split(norm(name), " ")
+    longest = F.array_max(F.transform(own, F.length))
+    exact = [F.array_contains(own, w) for w in wanted]
+    near = [~e & F.coalesce(F.array_contains("_alike", w), F.lit(False)) & (F.abs(longest - len(w)) <= LENGTH) for e, w in zip(exact, wanted)]
+    entries = [F.struct(F.lit(w).alias("key"), (e | n).alias("value")) for e, n, w in zip(exact, near, wanted)]
+    hits = F.map_from_entries(F.array(*entries)) if entries else F.create_map().cast("map<string,boolean>")
+    fuzzy = sum((n.cast("int") for n in near), F.lit(0))
+    return df.join(alike, F.col("_name") == norm(name), "left").withColumns({"hits": hits, "fuzzy": fuzzy}).drop("_name", "_alike")
 
 
 def markdown_candidates(documents: DataFrame, column: str = "markdown", back: int = 80) -> DataFrame:

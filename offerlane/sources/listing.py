@@ -93,13 +93,13 @@ def listing(pages: DataFrame, *keys: str) -> DataFrame:
 
     def parse(batches):
         for pdf in batches:
-            for row in pdf.to_dict("records"):
-                words = row["words"]
-                found = page_links(row["html"], [] if words is None else list(words), CLIMB if pd.isna(row["climb"]) else int(row["climb"]), row["priced"] is True, row["embedded"])
-                out = pd.DataFrame(found, columns=_FIELDS).astype({"position": "Int32", "card": "Int32"})
-                for c in (*keys, "url"):
-                    out.insert(0, c, row[c])
-                yield out[[*keys, "url", *_FIELDS]]
+            out, at = [], []
+            for k, row in enumerate(pdf[["html", *given]].itertuples(index=False)):
+                words = [] if row.words is None else list(row.words)
+                out += page_links(row.html, words, CLIMB if pd.isna(row.climb) else int(row.climb), row.priced is True, row.embedded)
+                at += [k] * (len(out) - len(at))
+            found = pd.DataFrame(out, columns=_FIELDS).astype({"position": "Int32", "card": "Int32"})
+            yield pd.concat((pdf[[*keys, "url"]].iloc[at].reset_index(drop=True), found), axis=1)
 
     schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (*keys, "url"))
     return pages.select(*keys, "url", "html", *columns).mapInPandas(parse, f"{schema}, {LINKS}")
