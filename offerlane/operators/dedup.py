@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import filled, norm, number_text, url_key
+from offerlane.functions import text
+from offerlane.functions.text import number_text, url_key
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], order: list[Column | str], per: int = 1) -> DataFrame:
@@ -22,8 +23,12 @@ def keep_last(df: DataFrame, keys: list[Column | str], order: list[Column]) -> D
     return keep_first(df, keys, [(F.col(c) if isinstance(c, str) else c).desc_nulls_last() for c in order])
 
 
-def identity_key(store: Column, name: Column, variant_id: Column, product_id: Column, gtin: Column, sku: Column, size: Column, concentration: Column) -> Column:
-    """What tells offers of a store apart: the best identifier there is, tagged with its kind."""
+def identity_key(store: Column, name: Column, variant_id: Column, product_id: Column, gtin: Column, sku: Column, size: Column, concentration: Column, plain: bool = False) -> Column:
+    """What tells offers of a store apart: the best identifier there is, tagged with its kind.
+    plain: store, name and identifiers are in their normalised forms already, as where they were
+    normalised once per store or product; a missing one is null."""
+    as_is = lambda x: x
+    norm, filled = (as_is, as_is) if plain else (text.norm, text.filled)
     variant, product, code, stock = (filled(c) for c in (variant_id, product_id, gtin, sku))
     s, n, none = norm(store), norm(name), F.lit("")
 
@@ -39,9 +44,10 @@ def identity_key(store: Column, name: Column, variant_id: Column, product_id: Co
     )
 
 
-def offer_key(store: Column, identity: Column, size: Column, url: Column) -> Column:
-    """What tells matched offers apart: store, product, size and the URL without query."""
-    return F.struct(norm(store).alias("store"), norm(identity).alias("identity"), F.coalesce(number_text(size), F.lit("")).alias("size"), url_key(url).alias("url"))
+def offer_key(store: Column, identity: Column, size: Column, url: Column, plain: bool = False) -> Column:
+    """What tells matched offers apart: store, product, size and the URL without query. plain: as for identity_key()."""
+    own = [x if plain else text.norm(x) for x in (store, identity)]
+    return F.struct(own[0].alias("store"), own[1].alias("identity"), F.coalesce(number_text(size), F.lit("")).alias("size"), url_key(url).alias("url"))
 
 
 def position_in(df: DataFrame, keys: list[str], coarse: Column, order: list[Column | str], out: str) -> DataFrame:

@@ -27,10 +27,11 @@ select store, id_kind as kind, rest, l_orderkey, l_linenumber from k qualify row
 )
 def offer_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first offer of each identity: variant, product, article number, stock number, or name with size."""
-    o = tables.offers(spark, sf_dir)
     k, number = F.col("product_id") % 5, F.col("product_id").cast("string")
-    own = lambda n, c: F.when(k == n, c)
-    key = dedup.identity_key(F.col("store"), F.col("name"), own(0, F.concat(F.lit("v "), number)), own(1, number), own(2, F.col("gtin")), own(3, F.concat(F.lit("s "), number)), F.col("size_ml"), F.lit(None).cast("string"))
+    own = lambda n, c: F.when(k == n, text.norm(c))  # noqa: E731  # once per product
+    ids = {"variant_n": own(0, F.concat(F.lit("v "), number)), "own_n": own(1, number), "gtin_n": own(2, F.col("gtin")), "sku_n": own(3, F.concat(F.lit("s "), number))}
+    o = tables.offers(spark, sf_dir, ids)
+    key = dedup.identity_key(F.col("store_n"), F.col("name_n"), F.col("variant_n"), F.col("own_n"), F.col("gtin_n"), F.col("sku_n"), F.col("size_ml"), F.lit(None).cast("string"), plain=True)
     first = dedup.keep_first(o.withColumn("identity", key), ["identity"], LINE_ORDER)
     kind = F.col("identity.kind")
     rest = F.when(kind == "product", F.concat_ws("|", "identity.a", "identity.b")).when(kind == "fallback", F.concat_ws("|", "identity.a", "identity.b", "identity.c")).otherwise(F.col("identity.a"))
@@ -106,9 +107,10 @@ case when size_ml = floor(size_ml) then floor(size_ml)::bigint::varchar else siz
 )
 def offer_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What tells matched offers apart, and the ids made of brands and names."""
-    o = tables.offers(spark, sf_dir).withColumn("cid", F.concat(F.lit("c"), (F.col("product_id") % 100).cast("string")))
-    key = dedup.offer_key(F.col("store_n"), F.col("cid"), F.col("size_ml"), F.concat("url", F.lit("?ref=1")))
-    rows = o.select(text.auto_id(F.col("brand"), F.col("name")).alias("auto_id"), key.alias("k"))
+    cid = F.concat(F.lit("c"), (F.col("product_id") % 100).cast("string"))
+    o = tables.offers(spark, sf_dir, {"identity_n": text.norm(cid), "auto_id": text.auto_id(F.col("brand"), F.col("name"))})
+    key = dedup.offer_key(F.col("store_n"), F.col("identity_n"), F.col("size_ml"), F.concat("url", F.lit("?ref=1")), plain=True)
+    rows = o.select("auto_id", key.alias("k"))
     return rows.select("auto_id", "k.store", F.replace(F.col("k.identity"), F.lit(" ")).alias("identity"), "k.size", "k.url").distinct()
 
 

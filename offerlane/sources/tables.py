@@ -43,11 +43,13 @@ def price_cents():
     return F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint")
 
 
-def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offers(spark: SparkSession, sf_dir: str, of_product: dict | None = None) -> DataFrame:
     """One offer per line: store, product, price in cents and as text, availability,
-    time, URL, and the columns of its order."""
+    time, URL, and the columns of its order. of_product: further columns, by name, that are made of the
+    product alone, and so once per product."""
     lines = read(spark, sf_dir, "lineitem")
-    joined = lines.join(products(spark, sf_dir), F.col("l_partkey") == F.col("product_id")).join(stores(spark, sf_dir), F.col("l_suppkey") == F.col("store_rank"))
+    known = products(spark, sf_dir).withColumns(of_product or {})
+    joined = lines.join(known, F.col("l_partkey") == F.col("product_id")).join(stores(spark, sf_dir), F.col("l_suppkey") == F.col("store_rank"))
     stock = F.when(F.col("l_returnflag") == "N", "in stock").when(F.col("l_returnflag") == "R", "out of stock").otherwise("unknown")
     return joined.withColumns(
         {
