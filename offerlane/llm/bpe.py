@@ -14,9 +14,9 @@ its words (runs without ASCII blanks) in order. The work is:
    those of the n-th word that the part has in that bucket, and a document's ids
    are those of its places.
 
-Decoding joins ids with the id-to-piece table. It has a row per id, at most
-MOST_PIECES, in order, so every task has it whole and each id takes the row at
-its position.
+Decoding joins ids with the id-to-piece table. It has a row per id, at most MOST_PIECES, in
+order; put in one row, it is joined to each document, and each id takes the piece at its
+position, all by built-in expressions.
 
 A frequent word travels once per part, not once per occurrence, and no task holds
 more than one part or one bucket; buckets grow in number with the input. Requests
@@ -38,13 +38,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.llm.common import reread, words_of
+from offerlane.llm.common import fresh, reread, words_of
 
 #: Bytes of words in a part; bytes of input for each bucket, and the least buckets.
-PART_BYTES, BUCKET_BYTES, BUCKETS = 24 << 20, 4 << 20, 32
+PART_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 4 << 20, 32
 #: Words of documents that are joined at once, and words encoded at once.
 STEP, WORDS = 1 << 20, 4096
 #: Pieces that a vocabulary can have, as ids travel in 16 bits.
@@ -69,11 +69,10 @@ def _tokenizer(path: str):
     return found
 
 
-@lru_cache(maxsize=2)
-def _pieces(path: str) -> pa.Array:
-    """The id-to-piece table: the vocabulary's pieces by id."""
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The id-to-piece table: id, piece."""
     found = _tokenizer(path)
-    return pa.array([found.id_to_token(i) or "" for i in range(found.get_vocab_size(with_added_tokens=True))])
+    return spark.createDataFrame([(i, found.id_to_token(i) or "") for i in range(found.get_vocab_size(with_added_tokens=True))], "id int, piece string")
 
 
 def _encode(words: list[bytes], path: str) -> list[bytes]:
@@ -241,19 +240,15 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_with_ids, schema)
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of an array of ids: each id joined with its piece, in order, by blanks."""
-
-    @F.arrow_udf("string")
-    def decode(ids: pa.Array) -> pa.Array:
-        found = _pieces(path).take(ids.flatten())
-        ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.fill_null(pc.list_value_length(ids), 0))])
-        return pc.if_else(ids.is_valid(), pc.binary_join(pa.ListArray.from_arrays(ends, found), " "), None)
-
-    return decode(ids)
+def decoded(found: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """found with the text of an array of ids: each id joined with its piece, in order, by blanks; null for null."""
+    (whole,) = fresh(found, "pieces")
+    table = pieces(found.sparkSession, path).agg(F.sort_array(F.collect_list(F.struct("id", "piece")))["piece"].alias(whole))  # one row of MOST_PIECES at most
+    joined = found.crossJoin(F.broadcast(table))
+    return joined.withColumn(out, F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(F.col(whole), i)), " ")).drop(whole)
 
 
 def digests(found: DataFrame, path: str) -> DataFrame:
     """n_tokens and SHA-256 of the ids as text and of the decoded text."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return decoded(found, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

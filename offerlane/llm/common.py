@@ -63,6 +63,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(df: DataFrame, name: str) -> None:
+    """Removes the table that written(…, name) gave as df, before the application ends."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if path.rpartition("/")[2].startswith(f"{name}-"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def reread(df: DataFrame, name: str) -> DataFrame:
     """df for work that reads it more than once and relies on the order of its rows:
     as it is if it is a plain scan, else (rows come out of a shuffle in any order)

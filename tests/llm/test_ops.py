@@ -268,7 +268,7 @@ def test_bpe(docs, empty, spark):
     texts = dict((i, x) for i, x, _ in TEXTS)
     more = docs.unionByName(docs.limit(0))
     for df in (docs, docs.repartition(5, "source"), docs.coalesce(1), more):
-        rows = encoded(df, path).select("doc_id", "ids", decoded(F.col("ids"), path).alias("decoded")).collect()
+        rows = decoded(encoded(df, path), path).select("doc_id", "ids", "decoded").collect()
         assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(i) for i, _, _ in TEXTS)
         for r in rows:
             ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
@@ -278,8 +278,10 @@ def test_bpe(docs, empty, spark):
         decoded_text = t.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(decoded_text.encode()).hexdigest()
-    none = spark.createDataFrame([(None, [5, 9]), (1, []), (2, None)], "doc_id long, ids array<int>").select(decoded(F.col("ids"), path)).collect()
-    assert [r[0] for r in none] == [t.decode([5, 9]), "", None]
+    none = decoded(spark.createDataFrame([(None, [5, 9], 1), (1, [], 1), (2, None, 1)], "doc_id long, ids array<int>, pieces int"), path, out="words")
+    assert none.columns == ["doc_id", "ids", "pieces", "words"] and [r.words for r in none.collect()] == [t.decode([5, 9]), "", None]
+    plan = none._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
     assert encoded(empty, path).count() == 0
 
 
