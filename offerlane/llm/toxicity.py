@@ -18,6 +18,8 @@ scores are 0; other columns are not read.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 #: Most labelled documents of each class that training takes, and most code points of such a document: longer ones
 #: are scored like any other but not learned from, so the one task that trains holds a bounded sample.
 MAX_TOXIC, MAX_CLEAN, MAX_TEXT = 2000, 4000, 100_000
+#: Code points of all texts together that weights are learned from; further texts of the sample are left out.
+MOST_CHARS = 80_000_000
 #: A document counts as toxic from this score on.
 THRESHOLD = 0.7
 #: Lengths of word beginnings that are features; least training documents of a feature; steps and rate of the descent.
@@ -122,10 +126,16 @@ def train(texts: list[str], toxic: np.ndarray, clean_share: float | None = None)
     for_cut = np.arange(len(texts)) % 5 == 4
     fit = ~for_cut if toxic[~for_cut].any() and not toxic[~for_cut].all() else np.ones(len(texts), bool)
 
+    # texts in order up to MOST_CHARS in all, and one of either class at least
+    within = np.cumsum([len(t or "") if use else 0 for t, use in zip(texts, fit)]) <= MOST_CHARS
+    for of in (toxic, ~toxic):
+        within[np.flatnonzero(of & fit)[0]] = True
+    fit &= within
+
     number: dict[str, int] = {}
     feature: dict[str, int] = {}
     word_features: list[list[int]] = []
-    words, sentence, doc_of = [], [], []
+    words, sentence, doc_of = array("q"), array("q"), array("q")
     for d, text in enumerate(t for t, use in zip(texts, fit) if use):
         new = True
         for w in _words(text):

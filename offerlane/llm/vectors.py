@@ -19,7 +19,8 @@ label and a null id link with nothing (0 links, a component of their own); label
 of any type are equal as SQL has it; very large and very small components neither
 overflow nor vanish; vectors of different sizes don't link;
 repeated rows are vectors of their own and link as copies; ties in the order go by
-id; an empty table gives an empty table; other columns don't matter.
+id; an empty table gives an empty table; other columns don't matter. Ids are of an integer
+type; others are an error.
 """
 
 from __future__ import annotations
@@ -112,6 +113,8 @@ def _over_border(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
 
 def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. passes: how many, if not by the size of the largest label."""
+    if df.schema[vec_id].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{vec_id} must be of an integer type; number the vectors first")
     v = F.col("vec")
     # vectors of floats travel as such; all arithmetic is in double precision
     same_type = df.schema[vector].dataType.simpleString() in ("array<float>", "array<double>")

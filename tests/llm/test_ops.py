@@ -668,3 +668,40 @@ def test_toxicity(spark):
     import zlib
 
     assert [r[0] for r in spark.range(20).select(held_out(F.col("id"))).collect()] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(20)]
+
+
+def test_toxicity_scores_are_noisy_or(spark, monkeypatch):
+    """Scores of a model with known weights, sentence by sentence; training keeps to its bound of text."""
+    from offerlane.llm import toxicity as m
+
+    model = m.Model({"idiot": 4.0, "idio*": 1.5, "you": 0.5, "fine": -2.0}, -3.0, 0.4)
+
+    def score(text):
+        sentences, own = [], []
+        for w in (text or "").replace("\n", " . ").split():
+            own.append(w)
+            if w[-1] in ".!?":
+                sentences, own = sentences + [own], []
+        sentences += [own] if own else []
+        p = [1 / (1 + np.exp(-(-3.0 + sum(sum(model.weights.get(f, 0.0) for f in m.features(w)) for w in dict.fromkeys(s))))) for s in sentences]
+        found = 1 - np.prod([1 - x for x in p]) if p else 1 / (1 + np.exp(3.0))
+        return 0.7 * found / 0.4 if found < 0.4 else 0.7 + 0.3 * (found - 0.4) / 0.6
+
+    texts = ["you idiot. fine day", "fine. fine\nfine", "", None, "Idiots! you you you? a b c", "x " * 5000 + "idiot."]
+    rows = m.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.score for r in rows] == pytest.approx([score(t) for t in texts])
+    assert [r.predicted for r in rows] == [int(score(t) >= 0.7) for t in texts]
+    some = ["a fine day of the week. " * 5, "you idiot of a day. "] * 60
+    whole = m.train(some, np.arange(120) % 2)
+    monkeypatch.setattr(m, "MOST_CHARS", 3000)
+    few = m.train(some, np.arange(120) % 2)
+    assert whole.weights and few.weights and max(whole.weights, key=whole.weights.get)[:3] == max(few.weights, key=few.weights.get)[:3]
+    monkeypatch.setattr(m, "MOST_CHARS", 1)
+    m.train(some, np.arange(120) % 2)
+
+
+def test_vector_ids_are_numbers(spark):
+    from offerlane.llm.vectors import near_vectors
+
+    with pytest.raises(TypeError):
+        near_vectors(spark.createDataFrame([("a", [1.0], 1)], "vec_id string, embedding array<double>, label int"))
