@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlane.llm.bpe import digests, encoded
-from offerlane.llm.common import table, written
+from offerlane.llm.common import drop_written, table, written
 from offerlane.llm.lines import drop_boilerplate
 from offerlane.llm.mixing import mix_documents
 from offerlane.llm.quality import keep_quality
@@ -68,10 +68,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each on what its predecessor wrote."""
+    """All stages in order, each on what its predecessor wrote; a stage's table goes when the next is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage-{k}")
-    return docs
+        made = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return made
+        made = written(made, f"stage-{k}")
+        if k:
+            drop_written(docs, f"stage-{k - 1}")
+        docs = made
