@@ -105,10 +105,14 @@ class ProductIndex:
             some = some | (F.col("_part").startswith(w[:INITIAL]) & F.col("term").startswith(w))
         return rows.filter(some).drop("_part")
 
+    def term_totals(self) -> DataFrame:
+        """One row: how many products are indexed, and all their words."""
+        notes = self.tables["terms"].manifest()["notes"]
+        return self.spark.createDataFrame([(notes.get("docs", 0), notes.get("length", 0))], "n_all long, len_all long")
+
     def search(self, query: str, limit: int = 20) -> DataFrame:
         """Products for a query, best first."""
-        notes = self.tables["terms"].manifest()["notes"]
-        found = search_index.ranked(self.matching_terms(query), query, self.spark.createDataFrame([(notes.get("docs", 0), notes.get("length", 0))], "n_all long, len_all long"))
+        found = search_index.ranked(self.matching_terms(query), query, self.term_totals())
         p = self.products()
         return found.join(p, F.col("doc") == F.col("product_id")).orderBy("score", "brand_name", "family_name", "product_id").limit(max(1, limit)).drop("doc", "score")
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from offerlane.functions import measures, text
 from offerlane.functions.classify import reject_reason
 from offerlane.operators import dedup, search_index
+from offerlane.operators.store import ProductIndex
 from offerlane.plans import engine
-from offerlane.plans.registry import _BARRED, _BM25_SQL, _ORDER_SQL, PREFIXES, _query
+from offerlane.plans.registry import _BARRED, _BM25_SQL, _ORDER_SQL, ORACLE_SQL, PREFIXES, _query
 from offerlane.sources import discovery, stores, tables
 from offerlane.sources.offers import normalized
 from offerlane.sources.storage import kept, shared_folder, until_exit
 from offerlane.sources.tables import LINE_ORDER, OFFERS_SQL, norm_sql
+from offerlane.streaming.kept_history import PriceHistory
 from offerlane.vocabulary import NON_PERFUME
 
 
@@ -50,6 +52,20 @@ def search_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("store", "product_id", "name", "size_ml", "price_cents", "l_orderkey", "l_linenumber")
 
 
+@_query(f"select b.doc as product_id, p_name as name, p_brand as brand from ({_BM25_SQL}) b join part on p_partkey = b.doc order by b.score_millionths, brand, name, product_id limit 20")
+def search_index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_products through an index on disk, from the files of the prefixes: all products are put in, in two changes."""
+    p = tables.products(spark, sf_dir)
+    index = ProductIndex(spark, until_exit(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"), 8)
+    nothing = F.lit(None).cast("string")
+    catalog = p.select(F.col("product_id").cast("string").alias("product_id"), nothing.alias("brand_id"), F.lit("").alias("brand_name"), F.col("name").alias("family_name"), F.col("kind").alias("concentration"), nothing.alias("gender"), F.array().cast("array<string>").alias("aliases"))
+    index.upsert_products(catalog.filter("product_id % 2 = 0"))
+    index.upsert_products(catalog)
+    found = search_index.ranked(index.matching_terms(PREFIXES), PREFIXES, index.term_totals())
+    rows = found.join(p, F.col("doc") == F.col("product_id").cast("string")).withColumn("score_millionths", F.floor(F.col("score") * 1000000 + 0.5).cast("bigint"))
+    return rows.orderBy("score_millionths", "brand", "name", "product_id").limit(20).select("product_id", "name", "brand")
+
+
 @_query(f"select b.doc as product_id, p_name as name, p_brand as brand, b.score_millionths from ({_BM25_SQL}) b join part on p_partkey = b.doc order by score_millionths, brand, name, product_id limit 20")
 def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best products of a catalog for the beginnings of words."""
@@ -209,6 +225,22 @@ def sitemap_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("host", "location", "position")
 
 
+@_query(ORACLE_SQL["price_history_changes"])
+def price_history_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """price_history_changes as a kept history gives it that takes the points in by years."""
+    lines = tables.read(spark, sf_dir, "lineitem").withColumn("c", tables.price_cents())
+    days = lines.groupBy("l_partkey", "l_shipdate").agg(F.min(F.struct("c", "l_suppkey")).alias("best"))
+    folder = until_exit(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    points = days.select(F.col("l_partkey").cast("string").alias("key"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("best.c").cast("double").alias("value"), F.col("best.l_suppkey").cast("string").alias("store"))
+    points = kept(points.withColumn("year", F.year("ts")), f"{folder}/points")
+    history = PriceHistory(spark, f"{folder}/kept")
+    for batch, row in enumerate(points.select("year").distinct().orderBy("year").collect()):  # a few years
+        history.update(points.filter(F.col("year") == row["year"]), batch)
+    day = tables.read(spark, sf_dir, "lineitem").schema["l_shipdate"].dataType
+    kept_points = history.load()
+    return kept_points.select(F.col("key").cast("bigint").alias("l_partkey"), F.col("ts").cast(day).alias("l_shipdate"), F.col("value").cast("bigint").alias("price_cents"), F.col("store").cast("bigint").alias("store_rank"))
+
+
 _FOUND = "list_has_all(string_split(p.name_n, ' '), string_split(q.name_n, ' '))"
 
 
