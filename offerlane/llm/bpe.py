@@ -15,8 +15,8 @@ its words (runs without ASCII blanks) in order. The work is:
    are those of its places.
 
 Decoding joins ids with the id-to-piece table. It has a row per id, at most MOST_PIECES, in
-order; put in one row, it is joined to each document, and each id takes the piece at its
-position, all by built-in expressions.
+order; put in one row, it is joined to each part (or, for ids that come from elsewhere, to each
+row), and each id takes the piece at its position.
 
 A frequent word travels once per part, not once per occurrence, and no task holds
 more than one part or one bucket; buckets grow in number with the input. Requests
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from offerlane.llm.common import fresh, reread, words_of
 
 #: Bytes of words in a part; bytes of input for each bucket, and the least buckets.
-PART_BYTES, BUCKET_BYTES, BUCKETS = 16 << 20, 4 << 20, 32
+PART_BYTES, BUCKET_BYTES, BUCKETS = 12 << 20, 4 << 20, 32
 #: Words of documents that are joined at once, and words encoded at once.
 STEP, WORDS = 1 << 20, 4096
 #: Pieces that a vocabulary can have, as ids travel in 16 bits.
@@ -191,7 +191,7 @@ def _joined(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: n
 
 
 def _with_ids(parts: pa.Table, answers: pa.Table) -> pa.Table:
-    """The documents of one part with the ids of their places."""
+    """The documents of one part with the ids of their places and, if the part has pieces, the text of these."""
     if parts.num_rows != 1:
         raise RuntimeError(OTHER_ORDER)
     docs, buckets, places = (_unpacked(parts.column(c)[0].as_py()) for c in ("docs", "buckets", "places"))
@@ -212,6 +212,7 @@ def _with_ids(parts: pa.Table, answers: pa.Table) -> pa.Table:
     starts[order] = np.cumsum(sizes[order]) - sizes[order]
     values = np.concatenate(values) if values else np.zeros(0, "<u2")
 
+    pieces = parts.column("pieces").combine_chunks().flatten() if "pieces" in parts.column_names else None
     ends = np.concatenate(([0], np.cumsum(docs.column("n").to_numpy(), dtype=np.int64)))
     out, at = [], 0
     while at < docs.num_rows:
@@ -219,14 +220,17 @@ def _with_ids(parts: pa.Table, answers: pa.Table) -> pa.Table:
         own = places[ends[at] : ends[end]]
         upto = np.concatenate(([0], np.cumsum(sizes[own])))[ends[at : end + 1] - ends[at]]
         found = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(_joined(values, starts, sizes, own).astype(np.int32)))
-        out.append(pa.table({"doc_id": docs.column("doc_id").slice(at, end - at), "ids": found}))
+        rows = {"doc_id": docs.column("doc_id").slice(at, end - at), "ids": found}
+        if pieces is not None:
+            rows["decoded"] = pc.binary_join(pa.ListArray.from_arrays(found.offsets, pieces.take(found.values)), " ")
+        out.append(pa.table(rows))
         at = end
     pa.default_memory_pool().release_unused()  # workers are used again and would keep it
     return pa.concat_tables(out)
 
 
-def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of each document."""
+def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", decode: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of each document; decode: and decoded, the text of the ids."""
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     docs = reread(docs, "texts")
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -237,18 +241,25 @@ def encoded(df: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id"
     answers = requests.mapInArrow(lambda batches: _answers(batches, path), "part long, bucket long, ids binary")
     parts = docs.mapInArrow(lambda batches: _documents(batches, buckets), "part long, docs binary, buckets binary, places binary")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    if decode:
+        parts, schema = parts.crossJoin(F.broadcast(_pieces_row(df.sparkSession, path))), f"{schema}, decoded string"
     return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_with_ids, schema)
 
 
+def _pieces_row(spark: SparkSession, path: str, name: str = "pieces") -> DataFrame:
+    """The id-to-piece table as one row: an array of MOST_PIECES at most."""
+    return pieces(spark, path).agg(F.sort_array(F.collect_list(F.struct("id", "piece")))["piece"].alias(name))
+
+
 def decoded(found: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """found with the text of an array of ids: each id joined with its piece, in order, by blanks; null for null."""
     (whole,) = fresh(found, "pieces")
-    table = pieces(found.sparkSession, path).agg(F.sort_array(F.collect_list(F.struct("id", "piece")))["piece"].alias(whole))  # one row of MOST_PIECES at most
-    joined = found.crossJoin(F.broadcast(table))
+    joined = found.crossJoin(F.broadcast(_pieces_row(found.sparkSession, path, whole)))
     return joined.withColumn(out, F.array_join(F.transform(F.col(f"`{ids}`"), lambda i: F.get(F.col(whole), i)), " ")).drop(whole)
 
 
 def digests(found: DataFrame, path: str) -> DataFrame:
-    """n_tokens and SHA-256 of the ids as text and of the decoded text."""
+    """n_tokens and SHA-256 of the ids as text and of the decoded text, of what encoded() gives."""
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded(found, path).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    found = found if "decoded" in found.columns else decoded(found, path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

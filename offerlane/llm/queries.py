@@ -126,7 +126,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from offerlane.llm.bpe import digests, encoded
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(encoded(table(spark, sf_dir, "documents"), path), path)
+    return digests(encoded(table(spark, sf_dir, "documents"), path, decode=True), path)
 
 
 @query

@@ -273,7 +273,8 @@ def test_bpe(docs, empty, spark):
         for r in rows:
             ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
             assert r.ids == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
-    for r in digests(encoded(docs, path), path).collect():
+    assert sorted(map(str, digests(encoded(docs, path), path).collect())) == sorted(map(str, digests(encoded(docs, path, decode=True), path).collect()))
+    for r in digests(encoded(docs, path, decode=True), path).collect():
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         decoded_text = t.decode(ids, skip_special_tokens=False)
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
