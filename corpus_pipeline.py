@@ -52,7 +52,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(encoded(docs, path), path)
+    return digests(encoded(docs, path, decode=True), path)
 
 
 STAGES = [
