@@ -142,6 +142,18 @@ def url_name(url: Column) -> Column:
     return F.trim(F.regexp_replace(F.element_at(F.split(path, "/"), -1), "[^a-z0-9]+", " "))
 
 
+def url_parts(url: Column) -> tuple[Column, Column]:
+    """(brand, product) that a product's URL names: the words of its first path part, and of its last one
+    that isn't a number like p-123, without long numbers at its end; empty where there is one part only."""
+    path = F.try_url_decode(F.regexp_replace(F.substring_index(F.substring_index(_text(url), "#", 1), "?", 1), "^[A-Za-z]+://[^/]*", ""))
+    parts = F.filter(F.split(F.coalesce(path, F.lit("")), "/"), lambda x: x != "")
+    last = F.element_at(parts, -1)
+    slug = F.when(last.startswith("p-"), F.get(parts, F.size(parts) - 2)).otherwise(last)
+    words = lambda x: F.trim(F.regexp_replace(x, "[-_ ]+", " "))
+    many = F.size(parts) >= 2
+    return F.when(many, words(F.get(parts, F.lit(0)))).otherwise(""), F.when(many, words(F.regexp_replace(slug, r"-\d{5,}$", ""))).otherwise("")
+
+
 def same_host(url: Column, host: str) -> Column:
     """Whether a URL is on a host or below it."""
     own = F.regexp_replace(F.lower(F.regexp_extract(_text(url), "^[A-Za-z]+://([^/?#:]+)", 1)), r"^www\.", "")

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlane.functions.text import clean, filled, norm, norm_text, query_tokens, url_name
+from offerlane.functions.text import clean, filled, norm, norm_text, query_tokens, url_name, url_parts
 from offerlane.operators.dedup import keep_first
+from offerlane.sources.extract import markdown_candidates
 from offerlane.sources.page import absolute
 from offerlane.sources.storage import kept, shared_folder, until_exit
 from offerlane.vocabulary import NON_PERFUME
@@ -260,6 +261,41 @@ def first_stage(*stages: DataFrame, least: int = 1) -> DataFrame:
     return out.crossJoin(F.broadcast(totals)).filter(before < least).drop("s")
 
 
+def reader_searches(query: str) -> list[str]:
+    """What to ask a reader for: the query, its words in reverse order, and each of its words."""
+    words = norm_text(query).split()
+    return list(dict.fromkeys([query.strip(), " ".join(reversed(words)), *query_tokens(query)])) if words else []
+
+
+def reader_discovery(documents: DataFrame, locations: DataFrame, query: str, limit: int = 24, least: int = 2) -> DataFrame:
+    """url, label, score, stage: candidates for a query in a reader's Markdown (search, markdown), best first.
+
+    Stage 0 are pages for the query and its variants, stage 1 those for the brands found there with the rest of the query,
+    stage 2 the pages that sitemaps list (location). A later stage counts only if the ones before it have fewer than
+    least candidates with all words."""
+    words = query_tokens(query)
+    if not words:
+        return documents.sparkSession.createDataFrame([], "url string, label string, score bigint, stage int")
+    docs = documents.select(F.col("search").alias("doc_id"), "markdown")
+    links = kept(markdown_candidates(docs), f"{until_exit(documents.sparkSession, f'{shared_folder(documents.sparkSession)}/reader-{uuid.uuid4().hex}')}/links")
+    direct = links.filter(F.col("doc_id").isin(reader_searches(query)))
+    brands = brand_queries(direct.withColumn("brand", F.coalesce("brand", url_parts(F.col("url"))[0])), query)
+    branded = links.join(brands.select(F.col("search").alias("doc_id")).distinct(), "doc_id")
+    mapped = locations.select(F.col("location").alias("url"), url_name(F.col("location")).alias("label"))
+    n = F.size(F.array_intersect(F.array(*(F.lit(w) for w in words)), F.split(F.concat_ws(" ", norm("label"), url_name(F.col("url"))), " ")))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        best = rows.withColumn("score", (10 * n).cast("bigint")).filter("score > 0").groupBy("url")
+        return best.agg(F.max("score").alias("score"), F.max_by("label", F.struct("score", "label")).alias("label"))
+
+    every = staged(scored(direct), scored(branded), scored(mapped))
+    exact = (F.col("score") == 10 * len(words)).cast("int")
+    counts = every.groupBy("stage").agg(F.sum(exact).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("stage", "n"))).alias("exact"))  # three stages
+    before = [F.coalesce(F.element_at("exact", F.lit(k)), F.lit(0)) for k in range(2)]
+    open_to = F.when(before[0] >= least, 0).when(before[0] + before[1] >= least, 1).otherwise(2)
+    return every.crossJoin(F.broadcast(counts)).filter(F.col("stage") <= open_to).select("url", "label", "score", "stage").orderBy(F.desc("score"), "stage", "url").limit(limit)
+
+
 def not_seen(candidates: DataFrame, seen: DataFrame, key: str = "url") -> DataFrame:
     """Candidates whose URL no earlier source gave."""
     return candidates.join(seen.select(key).distinct(), key, "left_anti")

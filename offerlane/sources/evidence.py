@@ -6,13 +6,15 @@ that choose among it are column expressions."""
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlane.functions.classify import concentration, gender
 from offerlane.functions.measures import gtin, index_size_ml, money
-from offerlane.functions.text import filled, norm
+from offerlane.functions.text import filled, norm, url_key
 from offerlane.sources.extract import candidate_price, card_name, card_stock, page_price
 from offerlane.sources.listing import link_rows, listing, with_cards
 from offerlane.sources.page import Page, absolute
@@ -20,7 +22,7 @@ from offerlane.vocabulary import OLD_PRICE, PRICE_LABELS, PURCHASE_MARKERS, PURC
 
 #: What a page holds.
 EVIDENCE = (
-    "title string, h1 string, meta map<string,string>, ld array<string>, text string, prices array<struct<marks:string,value:string>>, sizes array<string>, stock array<string>, "
+    "title string, h1 string, meta map<string,string>, products array<string>, text string, prices array<struct<marks:string,value:string>>, sizes array<string>, stock array<string>, "
     "controls array<struct<label:string,off:boolean>>, images array<string>"
 )
 FIELDS = [f.split()[0] for f in EVIDENCE.replace("<struct<", "<").split(", ")]
@@ -31,7 +33,7 @@ def evidence(html: str | None) -> dict:
     page = Page()
     page.feed(html or "")
     page.close()
-    out = {"title": None, "h1": None, "meta": {}, "ld": [], "text": " ".join(page.words), "prices": [], "sizes": [], "stock": [], "controls": [], "images": []}
+    out = {"title": None, "h1": None, "meta": {}, "products": [], "text": " ".join(page.words), "prices": [], "sizes": [], "stock": [], "controls": [], "images": []}
     for n in page.nodes:
         tag, a, prop = n["tag"], n["a"], n["a"].get("itemprop", "").lower()
         if tag in ("title", "h1") and out[tag] is None:
@@ -39,7 +41,7 @@ def evidence(html: str | None) -> dict:
         elif tag == "meta" and "content" in a:
             out["meta"].setdefault((a.get("property") or a.get("name") or prop).lower(), a["content"])
         elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            out["ld"].append(n.get("raw", ""))
+            out["products"] += product_nodes(n.get("raw", ""))
         elif tag == "img" and (a.get("src") or a.get("data-src")):
             out["images"].append(a.get("src") or a["data-src"])
         if tag in ("script", "style", "html", "body"):
@@ -59,6 +61,24 @@ def evidence(html: str | None) -> dict:
     return out
 
 
+def product_nodes(block: str) -> list[str]:
+    """The product nodes of a JSON-LD block as JSON, wherever they are nested, in order. Bad JSON gives nothing."""
+    try:
+        stack = [json.loads(block)]
+    except (ValueError, RecursionError):
+        return []
+    found = []
+    while stack:
+        node = stack.pop()
+        if isinstance(node, dict):
+            kinds = node.get("@type")
+            if kinds == "Product" or isinstance(kinds, list) and "Product" in kinds:
+                found.append(json.dumps(node))
+        inner = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        stack += [x for x in reversed(list(inner)) if isinstance(x, (dict, list))]
+    return found
+
+
 def with_evidence(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages, without their HTML, with the columns of EVIDENCE."""
     kept = [c for c in pages.columns if c != html and c not in FIELDS]
@@ -85,23 +105,6 @@ def _text_of(node: Column, *paths: str) -> Column:
     return filled(*(F.try_variant_get(node, p, "string") for p in paths))
 
 
-def products_of(blocks: Column) -> Column:
-    """The product nodes of JSON-LD blocks as variants: of each block itself, of the
-    items of a list, and of a graph. Bad JSON gives nothing."""
-
-    def nodes(block: Column) -> Column:
-        v = F.try_parse_json(block)
-        lists = [F.try_variant_get(v, p, "array<variant>") for p in ("$", "$['@graph']", "$.mainEntity")]
-        whole = [F.array(v), F.array(F.try_variant_get(v, "$.mainEntity", "variant"))]
-        return F.flatten(F.array(*(F.coalesce(x, F.array().cast("array<variant>")) for x in (*whole, *lists))))
-
-    def is_product(v: Column) -> Column:
-        kinds = F.coalesce(F.try_variant_get(v, "$['@type']", "array<string>"), F.array(F.try_variant_get(v, "$['@type']", "string")))
-        return F.coalesce(F.array_contains(kinds, "Product"), F.lit(False))
-
-    return F.filter(F.flatten(F.transform(blocks, nodes)), is_product)
-
-
 def offers_of(product: Column) -> Column:
     """The offers of a product node as variants, whether it has one or a list."""
     one = F.array(F.try_variant_get(product, "$.offers", "variant"))
@@ -116,6 +119,18 @@ def chosen_offer(offers: Column) -> Column:
     return F.coalesce(F.get(there, F.lit(0)), F.get(priced, F.lit(0)), F.get(offers, F.lit(0)))
 
 
+def offer_of_page(offers: Column, url: Column, name: Column) -> Column:
+    """chosen_offer() among those of the page's own URL, if there are some; if the name has a size, among
+    those that name this size too: an offer of another size is never taken, one without a size can be."""
+    own = F.filter(offers, lambda o: F.regexp_replace(url_key(absolute(_text_of(o, "$.url"), url)), "/+$", "") == F.regexp_replace(url_key(url), "/+$", ""))
+    some = F.when(F.size(own) > 0, own).otherwise(offers)
+    size = index_size_ml(name)
+    size_of = lambda o: index_size_ml(F.concat_ws(" ", *(_text_of(o, f"$.{k}") for k in ("name", "description", "sku", "url"))))
+    sized = F.filter(some, lambda o: F.abs(size_of(o) - size) < 0.01)
+    fits = F.when(size.isNull() | ~F.exists(some, lambda o: size_of(o).isNotNull()), some).otherwise(sized)
+    return F.when(F.size(fits) > 0, chosen_offer(fits))
+
+
 def html_price(text: Column, meta: Column, prices: Column) -> Column:
     """The price that a page shows: after a label, in its metadata, of a priced element
     that isn't marked as a former one, or the first amount of its text that isn't."""
@@ -159,7 +174,9 @@ def raw_offers(pages: DataFrame) -> DataFrame:
     """A raw offer per page (url, html) that names a product with a price: name, brand,
     price, currency, availability, size_ml, concentration, url, image, identifiers, and
     where price, size and availability come from. normalized() takes these rows."""
-    p = with_evidence(pages).withColumn("_product", F.get(products_of(F.col("ld")), F.lit(0))).withColumn("_offer", chosen_offer(offers_of(F.col("_product"))))
+    p = with_evidence(pages).withColumn("_product", F.try_parse_json(F.get("products", F.lit(0))))
+    title = F.coalesce(_text_of(F.col("_product"), "$.name"), F.col("h1"), F.col("title"))
+    p = p.withColumn("_offer", offer_of_page(offers_of(F.col("_product")), F.col("url"), title))
     product, offer, meta = F.col("_product"), F.col("_offer"), F.col("meta")
     name = F.coalesce(_text_of(product, "$.name"), filled(F.col("h1"), F.element_at(meta, "og:title"), F.col("title")))
     brand = F.coalesce(_text_of(product, "$.brand.name", "$.brand"), filled(F.element_at(meta, "product:brand"), F.element_at(meta, "brand"), F.element_at(meta, "og:brand")))

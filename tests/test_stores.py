@@ -144,3 +144,34 @@ def test_sitemap_trees(spark, tmp_path):
     assert got["bad"] == [("https://a/8", (0,))] and set(got) == {"root", "bad", "third"}
     assert [x for x, _ in sorted(got["third"], key=lambda x: x[1])] [:1] == ["https://a/4"] and len(got["third"]) == 5
     assert sitemap_tree(documents, roots, levels=1).filter("root = 'root'").count() == 2
+
+
+def test_nested_products_and_the_offer_of_the_page(spark):
+    from offerlane.sources.evidence import product_nodes, raw_offers
+
+    nodes = product_nodes('[{"@graph": [{"@type": "WebPage", "mainEntity": {"@type": ["Thing", "Product"], "name": "A", "isRelatedTo": [{"@type": "Product", "name": "B"}]}}]}, {"x": {"y": [[{"@type": "Product", "name": "C"}]]}}]')
+    assert [json.loads(x)["name"] for x in nodes] == ["A", "B", "C"] and product_nodes("{bad") == [] and product_nodes("3") == []
+    offers = [{"price": "10", "name": "30 ml", "url": "/p/x?v=1"}, {"price": "20", "name": "50 ml", "url": "/p/x"}, {"price": "30", "name": "100 ml", "url": "/p/x/"}, {"price": "5", "url": "/p/y"}]
+
+    def html(name, some):
+        return '<script type="application/ld+json">' + json.dumps({"a": {"b": [{"@type": "Product", "name": name, "offers": some}]}}) + f"</script><h1>{name}</h1>"
+
+    rows = [(1, html("X 50 ml", offers)), (2, html("X 75 ml", offers)), (3, html("X", offers)), (4, html("X 50 ml", [{"price": "7"}])), (5, html("X", [{"price": "9", "availability": "OutOfStock"}, {"price": "8", "url": "/p/z"}]))]
+    df = spark.createDataFrame([(i, "https://a.example/p/x", h) for i, h in rows], "i int, url string, html string")
+    assert {r.i: r.price for r in raw_offers(df).collect()} == {1: "20.0", 3: "10.0", 4: "7.0", 5: "8.0"}
+
+
+def test_reader_discovery(spark):
+    from offerlane.functions.text import url_parts
+    from offerlane.sources.discovery import reader_discovery, reader_searches
+
+    assert reader_searches("Foo Bar Parfum") == ["Foo Bar Parfum", "parfum bar foo", "foo", "bar"] and reader_searches(" ") == []
+    urls = spark.createDataFrame([("https://n.example/acme-co/foo-bar-12345/p-77/?x=1",), ("https://n.example/acme/foo_bar-99999",), ("https://n.example/only",), (None,)], "u string")
+    assert [tuple(r) for r in urls.select(*url_parts(F.col("u"))).collect()] == [("acme co", "foo bar"), ("acme", "foo_bar".replace("_", " ")), ("", ""), ("", "")]
+    docs = [("Foo Bar", "## Acme\n[Foo](https://n.example/acme/foo/p-1)"), ("bar foo", "[Foo Bar](https://n.example/acme/foo-bar/p-2)"), ("acme foo bar", "[Foo Bar Two](https://n.example/acme/two/p-3) [x](https://n.example/acme/x/p-4)"), ("other", "[Foo Bar](https://n.example/no/p-5)")]
+    maps = spark.createDataFrame([("https://n.example/acme/foo-bar-nine",), ("https://n.example/zzz",)], "location string")
+    find = lambda d, **o: [(r.url.rpartition("/")[2], r.score, r.stage) for r in reader_discovery(spark.createDataFrame(d, "search string, markdown string"), maps, "Foo Bar", **o).collect()]
+    assert find(docs) == [("p-2", 20, 0), ("p-3", 20, 1), ("p-1", 10, 0)]  # two with all words: no sitemap
+    assert find(docs, least=1) == [("p-2", 20, 0), ("p-1", 10, 0)]
+    assert find(docs[:2]) == [("p-2", 20, 0), ("foo-bar-nine", 20, 2), ("p-1", 10, 0)]
+    assert reader_discovery(spark.createDataFrame(docs, "search string, markdown string"), maps, "eau de parfum").count() == 0
