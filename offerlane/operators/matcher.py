@@ -112,8 +112,9 @@ def name_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
         own = own.select("o_name", "o_brand", "c_name", "c_brand")
         found = own if found is None else found.unionByName(own)
 
-    sizes = known.select(F.size(F.split("name", " ")).alias("k")).distinct()
-    runs = asked.select("name", F.split("name", " ").alias("w")).distinct().join(sizes, F.size("w") >= F.col("k"))  # a row per length of a known name
+    sizes = [r.k for r in known.select(F.size(F.split("name", " ")).alias("k")).distinct().orderBy("k").collect()]  # lengths of names in words, few
+    lengths = F.explode(F.array(*(F.lit(k) for k in sizes)).cast("array<int>"))
+    runs = asked.select("name", F.split("name", " ").alias("w")).distinct().withColumn("k", lengths).filter(F.size("w") >= F.col("k"))
     runs = runs.select("name", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1), lambda i: F.array_join(F.slice("w", i, F.col("k")), " ")))).alias("c_name"))
     inside = runs.join(c.select("c_name", "c_brand"), "c_name").join(o.select(F.col("o_name").alias("name"), "o_brand"), "name").select(F.col("name").alias("o_name"), "o_brand", "c_name", "c_brand")
     return found.unionByName(inside).distinct()
