@@ -255,7 +255,7 @@ union all select 'ParfumZentrum', query, name, price_cents, 'in stock', product_
 def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches for the name of each product at three stores: by links of search pages and product pages, by
     cards and product documents, and by sitemaps. The documents are made of the catalog; a search page lists those of
-    LISTED product numbers that have the first word of the query."""
+    LISTED product numbers that have the name, or some that begin with its first word."""
     p = tables.products(spark, sf_dir).join(tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("cents")), "product_id")
     jobs = p.filter(F.col("name_n") == F.lower("name")).select(F.col("name").alias("query"), F.col("name_n").alias("q")).distinct()
     number, slug = F.col("product_id").cast("string"), F.replace(F.col("name"), F.lit(" "), F.lit("-"))
@@ -272,10 +272,12 @@ def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda df, store, kind, query, url, body: df.select(F.lit(store).alias("store"), F.lit(kind).alias("kind"), query.alias("query"), url.alias("url"), body.alias("body"))
     documents = row(p, "Deloox", "page", none, F.col("at_deloox"), html).unionByName(row(p, "ParfumZentrum", "page", none, F.col("at_zentrum"), html)).unionByName(row(p, "Bplatz", "json", none, F.col("at_bplatz"), doc))
     listed = lambda url, label: F.array_join(F.sort_array(F.collect_list(text("<div><a href='", F.col(url), "'>", label, "</a> <i>", F.col("name"), "</i></div>"))), "")
-    chunks = p.groupBy("first", "chunk").agg(listed("at_deloox", F.lit("more")).alias("deloox"), listed("at_bplatz", F.lit("more")).alias("bplatz"))
-    shown = jobs.withColumn("first", F.split("q", " ")[0]).join(chunks, "first")
+    # a search page for a name lists its products, one for a word every eighth product that begins with it
+    keyed = p.withColumn("key", F.explode(F.when(F.col("product_id") % 8 == 0, F.array("name_n", "first")).otherwise(F.array("name_n"))))
+    chunks = keyed.groupBy("key", "chunk").agg(listed("at_deloox", F.lit("more")).alias("deloox"), listed("at_bplatz", F.lit("more")).alias("bplatz"))
+    shown = jobs.withColumn("key", F.explode(F.array(F.col("q"), F.split("q", " ")[0]))).join(chunks, "key")
     for store, host in (("deloox", "https://www.deloox.nl"), ("bplatz", "https://bplatz.de")):
-        documents = documents.unionByName(row(shown, store.title(), "search", F.col("query"), text(host, "/search?page=", F.col("chunk").cast("string"), "&q=", F.col("query")), text("<body>", F.col(store), "</body>")))
+        documents = documents.unionByName(row(shown, store.title(), "search", F.col("query"), text(host, "/search?page=", F.col("chunk").cast("string"), "&q=", F.col("key")), text("<body>", F.col(store), "</body>")))
     maps = p.groupBy(F.floor(F.col("product_id") / MAP).alias("map")).agg(F.array_join(F.collect_list(text("<url><loc>", F.col("at_zentrum"), "</loc></url>")), "").alias("x"))
     documents = documents.unionByName(row(maps, "ParfumZentrum", "sitemap", none, text("https://www.parfum-zentrum.de/", F.col("map").cast("string"), ".xml"), text("<urlset>", F.col("x"), "</urlset>")))
     folder = until_exit(spark, f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}")

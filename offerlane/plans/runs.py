@@ -61,7 +61,8 @@ class StoreRun:
 
     def _read(self, store: str) -> None:
         path = f"{self.folder}/offers-{self.ranks[store]}"
-        self.spark.sparkContext.setJobGroup(self._group(store), f"offers of {store}", interruptOnCancel=True)
+        # no interrupts: they can reach what the same executor thread does next; Spark ends Python workers of cancelled tasks by itself
+        self.spark.sparkContext.setJobGroup(self._group(store), f"offers of {store}")
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", self._group(store))  # stores share the cluster where the scheduler is fair
         try:
             rows = self.readers[store]()
@@ -135,5 +136,6 @@ def written_run(spark: SparkSession, folder: str, schema) -> tuple[DataFrame, Da
 
 
 def _short(e: Exception) -> str:
-    """The first line of an error."""
-    return next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)[:500]
+    """The first line of an error, of Java's if it comes from there."""
+    text = str(e.java_exception) if hasattr(e, "java_exception") else str(e)
+    return next((x.strip() for x in text.splitlines() if x.strip()), type(e).__name__)[:500]
