@@ -83,7 +83,7 @@ def test_stages_by_brute_force(spark):
     total = sum(len(WORD.findall(t)) for _, t in before)
     now = written(stages["mixing sources to target weights"](spark, now, DATA), "t")
     mixed = now.collect()
-    assert now.columns == docs.columns and abs(sum(len(WORD.findall(r.text)) for r in mixed) - total) <= 64 * 3
+    assert now.columns == docs.columns and abs(sum(len(WORD.findall(r.text)) for r in mixed) - total) <= 64 * 3 + 0.005 * total  # a block and half a percent per source
     for r in mixed:
         source = [t for (i, t) in before if i == r.doc_id and set(WORD.findall(r.text)) <= set(WORD.findall(t))]
         assert source and max(Counter(WORD.findall(r.text)).values()) <= 3 * max(Counter(WORD.findall(source[0])).values()) and r.n_chars == len(r.text)
