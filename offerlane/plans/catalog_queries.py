@@ -249,13 +249,13 @@ _FOUND = "list_has_all(string_split(p.name_n, ' '), string_split(q.name_n, ' '))
 f as (select q.name as query, p.product_id, p.name, (p_retailprice * 100)::bigint as price_cents from q join products p on {_FOUND} join part on p_partkey = p.product_id),
 z as (select *, row_number() over (partition by query order by replace(name, ' ', '-') || '-' || lpad(product_id::varchar, 12, '0') || '_z' || product_id) as r from f)
 select 'Deloox' as store, query, name, price_cents, 'in stock' as availability, product_id::varchar as code from f
-union all select 'Bplatz', query, name, case when product_id % 3 = 0 then null else price_cents end, case when product_id % 3 = 0 then 'out of stock' else 'in stock' end, null from f
+union all select 'Bplatz', query, name, case when product_id % 3 = 0 then 0 else price_cents end, case when product_id % 3 = 0 then 'out of stock' else 'in stock' end, null from f
 union all select 'ParfumZentrum', query, name, price_cents, 'in stock', product_id::varchar from z where r <= 24"""
 )
 def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches for the name of each product at three stores: by links of search pages and product pages, by
     cards and product documents, and by sitemaps. The documents are made of the catalog; a search page lists those of
-    LISTED product numbers that have the name, or some that begin with its first word."""
+    LISTED product numbers that have the name, or some that begin with its first word. Without a price it is 0."""
     p = tables.products(spark, sf_dir).join(tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("cents")), "product_id")
     jobs = p.filter(F.col("name_n") == F.lower("name")).select(F.col("name").alias("query"), F.col("name_n").alias("q")).distinct()
     number, slug = F.col("product_id").cast("string"), F.replace(F.col("name"), F.lit(" "), F.lit("-"))
@@ -282,7 +282,7 @@ def store_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = documents.unionByName(row(maps, "ParfumZentrum", "sitemap", none, text("https://www.parfum-zentrum.de/", F.col("map").cast("string"), ".xml"), text("<urlset>", F.col("x"), "</urlset>")))
     folder = until_exit(spark, f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}")
     found = normalized(stores.store_offers(kept(jobs, f"{folder}/jobs"), kept(documents, f"{folder}/documents")), ("query",))
-    return found.select("store", "query", "name", "price_cents", "availability", F.col("sku").alias("code"))
+    return found.select("store", "query", "name", F.coalesce("price_cents", F.lit(0)).alias("price_cents"), "availability", F.col("sku").alias("code"))
 
 
 _MARKED = " or ".join("list_has_all(w, [" + ", ".join(f"'{w}'" for w in text.norm_text(m).split()) + "])" for m in NON_PERFUME)
