@@ -36,3 +36,10 @@ def test_product_pages(spark, odd):
     equal(spark, odd, catalog_queries.product_pages, "product_pages")
     plan = catalog_queries.product_pages(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and "rightHint=(strategy=shuffle_hash)" in plan
+
+
+def test_topk_offers_per_store(spark, odd):
+    """Few lines are joined with products; stores with few prices keep all their lines."""
+    equal(spark, odd, registry.topk_offers_per_store, "topk_offers_per_store")
+    assert tables.low_lines(spark, DATA, 8).count() < tables.read(spark, DATA, "lineitem").count() / 10
+    assert tables.low_lines(spark, DATA, 100).count() == tables.read(spark, DATA, "lineitem").count()
