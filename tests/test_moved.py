@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from offerlane.plans import catalog_queries, registry
-from offerlane.sources import tables
+from offerlane.sources import evidence, stores, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,3 +43,22 @@ def test_topk_offers_per_store(spark, odd):
     equal(spark, odd, registry.topk_offers_per_store, "topk_offers_per_store")
     assert tables.low_lines(spark, DATA, 8).count() < tables.read(spark, DATA, "lineitem").count() / 10
     assert tables.low_lines(spark, DATA, 100).count() == tables.read(spark, DATA, "lineitem").count()
+
+
+def test_only_pages_of_candidates_are_parsed(spark, monkeypatch):
+    """Of forty pages that a sitemap lists the store's rules take 24, and these alone are parsed, each once."""
+    parsed = []
+    monkeypatch.setattr(stores, "page_rows", lambda pages: parsed.append(pages.count()) or evidence.page_rows(pages))
+    at = [f"https://www.parfum-zentrum.de/red-plate-{k:02d}_z{k}" for k in range(40)]
+    page = """<script type='application/ld+json'>{"@type": "Product", "name": "red plate", "offers": {"price": "9.00"}}</script>"""
+    documents = [("ParfumZentrum", "sitemap", None, "https://www.parfum-zentrum.de/0.xml", "<urlset>" + "".join(f"<loc>{u}</loc>" for u in at) + "</urlset>")]
+    documents += [("ParfumZentrum", "page", None, u, page) for u in [*at, *at[:5], "https://www.parfum-zentrum.de/blue-bolt_z77"]]
+    found = stores.store_offers(spark.createDataFrame([("red plate",)], "query string"), spark.createDataFrame(documents, "store string, kind string, query string, url string, body string"))
+    assert sorted(r.url for r in found.collect()) == at[:24] and parsed == [24]
+
+
+def test_rules_of_pages_run_once(spark):
+    """No filter below the rules repeats them, and an offer's own steps are computed once."""
+    df = spark.createDataFrame([("u", "h")], "url string, html string")
+    plan = evidence.page_rows(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (" not in plan and plan.count("try_variant_get") < 400
