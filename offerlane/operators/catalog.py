@@ -19,13 +19,14 @@ def product_key(catalog_id: Column, brand: Column, name: Column) -> Column:
     return F.coalesce(filled(catalog_id), stable_id("SH-AUTO", brand, name))
 
 
-def upsert(old: DataFrame | None, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
+def upsert(old: DataFrame | None, new: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
     """old with the rows of new put in by key, in order; later rows win over earlier
     ones and over old. Write the result to a new place and switch."""
-    last = keep_last(new, [key], order)
+    keys = [key] if isinstance(key, str) else key
+    last = keep_last(new, keys, order)
     if old is None:
         return last
-    return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    return old.join(last.select(*keys), keys, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def missing_products(offers: DataFrame, products: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from offerlane.plans import catalog_queries, registry
 from offerlane.sources import evidence, stores, tables
@@ -45,6 +46,20 @@ def test_topk_offers_per_store(spark, odd):
     assert tables.low_lines(spark, DATA, 100).count() == tables.read(spark, DATA, "lineitem").count()
 
 
+def test_upsert_offers_last_wins(spark, odd, tmp_path):
+    """Lines are dealt once; ids that hide the sign of a number still have one last line."""
+    equal(spark, odd, registry.upsert_offers_last_wins, "upsert_offers_last_wins")
+    plan = registry.upsert_offers_last_wins(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    at, con = str(tmp_path), duckdb.connect()
+    for t, keys in (("part", ["p_partkey"]), ("supplier", ["s_suppkey"]), ("lineitem", ["l_partkey", "l_suppkey"])):
+        table = f"'{DATA}/{t}.parquet'"
+        rows = " union all ".join(f"select * replace ({', '.join(f'{sign} * {k} as {k}' for k, sign in zip(keys, signs))}) from {table}{where}" for signs, where in (((1, 1), ""), ((-1, 1) if t == "lineitem" else (-1,), f" where {keys[0]} % 2 = 1")))
+        con.execute(f"copy ({rows}) to '{at}/{t}.parquet'")
+    rows = registry.upsert_offers_last_wins(spark, at).select("offer_id", F.col("product_id") < 0).collect()
+    assert len({r[0] for r in rows}) == len(rows) and {r[1] for r in rows} == {True, False}
+
+
 def test_only_pages_of_candidates_are_parsed(spark, monkeypatch):
     """Of forty pages that a sitemap lists the store's rules take 24, and these alone are parsed, each once."""
     parsed = []
