@@ -2,8 +2,9 @@
 
 A key is a row with its points in order of time, at most MOST of them. An update compares new points
 with the last one that is kept, and with each other; sorting is Spark's, so a key with very many
-points in a batch spills and is never held in memory. Buckets of keys that change are rewritten, with
-the number of the batch in the same commit, so a batch that is run again changes nothing.
+points in a batch spills and is never held in memory. Buckets that have new points are rewritten, each kept row
+being moved once and written once, with the number of the batch in the same commit, so a batch that is run
+again changes nothing.
 
 Defined cases: points without a value are ignored; a point older than the last kept one of its key is late
 and left out; points of one time are taken in order of value and store; a null key is a key of its own; an
@@ -18,7 +19,8 @@ from offerlane.operators.versions import BUCKETS, VersionedTable
 
 #: Points kept per key.
 MOST = 100
-POINTS = "key string, points array<struct<ts:timestamp,value:double,store:string>>"
+_LIST = "array<struct<ts:timestamp,value:double,store:string>>"
+POINTS = f"key string, points {_LIST}"
 
 
 class PriceHistory:
@@ -37,20 +39,26 @@ class PriceHistory:
         name = f"batch {source}"
         if batch is not None and batch <= done.get(name, -1):
             return 0
-        last = self.table.read().select(F.col("key").alias("_key"), F.col("points").alias("_old"), F.element_at("points", -1).alias("_last"))
-        new = points.filter("value IS NOT NULL").select("key", "ts", "value", "store").join(last, F.col("key").eqNullSafe(F.col("_key")), "left")
-        new = new.filter(F.col("_last").isNull() | (F.col("ts") >= F.col("_last.ts")))
-        by_time = Window.partitionBy("key").orderBy("ts", "value", "store")
-        before = lambda c: F.when(F.row_number().over(by_time) == 1, F.col(f"_last.{c}")).otherwise(F.lag(c).over(by_time))
-        changed = ~(F.col("value").eqNullSafe(before("value")) & F.col("store").eqNullSafe(before("store")))
-        new = new.withColumn("_changed", changed).filter("_changed")
-        latest = Window.partitionBy("key").orderBy(F.desc("ts"), F.desc("value"), F.desc_nulls_last("store"))
-        new = new.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= self.most)
-        added = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_rank")).alias("o"), F.struct("ts", "value", "store").alias("p")))), lambda x: x["p"])  # MOST at most
-        old = F.coalesce(F.first("_old"), F.array().cast("array<struct<ts:timestamp,value:double,store:string>>"))
-        rows = new.groupBy("key").agg(F.concat(old, added).alias("points"))
-        rows = rows.withColumn("points", F.slice("points", F.greatest(F.size("points") - self.most + 1, F.lit(1)), self.most))
-        return self.table.upsert_counted(rows, ["key"], {name: batch} if batch is not None else None)
+        notes = {name: batch} if batch is not None else None
+        base = self.table.manifest()
+        bucket = self.table.bucket(base)
+        new = points.filter("value IS NOT NULL").select(bucket.alias("_bucket"), "key", "ts", "value", "store", F.lit(False).alias("_kept"), F.lit(None).cast(_LIST).alias("_old"))
+        touched = sorted(r[0] for r in new.select("_bucket").distinct().collect())  # as many as there are buckets
+        # what is kept of a key is one row, which stands before its new points as its last one
+        kept = self.table.read(touched, base).select(bucket.alias("_bucket"), "key", F.inline(F.array(F.element_at("points", -1))), F.lit(True).alias("_kept"), F.col("points").alias("_old"))
+        rows = kept.unionByName(new).repartition("_bucket")  # the only shuffle: all that follows is by bucket and key
+        by_time = Window.partitionBy("_bucket", "key").orderBy(F.desc("_kept"), "ts", "value", "store")
+        last = F.max(F.when(F.col("_kept"), F.col("ts"))).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("_last", last).filter(F.col("_kept") | F.col("_last").isNull() | (F.col("ts") >= F.col("_last")))
+        same = F.col("value").eqNullSafe(F.lag("value").over(by_time)) & F.col("store").eqNullSafe(F.lag("store").over(by_time))
+        rows = rows.withColumn("_same", same).filter(F.col("_kept") | ~F.col("_same"))
+        latest = Window.partitionBy("_bucket", "key", "_kept").orderBy(F.desc("ts"), F.desc("value"), F.desc_nulls_last("store"))
+        rows = rows.withColumn("_rank", F.row_number().over(latest)).filter(F.col("_rank") <= self.most)
+        found = F.collect_list(F.when(~F.col("_kept"), F.struct((-F.col("_rank")).alias("o"), F.struct("ts", "value", "store").alias("p"))))  # MOST at most
+        rows = rows.groupBy("_bucket", "key").agg(F.first("_old", ignorenulls=True).alias("_old"), found.alias("_found"))
+        both = F.concat(F.coalesce("_old", F.array().cast(_LIST)), F.transform(F.sort_array("_found"), lambda x: x["p"]))
+        rows = rows.withColumn("points", both).withColumn("points", F.slice("points", F.greatest(F.size("points") - self.most + 1, F.lit(1)), self.most))
+        return self.table.rewrite(rows, touched, F.size("_found") > 0, base, notes)
 
     def follow(self, points: DataFrame, checkpoint: str, source: str = "stream"):
         """Starts a stream that takes points in batch by batch."""

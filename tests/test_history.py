@@ -3,8 +3,10 @@
 from datetime import datetime, timedelta
 from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
+from offerlane.operators.versions import VersionedTable
 from offerlane.streaming.kept_history import PriceHistory
 
 POINTS = "key string, ts timestamp, value double, store string"
@@ -76,3 +78,22 @@ def test_a_key_with_many_points(spark, tmp_path):
     assert len(own) == 40 and len(own["k7"]) == 100 and [x[1] for x in own["k7"]] == [float(k % 7) for k in range(100_000 - 100, 100_000)]
     after = history.table.manifest()["folders"]
     assert sum(before[b] != after[b] for b in before) == 1
+
+
+def test_an_update_moves_rows_once(spark, tmp_path, monkeypatch):
+    """Kept rows and new points meet in one shuffle; late points leave the buckets as they are; a second writer is an error."""
+    plans, rewrite = [], VersionedTable.rewrite
+    monkeypatch.setattr(VersionedTable, "rewrite", lambda self, rows, *rest: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or rewrite(self, rows, *rest))
+    history = PriceHistory(spark, str(tmp_path / "h"), buckets=3)
+    first = spark.createDataFrame([(f"k{i}", START + timedelta(days=d), float(d), None) for i in range(20) for d in range(5)], POINTS)
+    assert history.update(first, 0) == 20
+    later = spark.createDataFrame([("k3", START + timedelta(days=9), 7.0, "A"), (None, START, 1.0, "A"), ("k4", START, 9.0, "A")], POINTS)
+    assert history.update(later, 1) == 2
+    assert all(p.count("Exchange") == 1 for p in plans) and len(plans) == 2
+    before = history.table.manifest()
+    assert history.update(spark.createDataFrame([("k5", START, 3.0, "B")], POINTS), 2) == 0
+    assert history.table.manifest()["folders"] == before["folders"] and history.table.manifest()["notes"] == {"batch ": 2}
+    rows = history.table.read().withColumn("_bucket", history.table.bucket(before))
+    with pytest.raises(RuntimeError, match="by others"):
+        history.table.rewrite(rows, sorted(before["folders"]), F.lit(True), before | {"folders": {}})
+    assert len(loaded(history)) == 21 and len(loaded(history)["k3"]) == 6
